@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, line_dedup, mixing, quality
+from . import chat, common, decontaminate, line_dedup, mixing, neardup, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = common.fresh_path(spark, "token-cache")  # a cache of its own, so that a run does all its work
+    out = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), cache, by_words=True, keep=["doc_id"])
+    return out.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix_sources(docs)
@@ -23,6 +38,18 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs, percent=85, keep=["doc_id"])
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    _, directory = warc.archive(pages)
+    asked = pages.select(warc.surt(F.col("url")).alias("surt"), "page_id")
+    return warc.read_records(warc.find_captures(asked, directory))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
@@ -51,6 +78,31 @@ _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 _UP, _LOW = common.UPPER, common.LOWER
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP1_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_ALNUM}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bl AS (SELECT item, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bl)),
+dw AS (SELECT rid, n, i, array_to_string(w[i:i+n-1], ' ') AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT rid, item, n, i FROM dw JOIN bw USING (n, g)),
+p AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT rid, i, unnest(range(0, n)) AS k FROM h) GROUP BY rid),
+m AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (rid) LEFT JOIN m USING (rid)
+"""
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+k AS (SELECT h, max(page_id) AS keeper FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM d LEFT JOIN k USING (h)
+"""
+
 OP3_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '2' ELSE '1' || source END AS src,
@@ -130,5 +182,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_quality, op8_line_dedup, op10_chat)}
-ORACLES = {"op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op6_near_duplicates, op7_warc, op8_line_dedup, op10_chat)}
+#: op2 and op6 have none: a tokenizer and an all-pairs join are no SQL to run over whole tables; tests/llm holds them against brute force.
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
