@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, line_dedup, mixing, neardup, quality, token_counts, warc
+from . import chat, common, decontaminate, katz, line_dedup, mixing, neardup, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, order=2)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -182,6 +187,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op6_near_duplicates, op7_warc, op8_line_dedup, op10_chat)}
-#: op2 and op6 have none: a tokenizer and an all-pairs join are no SQL to run over whole tables; tests/llm holds them against brute force.
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op6_near_duplicates, op7_warc, op8_line_dedup, op9_katz, op10_chat)}
+#: The others have none: a tokenizer, all pairs, and models are no SQL to run over whole tables; tests/llm holds them against brute force.
 ORACLES = {"op1_decontaminate": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
