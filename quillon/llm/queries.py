@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, katz, line_dedup, mixing, neardup, quality, token_counts, warc
+from . import chat, common, decontaminate, katz, line_dedup, mixing, neardup, quality, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), held_out, max_rows=toxicity.MAX_ROWS)
+    return toxicity.score(docs, scorer, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.near_duplicates(docs, percent=85, keep=["doc_id"])
@@ -187,6 +194,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op6_near_duplicates, op7_warc, op8_line_dedup, op9_katz, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op5_toxicity, op6_near_duplicates, op7_warc, op8_line_dedup, op9_katz, op10_chat)}
 #: The others have none: a tokenizer, all pairs, and models are no SQL to run over whole tables; tests/llm holds them against brute force.
 ORACLES = {"op1_decontaminate": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
