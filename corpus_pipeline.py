@@ -25,7 +25,7 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that the rules reject go."""
-    return _documents(quality.clean_lines(docs).where("kept"))
+    return _documents(quality.accepted(docs))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

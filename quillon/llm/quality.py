@@ -95,3 +95,9 @@ def clean_lines(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_L
     left = F.array_join(F.filter(F.split(body(text_col), "\n", -1), lambda x: ~x.rlike(SPACED_WORD) | ~line_fails(x)), "\n")
     d = d.withColumn(text_col, F.when(F.col("n_failed_lines") > 0, left).otherwise(F.col(text_col)))
     return d.drop("__lines", "__bad")
+
+
+def accepted(docs: DataFrame, text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows that clean_lines keeps. They pass a generator, through which the optimiser moves no filter: it would write the rules out again in the filter, many times over."""
+    judged = clean_lines(docs, text_col, max_lost)
+    return judged.select(F.inline(F.array(F.struct(*judged.columns)))).where("kept")
