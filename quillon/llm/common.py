@@ -1,42 +1,22 @@
-"""What the operators share: shipping code to executors, the shared folder, and text column helpers."""
+"""What the operators share: the shared folder and text column helpers."""
 
 from __future__ import annotations
 
-import io
 import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
+__all__ = ["ship"]
+
 #: The ASCII white space that separates words: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\f\r"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    folder = Path(tempfile.mkdtemp(prefix="quillon-"))
-    target = folder / f"{top.name}.zip"
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for path in sorted(top.rglob("*.py")):
-            z.write(path, path.relative_to(top.parent).as_posix())
-    target.write_bytes(data.getvalue())
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
