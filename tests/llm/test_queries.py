@@ -1,0 +1,12 @@
+import os
+
+import compare
+import pytest
+from quillon.llm import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    assert compare.one(name, queries.QUERIES, queries.ORACLES, spark, compare.connect(SF), SF)
