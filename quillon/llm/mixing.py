@@ -52,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     """docs with size, source_size, target and copies (how often the mix takes the row). weights go to the sources in code point order, repeating."""
     src = F.when(F.col(source_col).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
     size = F.regexp_count(body(text_col), F.lit(SPACED_WORD)).cast("long")
-    rows = docs.withColumns({"__src": src, "size": size, "__h": hash32(F.col(id_col))}).withColumn("__cls", F.length(F.bin("size")))
+    rows = docs.withColumns({"__src": src, "size": size, "__h": hash32(F.col(id_col)), "__t": F.xxhash64(body(text_col))}).withColumn("__cls", F.length(F.bin("size")))
     keys = docs.select(src.alias("__src"), size.alias("__size"), hash32(F.col(id_col)).alias("__h")).withColumn("__cls", F.length(F.bin("__size")))
     slots = F.ceil(F.sqrt("__n")).cast("long")
 
@@ -64,18 +64,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 
     buckets = keys.join(classes.select("__src", "__cls", "__slots"), ["__src", "__cls"]).groupBy("__src", "__cls", (F.col("__h") % F.col("__slots")).alias("__slot")).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("__src", "__cls").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("__before_slot", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    # one key for a bucket, so that rows are dealt by the whole of it and only once
+    bucket = F.concat_ws("|", "__cls", "__slot", "__src").alias("__bucket")
+    buckets = buckets.select(bucket, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before_slot"))
 
-    rows = rows.join(classes, ["__src", "__cls"]).withColumn("__slot", F.col("__h") % F.col("__slots"))
-    rows = rows.join(buckets, ["__src", "__cls", "__slot"])
-    inside = Window.partitionBy("__src", "__cls", "__slot").orderBy("size", "__h", F.col(id_col).asc_nulls_last(), F.xxhash64(body(text_col)))
+    rows = rows.join(classes, ["__src", "__cls"]).withColumn("__slot", F.col("__h") % F.col("__slots")).withColumn("__bucket", bucket)
+    rows = rows.join(buckets, "__bucket")
+    inside = Window.partitionBy("__bucket").orderBy("size", "__h", F.col(id_col).asc_nulls_last(), "__t")
     rank = F.col("__before_class") + F.col("__before_slot") + F.row_number().over(inside)
     rate = F.when(F.col("__words") > 0, F.col("__target") / F.col("__words")).otherwise(0.0)
     rows = rows.withColumns({"__rank": rank, "__rate": rate})
     start = _offset(F.col("__src"))
     copies = F.floor(F.col("__rate") * F.col("__rank") + start) - F.floor(F.col("__rate") * (F.col("__rank") - 1) + start)
     rows = rows.withColumns({"source_size": F.col("__words"), "target": F.col("__target"), "copies": F.least(copies, F.ceil("__rate")).cast("long")})
-    return rows.drop("__src", "__cls", "__h", "__slots", "__slot", "__before_class", "__before_slot", "__words", "__target", "__rank", "__rate")
+    return rows.drop("__src", "__cls", "__h", "__t", "__slots", "__slot", "__bucket", "__before_class", "__before_slot", "__words", "__target", "__rank", "__rate")
 
 
 def expand(mixed: DataFrame) -> DataFrame:
