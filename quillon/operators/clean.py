@@ -66,7 +66,7 @@ def parsed(df: DataFrame, command: str = "command_line", process: str | None = N
     @F.pandas_udf(PARSED)
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = zip(part[0], part[1] if part.shape[1] > 1 else [None] * len(part))
+            rows = zip(part.iloc[:, 0], part.iloc[:, 1] if part.shape[1] > 1 else [None] * len(part))
             yield pd.DataFrame([parse_row(c, p, rules_on) for c, p in rows], columns=PARSED.names)
 
     once = df.select(*keys).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native
-from ..operators import clean, features, graph, learn, metrics, runs, split
+from ..operators import clean, features, gnn, graph, learn, metrics, runs, split
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -494,3 +494,41 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 def tfidf_word_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return learn.tfidf_rows(docs, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), 1000).select("doc_id", "term", r(F.col("tfidf")).alias("tfidf"))
+
+
+# --- what SQL cannot say: rows only, tests hold them against goldens and plain versions ------
+
+
+@query()
+def parse_commands(spark, sf_dir):
+    return clean.parsed(_commands(spark, sf_dir).withColumnRenamed("c", "command_line")).select("id", "tree", F.array_join("tokens", " ").alias("tokens"), "valid", F.size("nodes").alias("n_nodes"))
+
+
+@query()
+def decode_payloads(spark, sf_dir):
+    made = F.concat(F.lit("powershell.exe -enc "), F.base64(F.encode(F.concat(F.lit("Get-Item "), "p_name"), "UTF-16LE")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made.alias("command_line"))
+    return clean.parsed(rows).select("id", "tree")
+
+
+@query()
+def logistic_manual(spark, sf_dir):
+    f = features.manual_features(F.col("text"))
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("toxic").alias("label"), *(c.alias(k) for k, c in f.items()))
+    rows = split.stratified_split(rows, "doc_id", 42, 0.3)
+    train, test = learn.scale(rows.where("not is_test"), [rows.where("is_test")], list(f))
+    model = learn.logistic(train, list(f), max_iter=100)
+    return metrics.metrics(model.transform(test).select("label", F.col("prediction").cast("int").alias("pred")))
+
+
+@query()
+def graph_forward(spark, sf_dir):
+    parsed = clean.parsed(_commands(spark, sf_dir).withColumnRenamed("c", "command_line")).where("nodes is not null")
+    nodes = graph.nodes_of(parsed, "id")
+    edge_rows = graph.edges(nodes)
+    f = features.token_features(F.col("value"))
+    x = nodes.select("graph_id", "idx", *(c.alias(k) for k, c in f.items())).join(graph.positional_features(nodes), ["graph_id", "idx"])
+    columns = [c for c in x.columns if c not in ("graph_id", "idx")]
+    labels = parsed.select(F.col("id").alias("graph_id"), (F.col("id") % 2).cast("int").alias("label"), graph.rule_label(F.col("tokens")).alias("rule_label"))
+    rows = gnn.graph_rows(x, edge_rows, columns, labels)
+    return gnn.predict(rows, gnn.Model("rgcn", len(columns), hidden=32).start(7)).select("graph_id", "pred")
