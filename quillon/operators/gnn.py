@@ -296,12 +296,16 @@ def train(graphs: DataFrame, held: DataFrame, model: Model, loss: str = "smoothe
     return pickle.loads(best), history
 
 
+def _field(name: str):
+    return lambda t: t[name]
+
+
 def graph_rows(nodes: DataFrame, edge_rows: DataFrame, feature_columns: list[str], labels: DataFrame) -> DataFrame:
     """One row per graph out of node features, edges, and (graph_id, label, rule_label). Rows of a node table go by idx."""
     x = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.array(*(F.col(c).cast("double") for c in feature_columns)).alias("v")))).alias("rows"))
     x = x.select("graph_id", F.flatten(F.transform("rows", lambda t: t["v"])).alias("x"), F.lit(len(feature_columns)).alias("width"))
     e = edge_rows.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "type"))).alias("e"))
-    e = e.select("graph_id", *(F.transform("e", lambda t, c=c: t[c]).alias(c) for c in ("src", "dst", "type")))
+    e = e.select("graph_id", *(F.transform("e", _field(c)).alias(c) for c in ("src", "dst", "type")))
     return labels.join(x, "graph_id").join(e, "graph_id")
 
 

@@ -74,8 +74,8 @@ def test_payloads():
     for data in (text.encode("utf-16-le"), text.encode(), gzip.compress(text.encode())):
         assert decode.payload_text(base64.b64encode(data).decode()) == text
     assert decode.payload_text("") is None and decode.payload_text(base64.b64encode(b"\x01").decode()) is None
-    tree = cmdline.parse("powershell.exe -enc " + base64.b64encode("Get-Date now".encode("utf-16-le")).decode())
-    assert tree == ["powershell.exe", "-enc", ("get-date", "now")]
+    tree = cmdline.parse("powershell.exe -enc " + base64.b64encode("Get-ChildItem C now".encode("utf-16-le")).decode())
+    assert tree == ["powershell.exe", "-enc", ("get-childitem", "c", "now")]
 
 
 @settings(max_examples=150, deadline=None)
