@@ -69,6 +69,23 @@ def test_rule_table_is_whole():
     assert sorted(set(numbers)) == list(range(2, 121)) and numbers == sorted(numbers)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("cmd.exe C:\\a\\b ~1 @ user=x 20250102 10:11 AM ://h http://x.com/y 1.2.3.4 fe80::1 -p 1:2 $a =1 %V%\\x ../q.sh sleep 5 a-b \\\\h\\s /a/b ^& `n ( .ssh/x tcp:h,1 /ST 10:10 find 12 guid".split(" ")), max_size=12))
+def test_literals_change_nothing(parts):
+    text = " ".join(parts)
+    s = rules.State(text)
+    gate = True
+    for step in rules.PROGRAM:
+        if isinstance(step, str):
+            rules.MARKS[step](s)
+            continue
+        if step.number not in rules._SHARED_GATE:
+            gate = step.gate is None or step.gate(s)
+        if gate:
+            s.text = step.pattern.sub(step.replacement, s.text)
+    assert rules.rewrite(text) == s.text.strip()
+
+
 def test_payloads():
     text = "Write-Host 'hello world'"
     for data in (text.encode("utf-16-le"), text.encode(), gzip.compress(text.encode())):
