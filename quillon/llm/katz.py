@@ -10,7 +10,7 @@ grows by one, and that one is the mass. A context never seen hands its token to
 the lower order whole. Where Good-Turing is not usable (a count of counts is
 zero, or a discount leaves (0, 1]), an order's counts are not discounted.
 
-Plan. Documents are packed once into chunks of some ten megabytes of text: a
+Plan. Documents are packed once into chunks of some eight megabytes of text: a
 table of word hashes and token places in the shared folder. Per order, chunks
 send their distinct grams with training counts, sorted by hash and cut into hash
 ranges, to the tasks that own the ranges; these add up, and answer each chunk
@@ -266,7 +266,7 @@ def _exchange(store: DataFrame, send: Callable, answer: Callable, name: str) ->
     return path
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = 2, chunk_bytes: int = 24 << 20, id_col: str = "doc_id", text_col: str = "text", base_add: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = 2, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", base_add: float = 0.1) -> DataFrame:
     """A row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score (add-constant unigrams) and score (log10). Learns from rows that are not held out."""
     spark = docs.sparkSession
     ship(spark)
