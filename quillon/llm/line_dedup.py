@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, body
+from .common import SPACE, ascii_lower, body, stored
 
 
 def _lines(text: Column) -> Column:
@@ -51,7 +51,8 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_c
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text that is left, n_lines (before dropping) and n_dropped. See the module's notes for nulls and ties."""
-    frequent = frequent_lines(docs, min_docs, min_chars, id_col, text_col).drop("n_docs")
+    # a table, so that its size is known and a line of very many documents can be split among tasks
+    frequent = stored(frequent_lines(docs, min_docs, min_chars, id_col, text_col).drop("n_docs"), "frequent-lines")
     lines = _line_table(docs, id_col, text_col).where(F.col("__n") >= min_chars)
     # collect_set: repeated rows share a key and give the same positions
     dropped = lines.join(frequent, ["__h", "__g"]).groupBy("__id", "__th").agg(F.sort_array(F.collect_set("__pos")).alias("__drop"))
