@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, body, hash32
+from .common import SPACED_WORD, body, hash32, stored
 
 
 def _offset(source_key: Column) -> Column:
@@ -60,7 +60,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     targets = source_targets(classes.groupBy("__src").agg(F.sum("__words").alias("__words")), weights, share, cap)
     earlier = Window.partitionBy("__src").orderBy("__cls").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumns({"__slots": slots, "__before_class": F.coalesce(F.sum("__n").over(earlier), F.lit(0))}).drop("__words", "__n")
-    classes = classes.join(targets, "__src")
+    # a table of some rows per source: its size is known, and a large source can be split among tasks
+    classes = stored(classes.join(targets, "__src"), "mix-classes")
 
     buckets = keys.join(classes.select("__src", "__cls", "__slots"), ["__src", "__cls"]).groupBy("__src", "__cls", (F.col("__h") % F.col("__slots")).alias("__slot")).agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("__src", "__cls").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
