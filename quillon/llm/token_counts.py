@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import SPACE, body, ship
+from .common import SPACE, body, ship, stored
 
 CACHE = "digest binary, n_tokens long"
 
@@ -107,9 +107,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, by_words
                 counts += count(some) if some else []
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
-    missing = docs.select(key.alias("digest"), content.alias("content")).join(read_cache(spark, cache_path, tokenizer_version), "digest", "left_anti").dropDuplicates(["digest"])
+    # repeated contents go before the shuffle, task by task, so that no content is hot; the join with the cache reads the same partitions
+    distinct = docs.select(key.alias("digest"), content.alias("content")).dropDuplicates(["digest"])
+    missing = distinct.join(read_cache(spark, cache_path, tokenizer_version), "digest", "left_anti")
     missing.select("digest", "content").mapInArrow(encode, CACHE).withColumn("version", F.lit(tokenizer_version)).write.partitionBy("version").mode("append").parquet(cache_path)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("n_bytes", "n_tokens")]
     rows = docs.select(*kept, key.alias("__digest"), F.octet_length(body(text_col)).cast("long").alias("n_bytes"))
-    counts = read_cache(spark, cache_path, tokenizer_version).withColumnsRenamed({"digest": "__d", "n_tokens": "__n"})
+    # a table, so that a content of very many rows can be split among tasks
+    counts = stored(read_cache(spark, cache_path, tokenizer_version).select(F.col("digest").alias("__d"), F.col("n_tokens").alias("__n")), "token-counts")
     return rows.join(counts, F.col("__digest") == F.col("__d"), "left").select(*kept, "n_bytes", F.col("__n").alias("n_tokens"))
