@@ -40,7 +40,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), held_out, max_rows=toxicity.MAX_ROWS)
     return toxicity.score(docs, scorer, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
