@@ -47,7 +47,7 @@ def fingerprints(hashes: np.ndarray, first: np.ndarray, k: int, w: int) -> tuple
         return at, grams[at]
     _, whole = vectext.ngrams(hashes, first, k + w - 1)
     best, at = grams.copy(), np.arange(n)
-    for j in range(1, w):
+    for j in range(1, min(w, n)):
         less = grams[j:] <= best[: n - j]
         best[: n - j][less] = grams[j:][less]
         at[: n - j][less] = np.arange(j, n)[less]

@@ -66,6 +66,16 @@ def test_decontaminate_plans_agree_and_match_brute(spark):
     assert clean.where("contaminated").count() == 0 and clean.count() == len(rows)
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_decontaminate_one_short_document(spark, n):
+    """A block of one text of fewer words than a fingerprint's window."""
+    words = ["one", "two", "three", "four", "five", "six"][:n]
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(12))), (2, "two three")], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        out = decontaminate.decontaminate(frame(spark, [(1, " ".join(words), "a")]).coalesce(1), bench, broadcast_bytes=limit)
+        assert [(x.n_words, x.n_hit, x["items"]) for x in out.collect()] == [(n, 2, ["2"]) if n >= 3 else (n, 0, [])]
+
+
 def test_token_counts(spark, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
