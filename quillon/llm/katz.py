@@ -7,8 +7,11 @@ normalise exactly: alpha(context) = (1 - sum of discounted probabilities of what
 was seen after it) / (1 - sum of the lower order's probabilities of the same).
 At order 1 it goes to one unknown word. Where a context frees no mass, its total
 grows by one, and that one is the mass. A context never seen hands its token to
-the lower order whole. Where Good-Turing is not usable (a count of counts is
-zero, or a discount leaves (0, 1]), an order's counts are not discounted.
+the lower order whole. Where plain Good-Turing is not usable (a count of counts
+is zero, or a discount leaves (0, 1], as groups of copies make it), an order's
+counts of counts are first smoothed by a log-linear fit; where that does not fall
+as it must, counts lose an absolute discount. An order is not discounted only
+where nothing occurs once and no line can be fitted.
 
 Plan. Documents are packed once into chunks of some eight megabytes of text: a
 table of word hashes and token places in the shared folder. Per order, chunks
@@ -211,17 +214,35 @@ def _add(key: tuple, table: pa.Table) -> pa.Table:
     return _answer_table(key[0].as_py(), chunks, [[pack(s[index[a:b]]) for s in sums] for a, b in zip(first[:-1], first[1:])])
 
 
+def smoothed(n: list[int]) -> np.ndarray | None:
+    """Counts of counts (index 0 unused) by simple Good-Turing: each is spread over the zeros beside it, and a line is fitted in logarithms. None without two points or a fall steeper than 1 / r, which no discount can come from."""
+    r = np.flatnonzero(n)
+    if len(r) < 2:
+        return None
+    gap = np.diff(np.r_[0, r, 2 * r[-1] - r[-2]])
+    slope, height = np.polyfit(np.log(r), np.log(2 * np.array(n, float)[r] / (gap[:-1] + gap[1:])), 1)
+    return np.r_[0.0, np.exp(height + slope * np.log(np.arange(1, len(n))))] if slope < -1 else None
+
+
+def katz_factors(n) -> np.ndarray | None:
+    """Katz's factors of counts of counts 0 to LIMIT + 1 (index 0 unused); None if one is not in (0, 1]."""
+    if min(n[1:]) <= 0 or (rest := (LIMIT + 1) * n[LIMIT + 1] / n[1]) >= 1:
+        return None
+    d = np.array([1.0, *(((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) for r in range(1, LIMIT + 1))])
+    return d if ((d > 0) & (d <= 1)).all() else None
+
+
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
-    """Katz's factors for counts 0 to LIMIT (index 0 unused); all ones where they are not usable."""
+    """Factors for counts 0 to LIMIT (index 0 unused): Katz's, of the smoothed counts of counts where the plain ones give none; else 1 - D / r with D = n1 / (n1 + 2 n2). All ones where nothing occurs once and no line can be fitted."""
     n = [0, *counts_of_counts]
-    out = np.ones(LIMIT + 1)
-    if min(n[1 : LIMIT + 2]) == 0:
-        return out
-    rest = (LIMIT + 1) * n[LIMIT + 1] / n[1]
-    if rest >= 1:
-        return out
-    d = np.array([1.0, *(((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) for r in range(1, LIMIT + 1))])
-    return d if ((d > 0) & (d <= 1)).all() else out
+    d = katz_factors(n)
+    if d is None and (line := smoothed(n)) is not None:
+        d = katz_factors(line)
+    if d is None:
+        d = np.ones(LIMIT + 1)
+        if n[1]:
+            d[1:] -= n[1] / (n[1] + 2 * max(n[2], 1)) / np.arange(1, LIMIT + 1)
+    return d
 
 
 def discounted(counts: np.ndarray, factors: np.ndarray) -> np.ndarray:

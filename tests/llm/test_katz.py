@@ -87,3 +87,36 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b", False)] * 3 + [(None, "a b", None)], "doc_id long, text string, held boolean")
     got = katz.score_texts(df, F.col("held")).collect()
     assert len(got) == 4 and {r.train_tokens for r in got} == {12} and len({r.score for r in got}) == 1
+
+
+def fitted(n):
+    """Katz's factors of a line through log r, log n[r], by plain sums."""
+    x, y = [math.log(r) for r in range(1, 7)], [math.log(c) for c in n]
+    mx, my = sum(x) / 6, sum(y) / 6
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y)) / sum((a - mx) ** 2 for a in x)
+    rest = 6 ** (slope + 1)
+    return [(((r + 1) / r) ** (slope + 1) - rest) / (1 - rest) for r in range(1, 6)]
+
+
+def test_discounts():
+    plain = [1000, 400, 210, 130, 90, 66]
+    rest = 6 * 66 / 1000
+    assert katz.discounts(plain)[1:].tolist() == pytest.approx([((r + 1) * plain[r] / (r * plain[r - 1]) - rest) / (1 - rest) for r in range(1, 6)])
+    copies = [100000, 15000, 4000, 1904, 2579, 900]  # more of count 5 than of count 4
+    assert katz.discounts(copies)[1:].tolist() == pytest.approx(fitted(copies))
+    for n in (copies, [0, 900, 0, 200, 0, 70], [500, 0, 0, 0, 0, 0], [500, 20, 0, 0, 30, 0], [10, 10, 10, 10, 10, 10], [5, 6, 7, 8, 9, 50]):
+        d = katz.discounts(n)[1:]
+        assert ((d > 0) & (d < 1)).all(), n
+    assert katz.discounts([0, 0, 0, 3, 0, 0]).tolist() == [1] * 6  # one count alone: nothing to learn from
+
+
+def test_copies_are_discounted(spark):
+    """Bigrams of a text with groups of copies: the scores are those of discounted counts."""
+    docs = [(i, t, False) for i, t in enumerate([*(f"a{i} b{i}" for i in range(100)), *(f"a{i} b{i}" for i in range(30)), *(f"c{i % 20} d{i % 20}" for i in range(60)), *(f"f{i % 2} g{i % 2}" for i in range(8)), *(f"h{i % 9} i{i % 9}" for i in range(45)), *["x y"] * 6])]
+    got = {r.doc_id: r.score for r in katz.score_texts(spark.createDataFrame([*docs, (999, "a99 i0", True)], "doc_id long, text string, held boolean"), F.col("held"), order=2).collect()}
+    # each word of these is seen in one context: a gram of count r, of total r, has its factor as probability, but for the first word
+    n1, n = [70, 30, 20, 2, 9, 1], sum((70, 60, 60, 8, 45, 6))
+    first, inner = fitted([70, 30, 20, 2, 9, 1]), fitted([140, 60, 40, 4, 18, 2])
+    assert sum(r * c for r, c in zip(range(1, 7), n1)) == n
+    assert 10 ** got[99] == pytest.approx(first[0] / n * inner[0] ** 2)
+    assert 10 ** got[160] == pytest.approx(3 * first[2] / n * inner[2] ** 2)
