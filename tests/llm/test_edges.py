@@ -191,6 +191,20 @@ def test_near_duplicates_against_brute(spark):
     assert [x.component_id for x in alone] == [None, None] and all(x.kept for x in alone)
 
 
+def test_near_duplicates_with_a_hot_passage(spark):
+    """Pairs are found whatever number of texts, which share a passage with them, sort between."""
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(154)]
+    own = lambda n: [f"o{r.randrange(10**9)}" for _ in range(n)]
+    rows = [(10000 + i, " ".join(passage + own(40)), "a") for i in range(2500)]
+    for i in range(400):
+        w = own(40)
+        rows += [(2 * i, " ".join(passage + w), "a"), (2 * i + 1, " ".join(passage + w[:20] + own(20)), "a")]
+    r.shuffle(rows)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(frame(spark, rows), percent=80, keep=["doc_id"]).collect()}
+    assert got == {i: i if i >= 10000 else i - i % 2 for i, _, _ in rows}
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = list(range(n))
