@@ -4,36 +4,42 @@ from __future__ import annotations
 
 import base64
 import gzip
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 # Encodings by priority, and characters that only wrong decoding gives.
 ENCODINGS = ("utf-16-le", "utf-8", "cp1252", "latin-1")
-WRONG = "謟\u8b1f␊獡摤獦晤㐱㴠∠"
+WRONG = re.compile("[謟␊獡摤獦晤㐱㴠∠]")
 CONTROLS = re.compile("[\x01-\x08\x0b\x0c\x0e-\x1f]")
 MOST_CONTROLS, LEAST_READABLE = 0.02, 0.5
+#: Bytes as they are, as raw deflate, as gzip.
+PACKINGS: tuple[Callable[[bytes], bytes], ...] = (bytes, lambda x: zlib.decompress(x, -15), gzip.decompress)
 
 
 def raw_bytes(text: str) -> bytes | None:
     """Lenient Base64: missing padding is added; None for what cannot be decoded or is empty."""
-    if not text:
-        return None
     try:
-        return base64.b64decode(text + "=" * (-len(text) % 4))
+        return base64.b64decode(text + "=" * (-len(text) % 4)) or None
     except ValueError:
         return None
 
 
-def unpacked(data: bytes) -> Iterator[bytes]:
-    yield data
-    for unpack in (lambda x: zlib.decompress(x, -15), gzip.decompress):
+def decodings(data: bytes) -> Iterator[str]:
+    """All texts that the bytes can be, by packing and then by encoding."""
+    for unpack, encoding in itertools.product(PACKINGS, ENCODINGS):
         try:
-            yield unpack(data)
-        except (zlib.error, OSError, EOFError):
+            raw = unpack(data)
+            yield raw[: len(raw) // 2 * 2 if encoding == "utf-16-le" else None].decode(encoding)
+        except (zlib.error, OSError, EOFError, UnicodeDecodeError):
             pass
 
 
+def few_controls(text: str) -> bool:
+    return len(CONTROLS.findall(text)) <= MOST_CONTROLS * len(text)
+
+
 def readable(text: str) -> float:
     return sum(c.isprintable() or c in "\r\n\t" for c in text) / len(text) if text else 0.0
 
@@ -41,20 +47,5 @@ def readable(text: str) -> float:
 def payload_text(text: str) -> str | None:
     """The most readable decoding of a Base64 payload, the first of equals; None if all look like binary data."""
     data = raw_bytes(text)
-    if not data:
-        return None
-    best, best_score = None, 0.0
-    for candidate in unpacked(data):
-        for encoding in ENCODINGS:
-            even = len(candidate) - len(candidate) % 2 if encoding == "utf-16-le" else len(candidate)
-            try:
-                decoded = candidate[:even].decode(encoding)
-            except UnicodeDecodeError:
-                continue
-            if not decoded or len(CONTROLS.findall(decoded)) / len(decoded) > MOST_CONTROLS:
-                continue
-            if (score := readable(decoded)) > best_score:
-                best, best_score = decoded, score
-    if best is None or best_score < LEAST_READABLE or any(c in best for c in WRONG):
-        return None
-    return best.replace("\0", "")
+    best = max(filter(few_controls, decodings(data)), key=readable, default="") if data else ""
+    return best.replace("\0", "") if readable(best) >= LEAST_READABLE and not WRONG.search(best) else None

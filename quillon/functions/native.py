@@ -1,4 +1,4 @@
-"""Rules and path functions as column expressions, for those that need no Python; and the same rules as DuckDB SQL."""
+"""Rules and path functions as column expressions, for those that need no Python."""
 
 from __future__ import annotations
 
@@ -21,13 +21,8 @@ GATES: dict[str, tuple[tuple[str, ...], bool]] = {
     "tries": (("wscript", "vbs"), True),
     "duration": ((" /duration ",), False),
 }
-#: Rules with a look-ahead or look-behind, said without one where the text allows it.
-PLAIN = {"sid": (r"(?i)(^|[^A-Za-z])S-1-\d+(?:-\d+)+", r"\1<SID>"), "md5": (r"(?i)\b[0-9a-f]{32}\b", "<md5>")}
-
 
 def _rule(name: str) -> tuple[str, str]:
-    if name in PLAIN:
-        return PLAIN[name]
     rule = rules.RULES[name]
     if not isinstance(rule.replacement, str):
         raise ValueError(f"rule {name} needs Python")
@@ -55,17 +50,6 @@ def apply(text: Column, *names: str) -> Column:
     return text
 
 
-def to_duckdb(name: str, text: str) -> str:
-    pattern, template = _rule(name)
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    out = f"regexp_replace({text}, {quote(pattern)}, {quote(template)}, 'g')"
-    if name not in GATES:
-        return out
-    words, low = GATES[name]
-    where = f"lower({text})" if low else text
-    return f"CASE WHEN {' OR '.join(f'contains({where}, {quote(w)})' for w in words)} THEN {out} ELSE {text} END"
-
-
 def short_name(name: Column, keep: bool = False) -> Column:
     """paths.short_name as an expression."""
     extension = F.substring_index(F.substring_index(name, ".", -1), "@", 1)
@@ -75,14 +59,11 @@ def short_name(name: Column, keep: bool = False) -> Column:
 
 
 def tagged(tag: str, parts: Column, keep_first: bool = False, keep_name: bool = False) -> Column:
-    """paths.tagged as an expression, over an array of parts."""
+    """paths.tagged as an expression, over an array of parts: the same slots, of which those that hold anything are joined."""
     n = F.size(parts)
-    name = F.lower(short_name(F.element_at(parts, -1), keep_name))
-    if keep_first:
-        between = [F.when(n > 1, F.lower(F.get(parts, F.lit(0)))).otherwise(""), F.when(n > 2, "<path>").otherwise("")]
-    else:
-        between = [F.when(n > 2, "<path>").otherwise("")]
-    return F.when(n > 0, F.array_join(F.filter(F.array(F.lit(tag), *between, name), lambda x: x != ""), "\\")).otherwise(tag)
+    first = F.when(n > 1, F.lower(F.get(parts, F.lit(0)))).otherwise("") if keep_first else F.lit("")
+    slots = F.array(F.lit(tag), first, F.when(n > 2, "<path>").otherwise(""), F.lower(short_name(F.element_at(parts, -1), keep_name)))
+    return F.when(n > 0, F.array_join(F.filter(slots, lambda x: x != ""), "\\")).otherwise(tag)
 
 
 def reduce_quotes(command: Column) -> Column:

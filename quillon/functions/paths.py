@@ -1,13 +1,30 @@
-"""How paths shrink to tags: plain functions on strings, used by the rewrite program."""
+"""How paths shrink to tags: plain functions on strings, used by the rewrite program. native.py says the same as column expressions."""
 
 from __future__ import annotations
 
 import regex
 
 _SEPARATORS = regex.compile(r"[\\/]+")
-_STAMP = regex.compile(r"\b([0-9]{10}|[0-9]{13})\b")
 _TRAILING_NUMBER = regex.compile(r"(.+?)\d+")
 TAG_EXTENSION, TAG_NUMBER, TAG_STAMP, TAG_PATH = ".<ext>", "<n>", "<timestamp>", "<path>"
+#: One or more characters that count as digits anywhere in Unicode.
+DIGITS = r"[\p{Numeric_Type=Decimal}\p{Numeric_Type=Digit}]+"
+#: What a file name is, by its last extension (up to an @); without one, by how the name begins.
+KIND = regex.compile(
+    rf"(?s).*\.(?:(?P<program>exe)|(?P<version>{DIGITS})|(?P<extension>[^.@]{{0,8}})|(?P<long>[^.@]*))(?:@[^.]*)?"
+    rf"|(?P<number>{DIGITS})|(?P<stamp>(?:[0-9]{{10}}|[0-9]{{13}})\b.*)|(?P<word>.*)"
+)
+#: What stands for a name of each kind; the last three only if names without an extension are kept.
+SHORT = {
+    "program": lambda m: m[0],
+    "version": lambda m: "",
+    "extension": lambda m: "." + m["extension"],
+    "long": lambda m: TAG_EXTENSION,
+    "number": lambda m: TAG_NUMBER,
+    "stamp": lambda m: TAG_STAMP,
+    "word": lambda m: _TRAILING_NUMBER.sub(r"\1", m[0]),
+}
+BARE = ("number", "stamp", "word")
 
 
 def pieces(path: str | None) -> list[str]:
@@ -16,32 +33,15 @@ def pieces(path: str | None) -> list[str]:
 
 def short_name(name: str, keep: bool = False) -> str:
     """A file name's extension (whole name of an exe); without a dot nothing, or the name without numbers if it is to be kept."""
-    stem, dot, extension = name.rpartition(".")
-    if dot:
-        extension = extension.split("@", 1)[0] if "@" in extension else extension
-        if extension == "exe":
-            return name
-        if extension.isdigit():
-            return ""
-        return TAG_EXTENSION if len(extension) > 8 else "." + extension
-    if not keep:
-        return ""
-    if name.isdigit():
-        return TAG_NUMBER
-    return TAG_STAMP if _STAMP.match(name) else _TRAILING_NUMBER.sub(r"\1", name)
+    m = KIND.fullmatch(name)
+    return SHORT[m.lastgroup](m) if keep or m.lastgroup not in BARE else ""
 
 
 def tagged(tag: str, parts: list[str], keep_first: bool = False, keep_name: bool = False) -> str:
-    """tag, then what stands for the folders between, then the short name, joined by backslashes."""
-    if not parts:
-        return tag
-    *folders, name = parts
-    name = short_name(name, keep_name).lower()
-    if keep_first and folders:
-        between = [folders[0].lower(), *([TAG_PATH] if len(folders) > 1 else [])]
-    else:
-        between = [TAG_PATH] if len(folders) > 1 else []
-    return "\\".join(x for x in (tag, *between, name) if x)
+    """tag \\ first folder (if kept) \\ <path> (for two and more folders) \\ short name, as far as each is there."""
+    *folders, name = parts or [""]
+    slots = (tag, *(f.lower() for f in folders[: int(keep_first)]), TAG_PATH * (len(folders) > 1), short_name(name, keep_name).lower())
+    return "\\".join(filter(None, slots))
 
 
 def base_name(path: str) -> str:
@@ -50,14 +50,12 @@ def base_name(path: str) -> str:
 
 def plain_exe(command: str) -> bool:
     """Whether a command is nothing but a path to a program on drive C."""
-    body = command.strip('"')
-    return bool(regex.fullmatch(r"[Cc]:\\[\\0-9A-Za-z_ ]*\.exe", body))
+    return bool(regex.fullmatch(r"[Cc]:\\[\\0-9A-Za-z_ ]*\.exe", command.strip('"')))
 
 
 def shorten_exe(command: str) -> str:
     """First two parts and the program of a plain exe path; a long name with spaces becomes .exe."""
     bar = "\\\\" if "\\\\" in command else "\\"
-    parts = command.split(bar)
-    if " " in parts[-1] and len(parts[-1]) > 10:
-        parts[-1] = ".exe"
-    return bar.join(parts if len(parts) <= 3 else [*parts[:2], parts[-1]])
+    *folders, name = command.split(bar)
+    name = ".exe" if " " in name and len(name) > 10 else name
+    return bar.join([*folders[:2], name])

@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cmdline, filters
+from ..functions import cmdline
 from ..functions.shipping import ship
 from .features import ascii_share
 
+# Endings and tags that stand for files, and the least numbers of tokens of a command without and with a file.
+PROGRAMS = (".exe", ".ps1", ".bat", ".cmd", ".js", ".py", ".vbs")
+FILE_TAGS = ("<path>", "<users>", "<programfiles>", "<windows>", "<tmp>", "<c>", "<programdata>")
+FEW, FEW_WITH_FILE = 4, 6
+
 ARENA = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("idx", "parent", "pos", "depth", "subtree")] + [T.StructField("value", T.StringType())]))
-PARSED = T.StructType([T.StructField("tree", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("valid", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("nodes", ARENA)])
+PARSED = T.StructType([T.StructField("tree", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()), T.StructField("nodes", ARENA)])
 
 
 def arena(tree: cmdline.Tree | None) -> list[tuple]:
@@ -49,18 +54,23 @@ def arena(tree: cmdline.Tree | None) -> list[tuple]:
 def parse_row(command: str | None, process: str | None, rules_on: bool = True) -> tuple:
     """A failure is a row of its own with the error, not the end of the job."""
     if command is None:
-        return None, None, None, None, None
+        return None, None, None, None
     try:
         tree = cmdline.normalise(command, process, rules_on)
-        tokens = [] if tree is None else cmdline.flat(tree)
-        return json.dumps(tree, ensure_ascii=False), tokens, bool(tokens) and filters.is_valid(tokens), None, arena(tree)
+        return json.dumps(tree, ensure_ascii=False), [] if tree is None else cmdline.flat(tree), None, arena(tree)
     except Exception as e:  # noqa: BLE001
-        return None, None, False, f"{type(e).__name__}: {e}", None
+        return None, None, f"{type(e).__name__}: {e}", None
 
 
 def parsed(df: DataFrame, command: str = "command_line", process: str | None = None, rules_on: bool = True) -> DataFrame:
-    """df with tree (JSON), tokens, valid, error and nodes. Equal commands are parsed once."""
-    ship(df.sparkSession)
+    """df with tree (JSON), tokens, valid, error and nodes.
+
+    Equal commands are parsed once: distinct ones are dealt by their digest to at
+    least two tasks a core, since the parser costs far more than their bytes tell,
+    and results are joined back by digest, without the text.
+    """
+    spark = df.sparkSession
+    ship(spark)
     keys = [command] + ([process] if process else [])
 
     @F.pandas_udf(PARSED)
@@ -69,12 +79,19 @@ def parsed(df: DataFrame, command: str = "command_line", process: str | None = N
             rows = zip(part.iloc[:, 0], part.iloc[:, 1] if part.shape[1] > 1 else [None] * len(part))
             yield pd.DataFrame([parse_row(c, p, rules_on) for c, p in rows], columns=PARSED.names)
 
-    once = df.select(*keys).distinct()
-    once = once.select(*(F.col(k).alias(f"__{i}") for i, k in enumerate(keys)), parse(F.struct(*(F.col(k).alias(str(i)) for i, k in enumerate(keys)))).alias("__parsed"))
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__{i}"))
-    return df.join(once, on).select(*df.columns, "__parsed.*")
+    digest = F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in keys)).cast("binary")))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    once = df.select(*keys).distinct().withColumn("__digest", digest).repartition(tasks, "__digest")
+    once = once.select("__digest", parse(F.struct(*(F.col(k).alias(str(i)) for i, k in enumerate(keys)))).alias("__parsed"))
+    rows = df.withColumn("__of", digest).join(once, F.col("__of") == F.col("__digest"))
+    return rows.select(*df.columns, *parsed_columns(F.col(command), F.col("__parsed")))
+
+
+def parsed_columns(command: Column, row: Column) -> list[Column]:
+    """tree, tokens, valid, error and nodes out of the parser's struct; only a null command has no say on valid."""
+    usable = row["error"].isNull() & (F.size(row["tokens"]) > 0) & valid_tokens(row["tokens"])
+    valid = F.when(command.isNotNull(), F.coalesce(usable, F.lit(False)))
+    return [row["tree"].alias("tree"), row["tokens"].alias("tokens"), valid.alias("valid"), row["error"].alias("error"), row["nodes"].alias("nodes")]
 
 
 def mostly_ascii(df: DataFrame, command: str = "command_line", least: float = 0.8) -> DataFrame:
@@ -85,11 +102,11 @@ def valid_tokens(tokens: Column) -> Column:
     """The validity filter as an expression, for tokens that are already an array."""
     one_dot = lambda t: F.length(t) - F.length(F.replace(t, F.lit("."), F.lit(""))) == 1
     name, extension = lambda t: F.substring_index(t, ".", 1), lambda t: F.substring_index(t, ".", -1)
-    ends = lambda t: t.rlike("(" + "|".join(x.replace(".", "[.]") for x in filters.PROGRAMS) + ")$")
-    tags = lambda t: t.rlike("|".join(filters.FILE_TAGS))
-    file = lambda t: (one_dot(t) & ((F.length(extension(t)) + 1 < filters.FEW_WITH_FILE) | name(t).rlike(r"[\\/]$"))) | ends(t) | tags(t)
+    ends = lambda t: t.rlike("(" + "|".join(x.replace(".", "[.]") for x in PROGRAMS) + ")$")
+    tags = lambda t: t.rlike("|".join(FILE_TAGS))
+    file = lambda t: (one_dot(t) & ((F.length(extension(t)) + 1 < FEW_WITH_FILE) | name(t).rlike(r"[\\/]$"))) | ends(t) | tags(t)
     n, first = F.size(tokens), F.get(tokens, F.lit(0))
-    long_enough = (n >= filters.FEW_WITH_FILE) | ((n >= filters.FEW) & ~F.exists(F.slice(tokens, 2, F.greatest(n, F.lit(1))), file))
+    long_enough = (n >= FEW_WITH_FILE) | ((n >= FEW) & ~F.exists(F.slice(tokens, 2, F.greatest(n, F.lit(1))), file))
     host = first.rlike(r"^\\*([0-9]|<int_ip>|<ext_ip>|<host>)")
     odd = first.isin("//", "x") | F.startswith(first, F.lit("//--"))
     assigns = (n >= 3) & (F.get(tokens, F.lit(1)) == "=") & first.rlike("^[%$]")

@@ -1,50 +1,37 @@
-"""Lexical features as column expressions: all of it stays in the JVM."""
+"""Lexical features as column expressions: what counts characters is one Arrow pass over the text, all else stays in the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Counted characters, and words looked for, with the features' names.
-COUNTED = {"caret": "^", "dollar": "$", "percent": "%", "pipe": "|", "greater": ">", "less": "<", "ampersand": "&", "semicolon": ";", "backslash": "\\", "slash": "/", "dash": "-", "single_quote": "'", "double_quote": '"', "at": "@", "braces": "{}", "brackets": "[]"}
+from ..functions import chars
+from ..functions.chars import COUNTED
+
+# Words looked for, with the features' names.
 WORDS = {"ps": ("powershell", "pwsh"), "cmd": ("cmd",), "http": ("http",), "exe": (".exe",), "dll": (".dll",), "ps1": (".ps1",), "bat": (".bat",), "b64": ("base64", "-enc"), "invoke": ("invoke-",), "hidden": ("-w hidden", "-windowstyle hidden"), "bypass": ("-ep bypass", "-executionpolicy bypass"), "noni": ("-noni",), "nop": ("-nop",)}
 PATH_TAGS = ("<path>", "<program_files>", "<Users>", "<Windows>", "<C>", "<tmp>")
 SECRET_TAGS = ("<key>", "<token>", "<hex_id>", "<client_id>", "<pass>", "<arn>", "<code>", "<md5>", "<SID>")
 ADDRESS = r"(?:^|[^\p{L}\p{N}_])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?:$|[^\p{L}\p{N}_])"
-#: Characters that are neither ASCII nor white space.
-OUTSIDE = r"[^\x00-\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-HOSTILE, QUOTES = "^`%$+&;", "\"'"
-
-
-def count_of(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("double")
-
-
-def count_like(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; linear in the text for a bounded alphabet."""
-    n = F.length(text)
-    chars = F.array_distinct(F.split(text, ""))
-    share = lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n
-    return F.when(n > 0, F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda s, c: s - share(c) * F.log2(share(c)))).otherwise(0.0)
+    """Shannon entropy of the characters, in bits; 0 for a null or empty text."""
+    return chars.stats(text)["entropy"]
 
 
 def manual_features(text: Column) -> dict[str, Column]:
     """The 43 hand-made features of a text, by name; a null or empty text gives zeros."""
     text = F.coalesce(text, F.lit(""))
     low = F.lower(text)
-    tokens = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda t: t != "")
-    n, k = F.length(text).cast("double"), F.size(tokens).cast("double")
-    alpha, digit, space, upper, lower = (count_like(text, p) for p in (r"\p{L}", r"[0-9]", r"[\x20\x09-\x0D]", r"\p{Lu}", r"\p{Ll}"))
+    s = chars.stats(text)
+    n, k, alpha, digit, space, upper, lower = (s[c].cast("double") for c in ("length", "num_tokens", "alpha", "digit", "space", "upper", "lower"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(a)
     out = {
         "length": n,
         "num_tokens": k,
         "avg_token_len": F.when(k > 0, n / k).otherwise(0.0),
-        "max_token_len": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)).cast("double"),
+        "max_token_len": s["max_token_len"].cast("double"),
         "alpha": alpha,
         "digit": digit,
         "space": space,
@@ -53,9 +40,9 @@ def manual_features(text: Column) -> dict[str, Column]:
         "upper_lower_ratio": ratio(upper, lower),
         "digit_alpha_ratio": ratio(digit, alpha),
         "special_ratio": F.when(n > 0, (n - alpha - digit - space) / n).otherwise(0.0),
-        "entropy": entropy(text),
+        "entropy": s["entropy"],
     }
-    out |= {f"n_{name}": count_of(text, chars) for name, chars in COUNTED.items()}
+    out |= {f"n_{name}": s[name].cast("double") for name in COUNTED}
     for name, words in WORDS.items():
         hit = F.lit(False)
         for w in words:
@@ -87,13 +74,14 @@ def token_features(token: Column, compat: bool = True) -> dict[str, Column]:
         "is_url": replaced & either(has("<url>")),
         "is_date": replaced & either(has("<date>", "<timestamp>")),
     }
-    out = {"log_len": F.log1p(F.length(token).cast("double")), "entropy": entropy(token)}
+    s = chars.stats(token)
+    out = {"log_len": F.log1p(s["length"].cast("double")), "entropy": s["entropy"]}
     out |= {k: v.cast("double") for k, v in flags.items()}
-    out |= {"log_hostile": F.log1p(count_of(token, HOSTILE)), "log_quotes": F.log1p(count_of(token, QUOTES))}
+    out |= {"log_hostile": F.log1p(s["hostile"].cast("double")), "log_quotes": F.log1p(s["quotes"].cast("double"))}
     return out | {k: v.cast("double") for k, v in after.items()}
 
 
 def ascii_share(text: Column) -> Column:
-    """Share of characters that are ASCII or white space."""
-    n = F.length(text)
-    return F.when(n > 0, 1 - F.regexp_count(text, F.lit(OUTSIDE)) / n)
+    """Share of characters that are ASCII or white space; null for a text without characters."""
+    s = chars.stats(text)
+    return F.when(s["length"] > 0, 1 - s["outside"] / s["length"])

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 # Edge types, and which stay under an ablation.
 CHILD, NEXT, PARENT, PREVIOUS, SELF = range(5)
 KEEP = {"all": (0, 1, 2, 3, 4), "self_loops_only": (4,), "self_loops_parent_child": (0, 2, 4), "self_loops_sequential": (1, 3, 4)}
@@ -55,12 +57,18 @@ def positional_features(nodes: DataFrame) -> DataFrame:
     )
 
 
-def depth_and_subtree(links: DataFrame, levels: int) -> DataFrame:
-    """For a tree given as (node, parent), of at most levels levels: each node's depth and the size of its subtree. One join a level."""
-    at = links.where(F.col("parent").isNull()).select("node", F.lit(0).alias("depth"), F.array("node").alias("path"))
+def depth_and_subtree(links: DataFrame) -> DataFrame:
+    """For trees given as (node, parent; null at a root): each node's depth and the size of its subtree.
+
+    One join a level until a level is empty; levels are stored, so that lineage
+    does not grow. A node that no root reaches (its parent is missing, or it is on
+    a circle) is in no tree and gives no row.
+    """
+    at = stored(links.where(F.col("parent").isNull()).select("node", F.lit(0).alias("depth"), F.array("node").alias("path")), "level")
     every = at
-    for _ in range(levels - 1):
-        at = links.join(at.select(F.col("node").alias("parent"), "depth", "path"), "parent").select("node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+    while not at.isEmpty():
+        above = at.select(F.col("node").alias("parent"), "depth", "path")
+        at = stored(links.join(above, "parent").select("node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path")), "level")
         every = every.unionByName(at)
     sizes = every.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("subtree"))
     return every.select("node", "depth").join(sizes, "node")

@@ -50,13 +50,13 @@ def tfidf_rows(docs: DataFrame, key: str, terms: Column, vocabulary: int = 50_00
     return x.withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
 
 
-def tfidf_logistic(train: DataFrame, text: str, label: str = "label", analyzer: str = "word", vocabulary: int = 50_000) -> tuple[PipelineModel, Column]:
+def tfidf_logistic(train: DataFrame, text: str, label: str = "label", analyzer: str = "word", vocabulary: int = 50_000, max_iter: int = 1000) -> tuple[PipelineModel, Column]:
     """A model on TF-IDF vectors, and the expression of the terms it reads (as column terms)."""
     terms = {"word": lambda t: word_grams(t, 1, 3), "char": lambda t: char_grams(t, 3, 5), "char_wb": lambda t: char_grams(t, 3, 5, True)}[analyzer](F.coalesce(F.col(text), F.lit("")))
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     n = sum(counts.values())
     weight = F.when(F.col(label) == 1, n / (2.0 * max(1, counts.get(1, 0)))).otherwise(n / (2.0 * max(1, counts.get(0, 0))))
-    stages = [CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=100, regParam=1.0 / max(1, n))]
+    stages = [CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / max(1, n))]
     return Pipeline(stages=stages).fit(train.withColumn("terms", terms).withColumn("weight", weight)), terms
 
 

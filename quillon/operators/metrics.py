@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def _safe(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -62,9 +64,18 @@ def with_rule_label(df: DataFrame, pred: str = "pred", rule: str = "rule_label")
 
 
 def errors(df: DataFrame, key: str, label: str = "label", pred: str = "pred") -> DataFrame:
-    """False positives and negatives with their rank by key within each kind."""
+    """False positives and negatives with their rank by key within each kind.
+
+    No task holds a kind: rows are stored in ranges of the key, whose counts give
+    each range's first rank, and are ranked inside the ranges.
+    """
     wrong = df.where(F.col(label) != F.col(pred)).withColumn("kind", F.when(F.col(label) == 0, "FP").otherwise("FN"))
-    return wrong.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(key)))
+    rows = stored(wrong.repartitionByRange("kind", key).withColumn("__range", F.spark_partition_id()), "errors")
+    counts = rows.groupBy(F.col("kind").alias("__kind"), F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__kind").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(counts.withColumn("__before", before), (F.col("kind") == F.col("__kind")) & (F.col("__range") == F.col("__r")))
+    inside = F.row_number().over(Window.partitionBy("kind", "__range").orderBy(key))
+    return rows.withColumn("rank", F.col("__before") + inside).drop("__range", "__kind", "__r", "__n", "__before")
 
 
 # Losses of a row from its two logits and its label.

@@ -20,11 +20,13 @@ def sorted_rows(df: DataFrame, by: str | None, limit: int | None = None) -> Data
 
 
 def mean_std(df: DataFrame, values: list[str], keys: list[str] | None = None, sort_by: str | None = None, limit: int | None = None) -> DataFrame:
-    """Mean and population deviation of values by the keys there are (rows of null keys are a group); a limit is applied to the rows before they are grouped."""
+    """Mean and population deviation of values by the keys there are (rows of null keys are a group), NaN and null left out; a limit is applied to the rows before they are grouped. A group without values has deviation 0, a whole table without values none."""
     if sort_by or limit is not None:
         df = sorted_rows(df, sort_by, limit)
     keys = present(df, KEYS) if keys is None else keys
-    out = [c for v in values for c in (F.avg(v).alias(f"{v}_mean"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias(f"{v}_std"))]
+    there = {v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v)) for v in values}
+    std = lambda x: F.coalesce(F.stddev_pop(x), F.lit(0.0)) if keys else F.stddev_pop(x)
+    out = [c for v, x in there.items() for c in (F.avg(x).alias(f"{v}_mean"), std(x).alias(f"{v}_std"))]
     return df.groupBy(*keys).agg(*out)
 
 
@@ -39,15 +41,15 @@ def cell(value: Column, whole: bool = False) -> Column:
 
 
 def parse_run_path(path: Column) -> dict[str, Column]:
-    """The parts of …/timestamp/test_size/seedN/ft/ea/embedder/feature_config/MODEL_loss_model.pt, found from the seed part."""
+    """The parts of …/test_size/seedN/ft/ea/embedder/feature_config/MODEL_loss_model.pt, found from the seed part; null where the path is no run's (too short, or no number before the seed)."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
     seed = F.array_position(F.transform(parts, lambda x: x.rlike("^seed[0-9]+$")), True).cast("int")
     at = lambda k: F.get(parts, seed - 1 + k)
-    file = F.element_at(parts, -1)
-    stem = F.regexp_replace(file, r"_model\.pt$", "")
-    ok = (seed >= 3) & (F.size(parts) >= seed + 5)
+    stem = F.regexp_replace(F.element_at(parts, -1), r"_model\.pt$", "")
+    test_size = at(-1).try_cast("double")
+    ok = (seed >= 2) & (F.size(parts) >= seed + 5) & test_size.isNotNull()
     found = {
-        "timestamp": at(-2), "test_size": at(-1).cast("double"), "seed": F.regexp_extract(at(0), "^seed([0-9]+)$", 1).cast("int"), "feature_type": at(1), "edge_ablation": at(2),
+        "timestamp": at(-2), "test_size": test_size, "seed": F.regexp_extract(at(0), "^seed([0-9]+)$", 1).try_cast("int"), "feature_type": at(1), "edge_ablation": at(2),
         "embedder": F.regexp_replace(at(3), "^([^_]*)_", "$1/"), "feature_config": at(4), "model": F.substring_index(stem, "_", 1), "loss": F.regexp_extract(stem, "^[^_]*_(.*)$", 1),
         "run_dir": F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/"),
     }
@@ -55,18 +57,20 @@ def parse_run_path(path: Column) -> dict[str, Column]:
 
 
 def parsed_runs(df: DataFrame, path: str = "path") -> DataFrame:
+    """The runs among paths; others are left out."""
     return df.select(path, *(c.alias(k) for k, c in parse_run_path(F.col(path)).items())).where(F.col("seed").isNotNull())
 
 
-def lookup(runs: DataFrame, models: list[str] | None = None, prefixes: list[str] | None = None, **equal) -> DataFrame:
-    """Runs whose columns equal what is asked; models is a list to be in, prefixes of the lower-case model name are alternatives."""
-    for column, value in equal.items():
-        if value is not None:
+def lookup(runs: DataFrame, models: list[str] | None = None, prefixes: list[str] | None = None, **asked) -> DataFrame:
+    """Runs whose columns equal what is asked, or are in it if it is a list. models are exact; prefixes are beginnings of model and loss (MODEL_loss) in any case, of which one must fit."""
+    for column, value in (asked | {"model": models}).items():
+        if isinstance(value, (list, tuple)) and value:
+            runs = runs.where(F.col(column).isin(*value))
+        elif value not in (None, [], ()):
             runs = runs.where(F.col(column) == value)
-    if models:
-        runs = runs.where(F.col("model").isin(*models))
     if prefixes:
-        runs = runs.where(F.lower("model").rlike("^(" + "|".join(prefixes) + ")"))
+        name = F.lower(F.concat_ws("_", "model", F.nullif(F.col("loss"), F.lit(""))))
+        runs = runs.where(F.exists(F.array(*(F.lit(p.lower()) for p in prefixes)), lambda p: F.startswith(name, p)))
     return runs
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..operators import clean, features, gnn, graph, learn, metrics, runs, split
+from ..sources.shared import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,10 @@ def _sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+#: Characters that are neither ASCII nor white space.
+_OUTSIDE = r"[^\x00-\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def _sql_count(chars: str) -> str:
     out = "t"
     for c in chars:
@@ -111,18 +116,19 @@ def _flag(x: str, name: str) -> str:
 _REPLACED = "contains(token, '<') AND contains(token, '>')"
 
 
-@query(f"""WITH t AS ({_TOKENS}) SELECT token, round(ln(1 + length(token)), 6) AS log_len,
+@query(f"""WITH t AS ({_TOKENS}), c AS (SELECT token, unnest(string_split(token, '')) AS c FROM t), n AS (SELECT token, c, count(*) AS n FROM c GROUP BY ALL), h AS (SELECT token, n / sum(n) OVER (PARTITION BY token) AS p FROM n),
+e AS (SELECT token, round(-sum(p * log2(p)) + 0.0, 6) + 0.0 AS entropy FROM h GROUP BY token) SELECT token, entropy, round(ln(1 + length(token)), 6) AS log_len,
 {_flag("starts_with(token, '-') OR starts_with(token, '/')", 'is_arg')}, {_flag("starts_with(token, '.') AND length(token) < 6", 'is_extension')}, {_flag("contains(token, '.exe')", 'is_exe')},
 {_flag("contains(token, '|') OR (contains(token, '<') AND NOT contains(token, '>')) OR (contains(token, '>') AND NOT contains(token, '<')) OR contains(token, '>>') OR contains(token, '<<') OR contains(token, '&')", 'redirects')},
 round(ln(1 + length(token) - length(regexp_replace(token, '[\\^`%$+&;]', '', 'g'))), 6) AS log_hostile, round(ln(1 + length(token) - length(regexp_replace(token, '["'']', '', 'g'))), 6) AS log_quotes,
 {_flag(_REPLACED, 'was_replaced')}, {_flag(_REPLACED + ' AND ' + _any('token', features.PATH_TAGS), 'is_path')}, {_flag(_REPLACED + " AND contains(token, '_ip>')", 'is_ip')}, {_flag(_REPLACED + " AND contains(token, '<PID>')", 'is_pid')},
-{_flag(_REPLACED + ' AND ' + _any('token', features.SECRET_TAGS), 'is_hash')}, {_flag(_REPLACED + " AND contains(token, '<url>')", 'is_url')}, {_flag(_REPLACED + ' AND ' + _any('token', ('<date>', '<timestamp>')), 'is_date')} FROM t""")
+{_flag(_REPLACED + ' AND ' + _any('token', features.SECRET_TAGS), 'is_hash')}, {_flag(_REPLACED + " AND contains(token, '<url>')", 'is_url')}, {_flag(_REPLACED + ' AND ' + _any('token', ('<date>', '<timestamp>')), 'is_date')} FROM t JOIN e USING (token)""")
 def token_features(spark, sf_dir):
     f = features.token_features(F.col("token"))
-    return _tokens(spark, sf_dir).select("token", *((r(c) if k.startswith("log") else c).alias(k) for k, c in f.items() if k != "entropy"))
+    return _tokens(spark, sf_dir).select("token", *((r(c) + 0.0 if k.startswith(("log", "entropy")) else c).alias(k) for k, c in f.items()))
 
 
-@query(rf"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN 1 - (length(text) - length(regexp_replace(text, {_sql_text(features.OUTSIDE)}, '', 'g'))) / length(text)::DOUBLE END, 6) AS share FROM documents WHERE length(text) > 0 AND 1 - (length(text) - length(regexp_replace(text, {_sql_text(features.OUTSIDE)}, '', 'g'))) / length(text)::DOUBLE >= 0.95")
+@query(rf"SELECT doc_id, round(CASE WHEN length(text) > 0 THEN 1 - (length(text) - length(regexp_replace(text, {_sql_text(_OUTSIDE)}, '', 'g'))) / length(text)::DOUBLE END, 6) AS share FROM documents WHERE length(text) > 0 AND 1 - (length(text) - length(regexp_replace(text, {_sql_text(_OUTSIDE)}, '', 'g'))) / length(text)::DOUBLE >= 0.95")
 def ascii_ratio_filter(spark, sf_dir):
     return clean.mostly_ascii(table(spark, sf_dir, "documents"), "text", 0.95).select("doc_id", r(features.ascii_share(F.col("text"))).alias("share"))
 
@@ -131,7 +137,7 @@ def ascii_ratio_filter(spark, sf_dir):
 
 _COMMANDS = r"""SELECT o_orderkey AS id, concat('cmd.exe /c wmic process ', o_custkey, ' get --port ', o_custkey % 9000, ' /duration ', o_orderkey % 60, ' port = "', o_orderkey, '" metric=', o_custkey,
 ' -eq ', o_orderkey, ' ProcessId=', o_custkey, ' chcp ', o_orderkey % 2000, ' PrOcess ', o_orderkey, ' findstr :', o_custkey, ' a', o_orderkey, '@mail.example.org http://h', o_custkey, '.example.com/x?y=', o_orderkey, ' ',
-md5(CAST(o_orderkey AS VARCHAR)), ' ', sha256(CAST(o_orderkey AS VARCHAR)), ' S-1-5-21-', o_orderkey, '-', o_custkey, ' wscript CurDate=', 10000000 + o_orderkey, ' /try:', o_orderkey % 9, ' ', 1000000000 + o_orderkey, ' {', substr(md5('g' || o_orderkey), 1, 8), '-1111-2222-3333-', substr(md5('h' || o_orderkey), 1, 12), '} kill-port ', o_custkey) AS c FROM orders"""
+md5(CAST(o_orderkey AS VARCHAR)), ' ', sha256(CAST(o_orderkey AS VARCHAR)), ' S-1-5-21-', o_orderkey, '-', o_custkey, ' wscript CurDate=', 10000000 + o_orderkey, ' /try:', o_orderkey % 9, ' ', 1000000000 + o_orderkey, ' {', substr(md5('g' || o_orderkey), 1, 8), '-1111-2222-3333-', substr(md5('h' || o_orderkey), 1, 12), '} kill-port ', o_custkey, ' ', lpad(CAST(o_orderkey AS VARCHAR), 32, '7')) AS c FROM orders"""
 
 
 def _commands(spark, sf_dir) -> DataFrame:
@@ -141,35 +147,63 @@ def _commands(spark, sf_dir) -> DataFrame:
     parts = [
         lit("cmd.exe /c wmic process "), c, lit(" get --port "), s(u % 9000), lit(" /duration "), s(k % 60), lit(' port = "'), o, lit('" metric='), c, lit(" -eq "), o, lit(" ProcessId="), c, lit(" chcp "), s(k % 2000),
         lit(" PrOcess "), o, lit(" findstr :"), c, lit(" a"), o, lit("@mail.example.org http://h"), c, lit(".example.com/x?y="), o, lit(" "), F.md5(o), lit(" "), F.sha2(o, 256), lit(" S-1-5-21-"), o, lit("-"), c,
-        lit(" wscript CurDate="), s(k + 10000000), lit(" /try:"), s(k % 9), lit(" "), s(k + 1000000000), lit(" {"), F.substring(F.md5(F.concat(lit("g"), o)), 1, 8), lit("-1111-2222-3333-"), F.substring(F.md5(F.concat(lit("h"), o)), 1, 12), lit("} kill-port "), c,
+        lit(" wscript CurDate="), s(k + 10000000), lit(" /try:"), s(k % 9), lit(" "), s(k + 1000000000), lit(" {"), F.substring(F.md5(F.concat(lit("g"), o)), 1, 8), lit("-1111-2222-3333-"), F.substring(F.md5(F.concat(lit("h"), o)), 1, 12), lit("} kill-port "), c, lit(" "), F.lpad(o, 32, "7"),
     ]
     return table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(*parts).alias("c"))
 
 
-def _rule_sql(*names: str) -> str:
-    out = "c"
-    for n in names:
-        out = native.to_duckdb(n, out)
-    return f"WITH t AS ({_COMMANDS}) SELECT id, {out} AS command FROM t"
+def _sub(pattern: str, template: str, gate: str | None = None):
+    """A replacement as SQL, under a condition on the text (t) as it is before."""
+
+    def apply(text: str) -> str:
+        out = f"regexp_replace({text}, {_sql_text(pattern)}, {_sql_text(template)}, 'g')"
+        return out if gate is None else f"CASE WHEN {gate.replace('{t}', text)} THEN {out} ELSE {text} END"
 
+    return apply
+
+
+def _rule_query(name: str, rules: list[str], *steps) -> None:
+    """The rules as expressions, against what they say written out by hand for an engine without look-around."""
 
-def _rule_query(name: str, *rules: str) -> None:
     def f(spark, sf_dir):
         return _commands(spark, sf_dir).select("id", native.apply(F.col("c"), *rules).alias("command"))
 
+    out = "c"
+    for step in steps:
+        out = step(out)
     f.__name__ = name
-    query(_rule_sql(*rules))(f)
-
-
-_rule_query("rule_redact_email", "email")
-_rule_query("rule_redact_url", "url", "url_port")
-_rule_query("rule_redact_hashes", "sha256", "md5")
-_rule_query("rule_redact_guid", "guid")
-_rule_query("rule_redact_sid", "sid")
-_rule_query("rule_redact_timestamp", "timestamp")
-_rule_query("rule_gated_ports", "port_option", "port_option_equals", "kill_port", "findstr_port", "port_equals")
-_rule_query("rule_wmic", "wmic_process", "wmic_interface", "process_id", "compare", "code_page", "metric", "duration")
-_rule_query("rule_wscript", "current_date", "tries")
+    query(f"WITH t AS ({_COMMANDS}) SELECT id, {out} AS command FROM t")(f)
+
+
+_PORT_GATE, _WMIC_GATE, _SCRIPT_GATE = "contains({t}, ' --port')", "contains(lower({t}), 'wmic')", "contains(lower({t}), 'wscript') OR contains(lower({t}), 'vbs')"
+_rule_query("rule_redact_email", ["email"], _sub(r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", "<email>"))
+_rule_query("rule_redact_url", ["url", "url_port"], _sub(r"""(?i)https?://[^\s"'<>]+""", "<url>"), _sub("<url>:([0-9]+)", "<url>:<port>"))
+# 32 digits without a letter are no MD5: they are marked before, and the mark is taken off behind
+_rule_query("rule_redact_hashes", ["sha256", "md5"], _sub(r"\b[0-9A-Fa-f]{64}\b", "<sha256>"), _sub(r"\b([0-9]{32})\b", r"\1_"), _sub(r"\b[0-9A-Fa-f]{32}\b", "<md5>"), _sub(r"\b([0-9]{32})_", r"\1"))
+_rule_query("rule_redact_guid", ["guid"], _sub(r"""["']?\{?[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\}?["']?""", "<guid>"))
+_rule_query("rule_redact_sid", ["sid"], _sub(r"(?i)(^|[^a-z])S-1-[0-9]+(?:-[0-9]+)+", r"\1<SID>"))
+_rule_query("rule_redact_timestamp", ["timestamp"], _sub(r"\b(?:[0-9]{10}|[0-9]{13})\b", "<timestamp>"))
+_rule_query(
+    "rule_gated_ports",
+    ["port_option", "port_option_equals", "kill_port", "findstr_port", "port_equals"],
+    _sub(r"""(\s--port\s)["']?[0-9]+["']?""", r"\1<port>", _PORT_GATE),
+    _sub(r"""(\s--port=)["']?[0-9]+["']?""", r"\1<port>", _PORT_GATE),
+    _sub(r"\skill-port [0-9]+", " kill-port <port>", "contains({t}, ' kill-port ')"),
+    _sub(r"""(?i)(findstr\s["']?:)[0-9]+""", r"\1<n>", "contains(lower({t}), 'findstr')"),
+    _sub(r"""(?i)(\blistenport\s*=\s*|\bport\s*=\s*|-UniversalPort\s)["']?[0-9]+["']?""", r"\1<port>"),
+)
+_rule_query(
+    "rule_wmic",
+    ["wmic_process", "wmic_interface", "process_id", "compare", "code_page", "metric", "duration"],
+    _sub(r"(?i)\bprocess\s[0-9]+\b", "process <PID>", _WMIC_GATE),
+    _sub(r"(?i)\binterfaceindex\s*=\s*[0-9]+", "InterfaceIndex=<id>", _WMIC_GATE),
+    _sub(r"""(?i)\b(?:processid|idprocess)\s*!?=?\s*["']?[0-9]+["']?""", "ProcessId <PID>"),
+    _sub(r"(?i)(-(?:eq|ne|lt|gt|le|ge|id)\s)[0-9]+", r"\1<PID>"),
+    _sub(r"(?i)\bchcp\s[0-9]+", "chcp <code>"),
+    _sub(r"""(?i)(\bmetric\s*=\s*)["']?[0-9]+["']?""", r"\1<n>"),
+    _sub(r"\s/duration [0-9]+", " /duration <s>", "contains({t}, ' /duration ')"),
+)
+_rule_query("rule_wscript", ["current_date", "tries"], _sub(r"(?i)\bcurdate=[0-9]{8}\b", "CurDate=<date>", _SCRIPT_GATE), _sub("(?i)/try:[0-9]+", "/try:1", _SCRIPT_GATE))
 
 
 # --- paths --------------------------------------------------------------------
@@ -199,7 +233,8 @@ def normalize_filename(spark, sf_dir):
 @query(rf"""WITH p AS ({_PATHS}), n AS (SELECT id, string_split(path, '\')[3:] AS parts FROM p), e AS (SELECT id, parts, parts[-1] AS name, string_split(string_split(parts[-1], '.')[-1], '@')[1] AS ext, false AS keep FROM n)
 SELECT id, array_to_string(list_filter(['<C>', CASE WHEN len(parts) > 1 THEN lower(parts[1]) ELSE '' END, CASE WHEN len(parts) > 2 THEN '<path>' ELSE '' END, lower({_SHORT})], lambda x: x <> ''), '\') AS tagged FROM e""")
 def combine_path(spark, sf_dir):
-    parts = F.slice(F.split("path", r"\\"), 3, 100)
+    parts = F.split("path", r"\\")
+    parts = F.slice(parts, 3, F.size(parts))
     return _paths(spark, sf_dir).select("id", native.tagged("<C>", parts, keep_first=True).alias("tagged"))
 
 
@@ -311,7 +346,7 @@ def _places(spark, sf_dir) -> DataFrame:
 @query(f"""WITH RECURSIVE l AS ({_PLACES}), d AS (SELECT node, 0 AS depth, [node] AS path FROM l WHERE parent IS NULL UNION ALL SELECT l.node, d.depth + 1, list_append(d.path, l.node) FROM l JOIN d ON l.parent = d.node),
 s AS (SELECT a AS node, count(*) AS subtree FROM (SELECT unnest(path) AS a FROM d) GROUP BY a) SELECT node, depth, subtree FROM d JOIN s USING (node)""")
 def depth_subtree(spark, sf_dir):
-    return graph.depth_and_subtree(_places(spark, sf_dir), 4)
+    return graph.depth_and_subtree(_places(spark, sf_dir))
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, '.ps') THEN 0 ELSE -1 END AS rule_label, CASE WHEN contains(text, '.ps') THEN 0 ELSE CAST(length(text) % 2 AS INT) END AS pred FROM documents WHERE text IS NOT NULL")
@@ -485,15 +520,25 @@ def message_pass_mean(spark, sf_dir):
 
 
 _WORD = r"[\p{L}\p{N}_]{2,}"
+_VOCABULARY = 50_000
 
 
-@query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM documents), t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+def _tfidf_sql(terms: str) -> str:
+    """Weights of the most frequent terms; terms: a query of doc_id and term."""
+    return f"""WITH w AS ({terms}), t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
 v AS (SELECT term, count(*) AS df, row_number() OVER (ORDER BY sum(tf) DESC, term) AS k FROM t GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
-x AS (SELECT doc_id, term, tf * (ln((1 + n) / (1.0::DOUBLE + df)) + 1) AS w FROM t JOIN v USING (term), n WHERE k <= 1000)
-SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM x""")
+x AS (SELECT doc_id, term, tf * (ln((1 + n) / (1.0::DOUBLE + df)) + 1) AS w FROM t JOIN v USING (term), n WHERE k <= {_VOCABULARY})
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM x"""
+
+
+_WORDS = f"SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents"
+
+
+@query(_tfidf_sql(f"SELECT doc_id, unnest(flatten([list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')) for n in [1, 2, 3]])) AS term FROM ({_WORDS})"))
 def tfidf_word_topk(spark, sf_dir):
+    """Runs of one to three words, the 50,000 most frequent."""
     docs = table(spark, sf_dir, "documents")
-    return learn.tfidf_rows(docs, "doc_id", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), 1000).select("doc_id", "term", r(F.col("tfidf")).alias("tfidf"))
+    return learn.tfidf_rows(docs, "doc_id", learn.word_grams(F.coalesce("text", F.lit("")), 1, 3), _VOCABULARY).select("doc_id", "term", r(F.col("tfidf")).alias("tfidf"))
 
 
 # --- what SQL cannot say: rows only, tests hold them against goldens and plain versions ------
@@ -513,11 +558,12 @@ def decode_payloads(spark, sf_dir):
 
 @query()
 def logistic_manual(spark, sf_dir):
+    """The features are computed once, into a table; scaling, weights, fit and test read that."""
     f = features.manual_features(F.col("text"))
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("toxic").alias("label"), *(c.alias(k) for k, c in f.items()))
-    rows = split.stratified_split(rows, "doc_id", 42, 0.3)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    rows = stored(table(spark, sf_dir, "documents").join(split.stratified_split(labels, "doc_id", 42, 0.3), "doc_id").select("doc_id", "label", "is_test", *(c.alias(k) for k, c in f.items())), "manual-features")
     train, test = learn.scale(rows.where("not is_test"), [rows.where("is_test")], list(f))
-    model = learn.logistic(train, list(f), max_iter=100)
+    model = learn.logistic(train, list(f))
     return metrics.metrics(model.transform(test).select("label", F.col("prediction").cast("int").alias("pred")))
 
 

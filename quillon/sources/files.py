@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: RFC 4180 quoting; backslashes are data, rows may span lines.
 CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
-#: What is read as missing.
+# What a widespread CSV reader takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 RULES_VERSION = "1"
 
@@ -22,12 +22,12 @@ def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None
 
 
 def read_commands(spark: SparkSession, *paths: str) -> DataFrame:
-    """Raw command tables: command_line, and process_name and total_occurrences where the files have them."""
+    """Raw command tables: command_line, and process_name and total_occurrences where the files have them (null where it is no number)."""
     df = read_csv(spark, *paths)
     if "command_line" not in df.columns:
         raise ValueError("column command_line is missing")
     df = df.select(*(F.when(~F.trim(F.col(c)).isin(*MISSING), F.col(c)).alias(c) for c in df.columns))
-    return df.withColumn("total_occurrences", F.col("total_occurrences").cast("long")) if "total_occurrences" in df.columns else df
+    return df.withColumn("total_occurrences", F.col("total_occurrences").try_cast("long")) if "total_occurrences" in df.columns else df
 
 
 def read_with_path(spark: SparkSession, *patterns: str, name: str = "summary_path") -> DataFrame:

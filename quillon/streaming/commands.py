@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.shipping import ship
-from ..operators.clean import PARSED, parse_row
+from ..operators.clean import PARSED, parse_row, parsed_columns
 from ..operators.features import manual_features
 
 
@@ -27,7 +27,7 @@ def parsed_stream(stream: DataFrame, command: str = "command_line") -> DataFrame
     def parse(commands: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_row(c, None) for c in commands], columns=PARSED.names)
 
-    return stream.withColumn("__p", parse(F.col(command))).select(*stream.columns, "__p.*")
+    return stream.withColumn("__p", parse(F.col(command))).select(*stream.columns, *parsed_columns(F.col(command), F.col("__p")))
 
 
 def scored_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], command: str = "command_line") -> DataFrame:
