@@ -1,45 +1,20 @@
-"""What the operators share: the shared folder and text column helpers."""
+"""What the operators share: tables in the shared folder, and text column helpers."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..sources.shared import drop_path, fresh_path, stored
 
-__all__ = ["ship"]
+__all__ = ["drop_path", "fresh_path", "ship", "stored"]
 
 #: The ASCII white space that separates words: space and \t \n \v \f \r.
 SPACE = " \t\n\x0b\f\r"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return base or f"file:///tmp/checkpoints/quillon-{os.getpid()}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
 
 def body(col: str | Column = "text") -> Column:
     """The text, null as empty."""
