@@ -65,11 +65,11 @@ def rows(n):
     return [*docs, (n, None, False), (n + 1, "", False), (n + 2, "never seen words\tat\nall", True)]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_against_plain(spark, order):
     docs = rows(120)
     df = spark.createDataFrame(docs, "doc_id long, text string, held boolean").repartition(3)
-    got = {r.doc_id: r for r in katz.score_texts(df, F.col("held"), order=order, chunk_bytes=2000).collect()}
+    got = {r.doc_id: r for r in katz.score_texts(df, F.col("held"), order=order, chunk_bytes=2000, part_tokens=700).collect()}
     want, p, uni, counts = plain_katz(docs, order)
     assert len(got) == len(docs)
     for i, (n, known, base, score) in want.items():
@@ -81,6 +81,25 @@ def test_against_plain(spark, order):
             assert sum(p(w, context) for w in uni) + p("no such word", context) == pytest.approx(1)
 
 
+def test_tables_score_other_texts(spark):
+    """Texts that were not there when the model was made get what they would have got as held-out rows."""
+    docs = rows(60)
+    new = [(1000 + i, t, True) for i, t, _ in rows(25)]
+    schema = "doc_id long, text string, held boolean"
+    together = {r.doc_id: r for r in katz.score_texts(spark.createDataFrame(docs + new, schema), F.col("held"), chunk_bytes=2000, part_tokens=700).collect()}
+    _, model = katz.fit_and_score(spark.createDataFrame(docs, schema), F.col("held"), chunk_bytes=3000, part_tokens=500)
+    alone = {r.doc_id: r for r in katz.score_with(model, spark.createDataFrame(new, schema), chunk_bytes=1500).collect()}
+    assert len(alone) == len(new)
+    for i, r in alone.items():
+        assert (r.n_known, r.train_tokens) == (together[i].n_known, together[i].train_tokens)
+        assert r.score == pytest.approx(together[i].score, rel=1e-9) and r.base_score == pytest.approx(together[i].base_score, rel=1e-9)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", False, 5, 6.0)], "doc_id long, text string, held boolean, chunk int, score double")
+    assert katz.score_texts(df, F.col("held")).columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
 def test_empty_and_repeated(spark):
     df = spark.createDataFrame([], "doc_id long, text string, held boolean")
     assert katz.score_texts(df, F.col("held")).count() == 0
