@@ -9,8 +9,11 @@ name the archives that count.
 Index: a capture's key is its URL with the host reversed, then its page id.
 Entries are sorted by key over all tasks and cut into gzip blocks of
 ``block_lines`` lines; the directory has a row per block: its first key, place
-and length. A lookup searches the directory by bisection, reads one block, and
-then reads the record's bytes alone.
+and length. Its top has the first key of each index file, a row per
+``file_blocks`` blocks. A lookup bisects the top, which alone is sent to every task, for the
+file; meets that file's directory rows by a shuffle and bisects them for the
+block; reads one block; and then reads the record's bytes alone, in order of
+their places, by as many tasks as the bytes ask for.
 
 Files go through pyarrow.fs, by URI, to the folder that executors share.
 
@@ -34,12 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import body, fresh_path, ship
+from .common import body, fresh_path, ship, stored
 
-MIN_BYTES, BLOCK_LINES = 1000, 1000
+MIN_BYTES, BLOCK_LINES, FILE_BLOCKS = 1000, 1000, 1000
 DATE = "2025-01-01T00:00:00Z"
 ENTRY = "surt string, page_id long, record_type string, refers_to long, path string, offset long, length long"
 DIRECTORY = "first_surt string, first_id long, path string, offset long, length long, n_lines long"
+TASK_BYTES = 32 << 20  # of records, compressed, for one task to read
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -88,9 +92,13 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, id
     payload = F.encode(body(html_col), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), surt(F.col(url_col)).alias("surt"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    held = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("held"), "keeper")
-    refers = F.when(F.col("page_id").isNotNull() & (F.col("page_id") == F.col("keeper")), None).otherwise(F.col("keeper"))
-    rows = rows.join(held, F.col("digest") == F.col("held"), "left").select("page_id", "url", "surt", "payload", "digest", refers.alias("refers_to"))
+    # who refers to whom is found on ids and digests; payloads are dealt by id, so a page that half the web repeats is no hot key
+    ids = rows.select("page_id", "digest", F.octet_length("payload").alias("n"))
+    held = ids.where((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    held = stored(held, "keepers")
+    refers = ids.where(F.col("n") >= min_bytes).join(held, "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    refers = stored(refers.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), F.col("keeper").alias("refers_to")).distinct(), "revisits")
+    rows = rows.join(refers, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "surt", "payload", "digest", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -121,12 +129,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, id
     return spark.read.schema(ENTRY).parquet(table)
 
 
-def build_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Writes sorted entries as compressed blocks; returns the stored directory, a row per block."""
+def build_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES, file_blocks: int = FILE_BLOCKS) -> DataFrame:
+    """Writes sorted entries as compressed blocks, some file_blocks to a file; returns the stored directory, a row per block."""
     spark = entries.sparkSession
     ship(spark)
     order = [F.col("surt"), F.col("page_id").asc_nulls_first(), F.col("path"), F.col("offset")]
-    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = entries.repartitionByRange(-(-entries.count() // (block_lines * file_blocks)) or 1, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -188,60 +196,54 @@ def _key(surt_: str, page_id: int | None) -> tuple[bytes, bool, int]:
     return (surt_ or "").encode(), page_id is not None, page_id or 0
 
 
-def find_captures(queries: DataFrame, directory: DataFrame, max_directory: int = 1 << 20) -> DataFrame:
-    """Index entries for queries (surt, page_id), found by bisection of the directory and one block read per block in use.
-
-    A directory of up to max_directory rows (a row stands for block_lines captures) goes to
-    every task. With a larger one, all blocks are read where they lie and joined by key.
-    """
+def find_captures(queries: DataFrame, directory: DataFrame) -> DataFrame:
+    """Index entries for queries (surt, page_id), found by bisection of the two levels and one read per block in use."""
     spark = queries.sparkSession
     ship(spark)
-    blocks = directory.where("n_lines > 0").orderBy(F.col("first_surt"), F.col("first_id").asc_nulls_first())
-    if directory.count() > max_directory:
-        return _find_by_scan(queries, directory)
-    table = [tuple(r) for r in blocks.collect()]
-    shared = spark.sparkContext.broadcast(([_key(r[0], r[1]) for r in table], [r[2:5] for r in table]))
+    blocks = directory.where("n_lines > 0")
+    top = blocks.groupBy("path").agg(F.min(F.struct("first_surt", "first_id")).alias("first")).select("path", "first.*").collect()  # a row per task of build_index
+    top = sorted((_key(r.first_surt, r.first_id), r.path) for r in top)
+    shared = spark.sparkContext.broadcast(([k for k, _ in top], [p for _, p in top]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, _ = shared.value
+        keys, paths = shared.value
         for batch in batches:
-            out = []
-            for s, p in zip(batch.column("surt").to_pylist(), batch.column("page_id").to_pylist()):
-                key = _key(s, p)  # equal keys may begin in the block before the first that starts with them
-                out += [(s, p, x) for x in range(max(0, bisect_left(keys, key) - 1), bisect_right(keys, key))]
-            s, p, blocks = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(p, pa.int64()), pa.array(blocks, pa.int64())], ["surt", "page_id", "block"])
+            out = [(s, p, paths[x]) for s, p in zip(batch.column("surt").to_pylist(), batch.column("page_id").to_pylist()) for x in _holders(keys, _key(s, p))]
+            s, p, files = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(p, pa.int64()), pa.array(files, pa.string())], ["surt", "page_id", "path"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, places = shared.value
         opened: dict = {}
-        last, entries = None, {}
+        path, keys, places, last, entries = None, [], [], None, {}
         for batch in batches:
             out = []
-            for s, p, block in zip(batch.column("surt").to_pylist(), batch.column("page_id").to_pylist(), batch.column("block").to_pylist()):
-                if block != last:
-                    last, entries = block, {}
-                    for e in _block(read_range(*places[block], opened)):
-                        entries.setdefault((e["surt"], e["page_id"]), []).append(e)
-                out += entries.get((s, p), [])
+            for row in batch.to_pylist():
+                if row["path"] != path:
+                    path, keys, places, last = row["path"], [], [], None
+                key = _key(row["surt"], row["page_id"])
+                if row["length"] is not None:
+                    keys.append(key)
+                    places.append((path, row["offset"], row["length"]))
+                    continue
+                for x in _holders(keys, key):
+                    if x != last:
+                        last, entries = x, {}
+                        for e in _block(read_range(*places[x], opened)):
+                            entries.setdefault((e["surt"], e["page_id"]), []).append(e)
+                    out += entries.get((row["surt"], row["page_id"]), [])
             yield pa.RecordBatch.from_pylist(out, _entry_schema())
 
-    placed = queries.select("surt", "page_id").distinct().mapInArrow(place, "surt string, page_id long, block long")
-    return placed.repartition("block").sortWithinPartitions("block").mapInArrow(read, ENTRY)
-
-
-def _find_by_scan(queries: DataFrame, directory: DataFrame) -> DataFrame:
-    """For a directory too large to send: all blocks are read where they lie, and entries are joined with the queries by key."""
+    placed = queries.select("surt", "page_id").distinct().mapInArrow(place, "surt string, page_id long, path string")
+    level = blocks.select(F.col("first_surt").alias("surt"), F.col("first_id").alias("page_id"), "path", "offset", "length")
+    both = level.unionByName(placed, allowMissingColumns=True)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(top))
+    both = both.repartition(tasks, "path").sortWithinPartitions("path", F.col("length").isNull(), "surt", F.col("page_id").asc_nulls_first(), "offset")
+    return both.mapInArrow(read, ENTRY)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: dict = {}
-        for batch in batches:
-            for place in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length"))):
-                yield pa.RecordBatch.from_pylist(_block(read_range(*place, opened)), _entry_schema())
 
-    entries = directory.select("path", "offset", "length").mapInArrow(read, ENTRY)
-    q = queries.select(F.col("surt").alias("__s"), F.col("page_id").alias("__p")).distinct()
-    return entries.join(q, F.col("surt").eqNullSafe(F.col("__s")) & F.col("page_id").eqNullSafe(F.col("__p")), "left_semi")
+def _holders(firsts: list, key: tuple) -> range:
+    """Which of some sorted stretches, given by their first keys, can hold a key: equal keys may begin in the one before the first that starts with them."""
+    return range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key))
 
 
 def _entry_schema() -> pa.Schema:
@@ -277,14 +279,18 @@ def read_records(entries: DataFrame) -> DataFrame:
                 )
             yield pa.RecordBatch.from_pylist(out, pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
 
-    return entries.select("path", "offset", "length").mapInArrow(read, READ)
+    # few bytes name many: the number of tasks comes from the records' lengths, and each reads its stretch of the archives in order
+    places = stored(entries.select("path", "offset", "length"), "places")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(entries.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    return places.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset").mapInArrow(read, READ)
 
 
-def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES, block_lines: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
+def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES, block_lines: int = BLOCK_LINES, file_blocks: int = FILE_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """Writes archives and index under folder; returns (entries, directory)."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
     entries = write_archives(pages, folder, min_bytes)
-    return entries, build_index(entries, folder, block_lines)
+    return entries, build_index(entries, folder, block_lines, file_blocks)
 
 
 def lookup(spark: SparkSession, directory: DataFrame, urls: list[tuple[str, int]]) -> DataFrame:

@@ -226,15 +226,28 @@ def test_warc_round_trip(spark, tmp_path):
         data = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
     assert {i: x.refers_to for i, x in got.items() if x.record_type == "revisit"} == {1: 9, 2: 9, None: 9}
-    assert warc.read_records(warc.find_captures(asked, directory, max_directory=0)).count() == len(rows)
+    absent = spark.createDataFrame([("example,zzz)/", 1), ("", 4), ("example,b)/", 99)], "surt string, page_id long")
+    assert warc.find_captures(absent, directory).count() == 0
     assert [x.page_id for x in warc.lookup(spark, directory, [("http://b.example/", 5)]).collect()] == [5]
     _, none = warc.archive(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.find_captures(asked, none).count() == 0
 
 
+def test_warc_page_that_many_repeat(spark, tmp_path):
+    """A large payload that most pages share, over several index files, and one of a megabyte."""
+    rows = [(i, f"http://h{i % 40}.example/{i}", "e" * 1500 if i % 3 else f"own {i} " * 200) for i in range(600)] + [(700, "http://big.example", "é" * (1 << 20)), (700, "http://big.example", "second")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    entries, directory = warc.archive(pages, f"file://{tmp_path}/m", block_lines=7, file_blocks=5)
+    assert directory.select("path").distinct().count() > 1
+    got = warc.read_records(warc.find_captures(pages.select(warc.surt(F.col("url")).alias("surt"), "page_id"), directory)).collect()
+    keeper = max(i for i, _, h in rows if h == "e" * 1500)
+    want = sorted((i, len(h.encode()), hashlib.sha1(h.encode()).hexdigest(), keeper if h[0] == "e" and i != keeper else -1) for i, _, h in rows)
+    assert sorted((x.page_id, x.payload_bytes, x.payload_digest, -1 if x.refers_to is None else x.refers_to) for x in got) == want
+
+
 def test_warc_repeated_captures_over_blocks(spark, tmp_path):
     pages = spark.createDataFrame([(7, "http://a.example", "x")] * 9 + [(8, "http://a.example", "y")], "page_id long, url string, html string")
-    _, directory = warc.archive(pages, f"file://{tmp_path}/r", block_lines=2)
+    _, directory = warc.archive(pages, f"file://{tmp_path}/r", block_lines=2, file_blocks=2)
     asked = pages.select(warc.surt(F.col("url")).alias("surt"), "page_id")
     assert warc.read_records(warc.find_captures(asked, directory)).count() == 10
 
