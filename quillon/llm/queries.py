@@ -140,6 +140,12 @@ SELECT doc_id, size, words AS source_size, target,
 FROM p
 """
 
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 OP4_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
@@ -152,11 +158,12 @@ cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(
 ln AS (SELECT rid, unnest(lines) AS line FROM rows_),
 judged AS (
   SELECT rid, line, len(regexp_extract_all(line, '{_WORD}')) AS words, length(regexp_replace(line, '{_WS}', '', 'g')) AS chars,
-         len(regexp_extract_all(line, '{quality.MARK_RUN}')) AS runs, len(regexp_extract_all(line, '{quality.NAV_CELL}')) AS cells
+         len(regexp_extract_all(line, '{quality.MARK_RUN}')) AS runs, len(regexp_extract_all(line, '{quality.NAV_CELL}')) AS cells,
+         regexp_extract_all(line, '{_WORD}') AS x, len(list_filter(range(2, len(x) + 1), lambda i: x[i] = x[i - 1])) AS again
   FROM ln),
 lost AS (
-  SELECT rid, sum(chars) FILTER (WHERE runs >= {quality.RUN_SHARE} * words OR (words >= {quality.LONG_LINE} AND NOT regexp_matches(line, '{quality.SENTENCE_END}'))
-         OR cells >= greatest(1.0, {quality.NAV_SHARE} * words) OR regexp_matches(translate(line, '{_UP}', '{_LOW}'), '{quality.BOILERPLATE}')) AS n
+  SELECT rid, sum(chars) FILTER (WHERE runs >= {quality.RUN_SHARE} * words OR (words >= {quality.LONG_LINE} AND NOT regexp_matches(line, '{_quoted(quality.SENTENCE_END)}'))
+         OR (words > {quality.MIN_STUTTER} AND again >= greatest({quality.MIN_STUTTER}, {quality.STUTTER_SHARE} * words)) OR cells >= greatest(1.0, {quality.NAV_SHARE} * words) OR regexp_matches(translate(line, '{_UP}', '{_LOW}'), '{_quoted(quality.BOILERPLATE)}')) AS n
   FROM judged GROUP BY rid),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_WS}', '', 'g')) AS BIGINT) AS word_chars,

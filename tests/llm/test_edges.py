@@ -185,7 +185,7 @@ def test_near_duplicates_against_brute(spark):
             assert (x.n_shingles, x.component_id) == want[x.doc_id], x.doc_id
             assert x.kept == (x.doc_id == x.component_id)
     thin = neardup.near_duplicates(frame(spark, rows), percent=85, keep=["doc_id"])
-    assert thin.count() == len(rows) and thin.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert thin.count() == len(rows) and thin.columns == ["doc_id", "n_shingles", "component_id", "kept", "group_id"]
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     alone = neardup.near_duplicates(frame(spark, [(None, "a b c d e f", "a"), (None, None, "a")])).collect()
     assert [x.component_id for x in alone] == [None, None] and all(x.kept for x in alone)

@@ -21,7 +21,7 @@ def plain_quality(text):
     w = words(text)
     grams = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     covered = {i + k for i in range(len(w) - 4) if grams[tuple(w[i : i + 5])] > 1 for k in range(5)}
-    if len(w) < 10 or 100 * len(covered) > 20 * len(w):
+    if not w or 100 * len(covered) > 20 * len(w):
         return None
     kept, lost, total = [], 0, sum(map(len, w))
     for line in text.split("\n"):
@@ -29,6 +29,7 @@ def plain_quality(text):
         bad = lw and (
             len(re.findall(quality.MARK_RUN, line)) >= quality.RUN_SHARE * len(lw)
             or (len(lw) >= quality.LONG_LINE and not re.search(quality.SENTENCE_END, line))
+            or (len(lw) > 3 and sum(a == b for a, b in zip(lw, lw[1:])) >= max(3, 0.3 * len(lw)))
             or len(re.findall(quality.NAV_CELL, line)) >= max(1, quality.NAV_SHARE * len(lw))
             or re.search(quality.BOILERPLATE, brute.lower(line))
         )
@@ -79,6 +80,24 @@ def test_pipeline_against_plain(spark):
     assert all(taken[s] <= 2 * totals[s] for s in totals)
 
 
+def test_odd_rows(spark):
+    """Nulls in every column, repeated rows, empty and very long texts, through all stages."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    prose = [" ".join(f"w{i}x{k}" for i in range(30)) + "." for k in range(6)]
+    rows = [(1, prose[0], "en", "a", 5), (1, prose[0], "en", "a", 5), (2, prose[0], None, None, None), (None, prose[1], "en", "a", 5), (None, prose[1], None, "b", 1), (3, None, "en", "a", 0), (4, "", "en", None, 0), (5, " \n\n ", "en", "a", 3)]
+    rows += [(6, prose[2] + "\n" + "\n".join(f"line {k} of a very long text that ends." for k in range(20000)), "en", "b", 9), (7, prose[3], "en", "b", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    kept = Counter(r.doc_id for r in docs.collect())
+    assert set(kept) <= {1, None, 6, 7} and kept[3] == 0
+    ones = spark.createDataFrame(rows[:3], schema)
+    assert [r.doc_id for r in pipeline.near_duplicates(spark, ones, SF).collect()] == [1]  # equal rows: one stays
+    nulls = spark.createDataFrame(rows[3:5], schema)
+    assert pipeline.near_duplicates(spark, nulls, SF).count() == 1
+
+
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     empty = docs.limit(0)
