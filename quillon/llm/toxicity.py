@@ -4,25 +4,27 @@ Features of a whole text: densities and tops of lexicon scores, how near lexicon
 words are to second-person words, shares of capitals, marks and digits, and
 rates of obfuscation (letters replaced or split inside a word, long runs of one
 letter). The lexicon is learned, too: words and word beginnings that labelled
-toxic rows have far more often than clean ones.
+toxic rows have far more often than clean ones. All features of a block of texts
+come from passes over its bytes and word hashes, without Python per word.
 
 Fitting takes at most ``max_rows`` labelled rows (those of the least id hash): a
 bounded sample, whose rows are split in three for the lexicon, the trees and the
-calibration, so that no part learns from what another was fitted on. Ids, labels,
-language and source are never inputs of a score. Scoring reads every row once.
+calibration, so that no part learns from what another was fitted on; the lexicon
+has no bound but what that sample holds. Ids, labels, language and source are
+never inputs of a score. Scoring reads every row once. A score is the isotonic
+value of the trees' sum, and one part in a million of its logistic value, which
+decides between texts of one isotonic step.
 
 Nulls and odd rows: a null text is empty and gets a score as an empty text does.
 Rows without a label of 0 or 1 are not learned from; of several labels of one id
 the greatest counts. Repeated rows get equal scores. With no labelled rows, or
 one class alone, all scores are the share of toxic rows (0 for none). An empty
-table gives an empty result. Extra columns pass through.
+table gives an empty result. Extra columns pass through, but for score and
+predicted, which are replaced. Very long texts are a block of their own.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,75 +33,139 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import vectext
 from .common import body, ship, stored
 
-MAX_ROWS, MAX_LEXICON = 20_000, 20_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-MASKED = re.compile(r"[a-z]+[0-9@$!*._\-]+(?=[a-z])[a-z0-9@$!*._\-]*")
-# Letters that digits and signs stand for, and signs that only split a word.
-LEET = str.maketrans("013457@$!", "oieastasi", "*._-")
-# Second-person words of English, German, French and Spanish.
-SECOND = frozenset("you your yours yourself u ya du dich dir dein deine deinen ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os su".split())
+MAX_ROWS = 20_000
+# Letters that digits and signs stand for, signs that only split a word, and second-person words of English, German, French and Spanish.
+LEET, SPLITS = dict(zip(b"013457@$!", b"oieastasi")), b"*._-"
+SECOND = "you your yours yourself u ya du dich dir dein deine deinen ihr euch euer sie ihnen tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os su".split()
 PREFIXES = range(3, 10)
-NEAR = 5
+NEAR, RARE = 5, 3
 
 CLASSES = np.zeros(256, np.int64)  # of bytes: 1 capital, 2 small letter, 3 digit, 4 sentence mark, 5 shout mark, 6 other sign, 7 white space, 8 beyond ASCII
 for _k, _bytes in enumerate((range(65, 91), range(97, 123), range(48, 58), b".,;:'\"()-?", b"!", b"#$%&*+/<=>@[\\]^_`{|}~", b" \t\n\r\x0b\x0c", range(128, 256)), 1):
     CLASSES[list(_bytes)] = _k
+LETTERS = np.zeros(256, bool)
+LETTERS[97:123] = True
+MASKABLE = LETTERS.copy()
+MASKABLE[[*LEET, *SPLITS, *range(48, 58)]] = True
+UNMASK = np.where(MASKABLE, np.arange(256), 32).astype(np.uint8)
+UNMASK[list(LEET)] = list(LEET.values())
 
 NAMES = "log_words sum_density top1 top2 top3 hits2 hits3 hits4 hits5 density3 near_second second masked masked_hits masked_top capitals marks shouts signs digits beyond_ascii runs mean_word".split()
 
 
-def units(word: str) -> Iterator[str]:
-    yield word
-    for n in PREFIXES:
-        if n < len(word):
-            yield word[:n] + "\0"
+def _hashes_of(words: list[str]) -> np.ndarray:
+    (block,) = vectext.blocks(pa.array([" ".join(words)]))
+    return np.sort(vectext.word_hashes(block[2], block[3], vectext.ALNUM)[0])
+
+
+SECOND_HASHES = _hashes_of(SECOND)
+
+
+def units(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words as (their places, their hashes), then their beginnings of each length."""
+    yield np.arange(len(hashes)), hashes
+    yield from vectext.prefixes(data, starts, stops, PREFIXES)
 
 
 class Lexicon:
-    """Scores of words: the greatest log odds among the word and its beginnings. A bounded memory of words is kept per worker."""
-
-    def __init__(self, odds: dict[str, float]):
-        self.odds = odds
-        self.memo: dict[str, float] = {}
-
-    def scores(self, words: list[str]) -> list[float]:
-        memo = self.memo
-        if len(memo) > 1 << 18:
-            memo.clear()
-        for w in {w for w in words if w not in memo}:
-            memo[w] = max((self.odds.get(u, 0.0) for u in units(w)), default=0.0)
-        return [memo[w] for w in words]
-
-
-def features(text: str, lexicon: Lexicon) -> list[float]:
-    low = text.lower()
-    words = WORD.findall(low)
-    n = max(1, len(words))
-    scores = np.array(lexicon.scores(words)) if words else np.zeros(0)
-    top = np.sort(scores)[-3:][::-1] if len(scores) else scores
-    top = [*top.tolist(), 0.0, 0.0, 0.0]
+    """Log odds of words and word beginnings, by hash."""
+
+    def __init__(self, odds: dict[int, float]):
+        self.keys = np.array(sorted(odds), np.uint64)
+        self.odds = np.array([odds[k] for k in sorted(odds)], float)
+        self.maybe = np.zeros(1 << 20, bool)  # a first look, since most words are in no lexicon
+        self.maybe[(self.keys & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
+
+    def scores(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Of each word the greatest log odds among itself and its beginnings, at least 0."""
+        out = np.zeros(len(hashes))
+        if not len(self.keys) or not len(hashes):
+            return out
+        for words, h in units(data, hashes, starts, stops):
+            some = np.flatnonzero(self.maybe[(h & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, h[some]), len(self.keys) - 1)
+            some, at = some[self.keys[at] == h[some]], at[self.keys[at] == h[some]]
+            np.maximum.at(out, words[some], self.odds[at])
+        return out
+
+
+def _masked(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words with letters on both sides of digits or signs, as they would be without: their bytes, row offsets, hashes, rows' first words, starts and ends."""
+    inside = MASKABLE[low]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    new = np.r_[True, ~inside[:-1] | (row[1:] != row[:-1])] & inside
+    run = np.cumsum(new)  # number of the run that a byte is in, if inside
+    letter = LETTERS[low]
+    begins = letter & np.r_[True, ~letter[:-1] | new[1:]]
+    twice = np.bincount(run[begins], minlength=len(run) + 1)[run] >= 2
+    plain = np.where(inside & twice, UNMASK[low], 32).astype(np.uint8)
+    kept = ~np.isin(plain, np.frombuffer(SPLITS, np.uint8))
+    shorter = np.r_[0, np.cumsum(kept)][offsets]
+    plain = plain[kept]
+    return plain, *vectext.word_hashes(plain, shorter, vectext.SPACED)
+
+
+def _sums(rows: np.ndarray, n: int, values: np.ndarray | None = None) -> np.ndarray:
+    return np.bincount(rows, values, n).astype(float)
+
+
+def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
+    """A row of NAMES for each text."""
+    parts = [_block_features(data, offsets, lexicon) for _, _, data, offsets in vectext.blocks(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
+
+
+def _block_features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+    m = len(offsets) - 1
+    if not len(data):
+        return np.zeros((m, len(NAMES)))
+    low = vectext.LOWER[data]
+    hashes, first, starts, stops = vectext.word_hashes(data, offsets, vectext.ALNUM)
+    row = np.repeat(np.arange(m), np.diff(first))
+    count = np.diff(first)
+    n = np.maximum(1, count)
+    scores = lexicon.scores(data, hashes, starts, stops)
+    x = {"log_words": np.log1p(count), "sum_density": _sums(row, m, np.where(scores >= 2, scores, 0)) / n}
+    some = np.flatnonzero(scores > 0)
+    some = some[np.lexsort((-scores[some], row[some]))]
+    place = np.arange(len(some)) - np.searchsorted(row[some], row[some])
+    for k in range(3):
+        x[f"top{k + 1}"] = np.zeros(m)
+        x[f"top{k + 1}"][row[some[place == k]]] = scores[some[place == k]]
+    for k in (2, 3, 4, 5):
+        x[f"hits{k}"] = np.log1p(_sums(row[scores >= k], m))
     hot = np.flatnonzero(scores >= 3)
-    second = np.array([i for i, w in enumerate(words) if w in SECOND])
-    near = 0.0
-    if len(hot) and len(second):
+    hits = _sums(row[hot], m)
+    x["density3"] = hits / n
+    at = np.minimum(np.searchsorted(SECOND_HASHES, hashes), len(SECOND_HASHES) - 1)
+    second = np.flatnonzero(SECOND_HASHES[at] == hashes)
+    near = np.zeros(len(hot), bool)
+    if len(second):
         at = np.searchsorted(second, hot)
-        gap = np.minimum(np.abs(second[np.minimum(at, len(second) - 1)] - hot), np.abs(second[np.maximum(at - 1, 0)] - hot))
-        near = float((gap <= NEAR).mean())
-    masked = [m.translate(LEET) for m in MASKED.findall(low)]
-    masked_scores = lexicon.scores(masked) if masked else [0.0]
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    kinds = np.bincount(CLASSES[raw], minlength=9) if len(raw) else np.zeros(9)
-    letters = max(1, int(kinds[1] + kinds[2] + kinds[8]))
-    size = max(1, len(raw))
-    same = (raw[1:] == raw[:-1]) & (CLASSES[raw[1:]] <= 2) if len(raw) > 2 else np.zeros(0, bool)
-    runs = int((same[1:] & same[:-1]).sum()) if len(same) > 1 else 0
-    return [
-        math.log1p(len(words)), float(scores[scores >= 2].sum()) / n, top[0], top[1], top[2], *(math.log1p(int((scores >= k).sum())) for k in (2, 3, 4, 5)), len(hot) / n,
-        near, len(second) / n, len(masked) / n, math.log1p(sum(s >= 3 for s in masked_scores)), max(masked_scores), kinds[1] / letters, kinds[4] / size, kinds[5] / size, kinds[6] / size, kinds[3] / size,
-        kinds[8] / size, runs / n, len(low) / n,
-    ]
+        for other in (second[np.minimum(at, len(second) - 1)], second[np.maximum(at - 1, 0)]):
+            near |= (np.abs(other - hot) <= NEAR) & (row[other] == row[hot])
+    x["near_second"] = _sums(row[hot[near]], m) / np.maximum(1, hits)
+    x["second"] = _sums(row[second], m) / n
+    plain, masked, masked_first, masked_starts, masked_stops = _masked(low, offsets)
+    masked_row = np.repeat(np.arange(m), np.diff(masked_first))
+    masked_scores = lexicon.scores(plain, masked, masked_starts, masked_stops)
+    x["masked"] = np.diff(masked_first) / n
+    x["masked_hits"] = np.log1p(_sums(masked_row[masked_scores >= 3], m))
+    x["masked_top"] = np.zeros(m)
+    np.maximum.at(x["masked_top"], masked_row, masked_scores)
+    byte_row = np.repeat(np.arange(m), np.diff(offsets))
+    kinds = np.bincount(byte_row * 9 + CLASSES[data], minlength=m * 9).reshape(m, 9)
+    size = np.maximum(1, np.diff(offsets))
+    x["capitals"] = kinds[:, 1] / np.maximum(1, kinds[:, 1] + kinds[:, 2] + kinds[:, 8])
+    for name, k in (("marks", 4), ("shouts", 5), ("signs", 6), ("digits", 3), ("beyond_ascii", 8)):
+        x[name] = kinds[:, k] / size
+    same = (data[1:] == data[:-1]) & (CLASSES[data[1:]] <= 2) & (CLASSES[data[1:]] > 0) & (byte_row[1:] == byte_row[:-1])
+    x["runs"] = _sums(byte_row[2:][same[1:] & same[:-1]], m) / n
+    x["mean_word"] = np.diff(offsets) / n
+    return np.stack([x[name] for name in NAMES], axis=1)
 
 
 class Trees:
@@ -177,24 +243,29 @@ class Scorer:
     def __init__(self, lexicon: Lexicon, trees: Trees | None, knots: tuple[np.ndarray, np.ndarray], constant: float):
         self.lexicon, self.trees, self.knots, self.constant = lexicon, trees, knots, constant
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: pa.Array) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.constant)
-        x = np.array([features(t or "", self.lexicon) for t in texts])
-        return self.calibrated(self.trees.raw(x)) if len(x) else np.zeros(0)
+        return self.calibrated(self.trees.raw(features(texts, self.lexicon)))
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        """Steps smoothed by a little of the logistic score, which keeps order within a step."""
-        return np.clip(0.98 * np.interp(raw, *self.knots) + 0.02 / (1 + np.exp(-raw)), 0, 1)
+        """The isotonic value; a millionth of the logistic one keeps order within a step."""
+        return np.clip((1 - 1e-6) * np.interp(raw, *self.knots) + 1e-6 / (1 + np.exp(-raw)), 0, 1)
 
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic (a) and clean (b) texts of a task's block each unit is."""
     for batch in batches:
-        counts = [Counter(), Counter()]
-        for text, toxic in zip(batch.column("__text").to_pylist(), batch.column("__toxic").to_pylist()):
-            counts[toxic].update({u for w in set(WORD.findall((text or "").lower())) for u in units(w)})
-        names = list(counts[0] | counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][u] for u in names], pa.int64()), pa.array([counts[0][u] for u in names], pa.int64())], ["unit", "a", "b"])
+        toxic = batch.column("__toxic").to_numpy()
+        for lo, hi, data, offsets in vectext.blocks(batch.column("__text")):
+            hashes, first, starts, stops = vectext.word_hashes(data, offsets, vectext.ALNUM)
+            row = np.repeat(np.arange(hi - lo), np.diff(first))
+            found = [np.stack([h, row[w].astype(np.uint64)], axis=1) for w, h in units(data, hashes, starts, stops)] if len(hashes) else []
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.uint64)
+            keys, index = np.unique(pairs[:, 0], return_inverse=True)
+            mark = toxic[lo:hi][pairs[:, 1].astype(np.int64)] if len(pairs) else np.zeros(0)
+            a = np.bincount(index, mark, len(keys)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(np.bincount(index, minlength=len(keys)) - a, pa.int64())], ["unit", "a", "b"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
@@ -213,16 +284,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, max_rows: int = MA
     if any(n.get((p, t), 0) < 2 for p in (0, 1, 2) for t in (0, 1)):
         return Scorer(Lexicon({}), None, (np.zeros(1), np.zeros(1)), share)
     a, b = float(n[0, 1]), float(n[0, 0])
-    counted = sample.where("__part = 0").select("__text", "__toxic").mapInArrow(_count_units, "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = sample.where("__part = 0").select("__text", "__toxic").mapInArrow(_count_units, "unit long, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (a + 1)) - F.log((F.col("b") + 0.5) / (b + 1))
-    counted = counted.where("a >= 3").withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))).where("z > 2.5 and odds > 1")
-    lexicon = Lexicon({r.unit: r.odds for r in counted.orderBy(F.desc("z"), "unit").limit(MAX_LEXICON).select("unit", "odds").collect()})
+    counted = counted.where(F.col("a") >= RARE).withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))).where("z > 2.5 and odds > 1")
+    lexicon = Lexicon({r.unit % (1 << 64): r.odds for r in counted.select("unit", "odds").collect()})  # bounded by the sample
     shared = spark.sparkContext.broadcast(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t or "", shared.value) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__part"), batch.column("__toxic"), pa.array(rows, pa.list_(pa.float64()))], ["part", "toxic", "x"])
+            x = features(batch.column("__text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("__part"), batch.column("__toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["part", "toxic", "x"])
 
     rows = sample.where("__part > 0").mapInArrow(measure, "part int, toxic int, x array<double>").collect()
     rows.sort(key=lambda r: (r.part, r.toxic, r.x))  # the order in which tasks end has no say
@@ -240,7 +311,7 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None, text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = shared.value(batch.column(text_col).to_pylist())
+            s = shared.value(batch.column(text_col))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], schema.names)
 
     return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)

@@ -107,3 +107,16 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, n
         out[: n - j] = out[: n - j] * U(_P) + hashes[j:]
     row_end = np.repeat(first[1:], np.diff(first))
     return mix(out), np.arange(n) + k <= row_end
+
+
+def prefixes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lengths: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: which words, given by their byte starts and ends, are longer, and a hash of so many of their first bytes (A-Z in lower case)."""
+    n = len(data)
+    power, inverse = _powers(n + 1)
+    sums = np.empty(n + 1, U)
+    sums[0] = 0
+    np.cumsum((LOWER[data] + np.uint16(1)).astype(U) * power[:n], out=sums[1:])
+    for k in lengths:
+        longer = np.flatnonzero(stops - starts > k)
+        at = starts[longer]
+        yield longer, mix((sums[at + k] - sums[at]) * inverse[at] + U(k | 1 << 32))
