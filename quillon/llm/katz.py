@@ -13,7 +13,7 @@ counts of counts are first smoothed by a log-linear fit; where that does not fal
 as it must, counts lose an absolute discount. An order is not discounted only
 where nothing occurs once and no line can be fitted.
 
-Plan. Documents are packed once into chunks of some eight megabytes of text:
+Plan. Documents are packed once into chunks of some sixteen megabytes of text:
 word hashes and token places, in files of the shared folder (Arrow, a batch per
 chunk), with a small table that names them. Counting: each chunk sends its
 distinct grams with their training counts, sorted by hash and cut into hash
@@ -438,7 +438,7 @@ def _packed(docs: DataFrame, held_out: Column, chunk_bytes: int, id_col: str, te
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), body(text_col).alias("__text"))
     chunks = stored(rows.mapInArrow(_pack_chunks(fresh_path(spark, "packed"), chunk_bytes), CHUNK), "chunks")
     n, tokens = chunks.agg(F.count(F.lit(1)), F.sum("tokens")).first()
-    return chunks, tokens or 0, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n or 0)
+    return chunks, tokens or 0, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * (n or 0))
 
 
 def _scores(chunks: DataFrame, model: Model, kind: T.DataType, tasks: int, id_col: str, base_add: float) -> DataFrame:
@@ -463,7 +463,7 @@ def _scores(chunks: DataFrame, model: Model, kind: T.DataType, tasks: int, id_co
     return _dealt(chunks, tasks).mapInArrow(evaluate, schema)
 
 
-def fit_and_score(docs: DataFrame, held_out: Column, order: int = 2, chunk_bytes: int = 8 << 20, part_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", base_add: float = 0.1) -> tuple[DataFrame, Model]:
+def fit_and_score(docs: DataFrame, held_out: Column, order: int = 2, chunk_bytes: int = 16 << 20, part_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text", base_add: float = 0.1) -> tuple[DataFrame, Model]:
     """The scores of all rows, and the model learned from those that are not held out."""
     spark = docs.sparkSession
     chunks, tokens, tasks = _packed(docs, held_out, chunk_bytes, id_col, text_col)
@@ -481,7 +481,7 @@ def score_texts(docs: DataFrame, held_out: Column, **options) -> DataFrame:
     return fit_and_score(docs, held_out, **options)[0]
 
 
-def score_with(model: Model, docs: DataFrame, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", base_add: float = 0.1) -> DataFrame:
+def score_with(model: Model, docs: DataFrame, chunk_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", base_add: float = 0.1) -> DataFrame:
     """The same for other texts, by a model's tables; all rows are held out."""
     spark = docs.sparkSession
     chunks, _, tasks = _packed(docs, F.lit(True), chunk_bytes, id_col, text_col)
