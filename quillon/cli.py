@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import clean, runs
+from quillon.operators import clean, gnn, graph, metrics, runs, serving, suite
 from quillon.sources import files
+from quillon.sources.shared import stored
 
 TABLES = ("malware", "clean", "test_malware", "test_clean")
 
@@ -21,16 +22,70 @@ def unique(spark: SparkSession, args) -> None:
         files.write_csv(out.select(*columns).orderBy(F.desc("command_line")), f"{args.out or args.folder}/{name}_unique.csv", single=True)
 
 
+def show(df: DataFrame) -> None:
+    """Every row, one at a time, as tab-separated text under a head line."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else ",".join(map(str, v)) if isinstance(v, list) else str(v) for v in row))
+
+
 def summarize(spark: SparkSession, args) -> None:
     df = files.read_with_path(spark, *args.patterns)
     values = [c for c in (*runs.METRICS, *(f"test_{m}" for m in runs.METRICS)) if c in df.columns]
-    runs.sorted_rows(df, args.sort_by, args.limit).show(1000, truncate=False)
-    runs.mean_std(df, values, sort_by=args.sort_by, limit=args.limit).show(1000, truncate=False)
+    rows, groups = runs.sorted_rows(df, args.sort_by, args.limit), runs.mean_std(df, values, sort_by=args.sort_by, limit=args.limit)
+    for name, table in (("rows", rows), ("groups", groups)):
+        show(table)
+        if args.out:
+            files.write_csv(table, f"{args.out}/{name}", single=True)
+
+
+def _found(spark: SparkSession, args) -> DataFrame:
+    asked = {k: getattr(args, k) for k in ("seed", "test_size", "feature_type", "edge_ablation", "embedder", "feature_config")}
+    return runs.lookup(runs.parsed_runs(files.find_models(spark, args.root)), None, args.model, **asked)
 
 
 def find(spark: SparkSession, args) -> None:
-    found = runs.lookup(runs.parsed_runs(files.find_models(spark, args.root)), args.model, None, seed=args.seed, feature_config=args.feature_config, edge_ablation=args.edge_ablation)
-    runs.run_sets(found).orderBy("run_dir").show(1000, truncate=False)
+    show(runs.run_sets(_found(spark, args)).orderBy("run_dir"))
+
+
+def _tables(spark: SparkSession, malware: str | None, clean_: str | None) -> DataFrame | None:
+    if bool(malware) != bool(clean_):
+        raise SystemExit("tables of malware and of clean commands go together")
+    if not malware:
+        return None
+    return serving.labelled_commands(*(clean.read_back(files.read_commands(spark, p)) for p in (malware, clean_)))
+
+
+def train(spark: SparkSession, args) -> None:
+    """Graph models, or baselines on text, over all combinations asked for; metrics go to experiment_summary below the results."""
+    rows, later = _tables(spark, args.malware, args.clean), _tables(spark, args.test_malware, args.test_clean)
+    if args.kind == "gnn":
+        out = serving.train_grid(rows, args.results, args.seed, args.feature_type, args.edge_ablation, args.model or ["rgcn"], args.loss, args.test_size, args.epochs, args.batch_size, args.num_layers, held_out=later)
+    else:
+        models = ["manual"] if args.kind == "manual" else [f"tfidf_{a}" for a in args.analyzer]
+        out = suite.run(rows, "key", "text", models, args.seed, args.test_size, later)
+    files.write_csv(out, f"{args.results}/experiment_summary", single=True)
+    show(out)
+
+
+def infer(spark: SparkSession, args) -> None:
+    """Predictions for a table of unique or raw commands by one saved model, metrics if it has labels, and the time of each stage."""
+    path = args.model_path or _found(spark, args).orderBy("path").select("path").first()["path"]
+    model, config, ablation = serving.rebuild(spark, path)
+    raw = files.read_csv(spark, args.csv)
+    raw = raw.withColumn("key", F.md5(F.coalesce("command_line", F.lit(""))))
+    raw = raw if args.limit is None else raw.limit(args.limit)
+    prepared = (clean.parsed if args.raw else clean.read_back)(raw)
+    label = "label" if "label" in raw.columns else None
+    out = serving.infer(prepared.withColumn("label", F.col("label").cast("int")) if label else prepared, "key", model, config, ablation, label, args.batch_size)
+    if args.out:
+        files.write_csv(out, args.out)
+    if label:
+        show(metrics.metrics(out))
+        show(metrics.confusion_matrix(out))
+    ready = stored(serving.graphs(prepared, "key", config, ablation), "ready")
+    stages = {"preprocess": lambda: serving.graphs(prepared, "key", config, ablation), "model": lambda: gnn.predict(ready, model, batch=args.batch_size), "combined": lambda: serving.infer(prepared, "key", model, config, ablation, batch=args.batch_size)}
+    show(suite.latency(spark, stages, ready.count(), args.warmup, batch=args.batch_size))
 
 
 def count(spark: SparkSession, args) -> None:
@@ -38,6 +93,17 @@ def count(spark: SparkSession, args) -> None:
         print(m, runs.parameters(m, args.width, args.hidden_dim, args.num_layers, args.num_classes))
 
 
+def _run_options(a: argparse.ArgumentParser) -> None:
+    """What a run must be; models are beginnings of MODEL_loss in any case."""
+    a.add_argument("--model", nargs="*")
+    a.add_argument("--seed", type=int)
+    a.add_argument("--test-size", type=float)
+    a.add_argument("--feature-type")
+    a.add_argument("--edge-ablation")
+    a.add_argument("--embedder")
+    a.add_argument("--feature-config", nargs="*")
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     sub = p.add_subparsers(required=True)
@@ -50,14 +116,41 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("patterns", nargs="+")
     a.add_argument("--sort-by")
     a.add_argument("--limit", type=int)
+    a.add_argument("--out")
     a.set_defaults(run=summarize)
     a = sub.add_parser("find")
     a.add_argument("root")
-    a.add_argument("--model", nargs="*")
-    a.add_argument("--seed", type=int)
-    a.add_argument("--feature-config")
-    a.add_argument("--edge-ablation")
+    _run_options(a)
     a.set_defaults(run=find)
+    a = sub.add_parser("train")
+    a.add_argument("kind", choices=("gnn", "tfidf", "manual"))
+    a.add_argument("malware")
+    a.add_argument("clean")
+    a.add_argument("--test-malware")
+    a.add_argument("--test-clean")
+    a.add_argument("--results", default="results")
+    a.add_argument("--seed", type=int, nargs="+", default=[42])
+    a.add_argument("--test-size", type=float, default=0.3)
+    a.add_argument("--model", nargs="+", choices=gnn.KINDS)
+    a.add_argument("--feature-type", nargs="+", default=["semantic_only"], choices=tuple(graph.CONFIGS))
+    a.add_argument("--edge-ablation", nargs="+", default=["all"], choices=tuple(graph.KEEP))
+    a.add_argument("--loss", nargs="+", default=["standard"], choices=tuple(serving.LOSSES))
+    a.add_argument("--analyzer", nargs="+", default=["char_wb", "word"], choices=("word", "char", "char_wb"))
+    a.add_argument("--epochs", type=int, default=25)
+    a.add_argument("--batch-size", type=int, default=64)
+    a.add_argument("--num-layers", type=int, default=3)
+    a.set_defaults(run=train)
+    a = sub.add_parser("infer")
+    a.add_argument("csv")
+    a.add_argument("--model-path")
+    a.add_argument("--root", default="results")
+    _run_options(a)
+    a.add_argument("--raw", action="store_true", help="the commands are not parsed yet")
+    a.add_argument("--batch-size", type=int, default=32)
+    a.add_argument("--limit", type=int, help="only so many rows")
+    a.add_argument("--warmup", type=int, default=2)
+    a.add_argument("--out")
+    a.set_defaults(run=infer)
     a = sub.add_parser("count-params")
     a.add_argument("--model", nargs="+", default=("gcn", "sage", "gin", "gat", "rgcn"))
     a.add_argument("--width", type=int, default=64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import json
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ FEW, FEW_WITH_FILE = 4, 6
 ARENA = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("idx", "parent", "pos", "depth", "subtree")] + [T.StructField("value", T.StringType())]))
 PARSED = T.StructType([T.StructField("tree", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()), T.StructField("nodes", ARENA)])
 
+READ = T.StructType([PARSED["tree"], PARSED["tokens"], PARSED["nodes"]])
+
 
 def arena(tree: cmdline.Tree | None) -> list[tuple]:
     """A tree as a flat list of nodes (idx, parent, pos, depth, subtree size, value) in pre-order. The first token is the root."""
@@ -128,12 +131,44 @@ def make_unique(raw: DataFrame) -> DataFrame:
     return out.withColumn("command_line", python_repr(F.col("cmd_json")))
 
 
+def read_tree(text: str | None) -> cmdline.Tree | None:
+    """A tree out of its text: nested tuples or lists of strings, as Python prints them or as JSON. Only literals are read; None for all else."""
+    for read in (ast.literal_eval, json.loads):
+        try:
+            tree = read(text or "")
+        except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
+            continue
+        if _is_tree(tree):
+            return _tuples(tree)
+    return None
+
+
+def _is_tree(x) -> bool:
+    return isinstance(x, str) or (isinstance(x, (list, tuple)) and all(map(_is_tree, x)))
+
+
+def _tuples(x):
+    return tuple(map(_tuples, x)) if isinstance(x, (list, tuple)) else x
+
+
+def read_back(unique: DataFrame, column: str = "command_line") -> DataFrame:
+    """A unique table's rows with tree (JSON), tokens, nodes and text: the leaves joined by spaces, or where there is no tree the text without ( ) ' and ,."""
+    ship(unique.sparkSession)
+
+    @F.pandas_udf(READ)
+    def read(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            trees = [read_tree(t) for t in part]
+            yield pd.DataFrame([(None, None, None) if t is None else (json.dumps(t, ensure_ascii=False), cmdline.flat(t), arena(t)) for t in trees], columns=READ.names)
+
+    plain = F.translate(F.coalesce(F.col(column), F.lit("")), "()',", "    ")
+    rows = unique.withColumn("__read", read(F.col(column)))
+    return rows.select(*unique.columns, "__read.*", F.coalesce(F.array_join("__read.tokens", " "), plain).alias("text"))
+
+
 @F.pandas_udf(T.StringType())
 def _repr(trees: pd.Series) -> pd.Series:
-    def tuples(x):
-        return tuple(map(tuples, x)) if isinstance(x, list) else x
-
-    return trees.map(lambda t: repr(tuples(json.loads(t))))
+    return trees.map(lambda t: repr(_tuples(json.loads(t))))
 
 
 def python_repr(tree: Column) -> Column:

@@ -3,17 +3,20 @@
 A graph is one row: x (features, row by row), width, src, dst, type, label. All
 its message passing happens in that row, so a forward pass is one mapInPandas
 without a shuffle. In training every partition runs an epoch of mini-batches
-from the same weights; the weights are averaged by numbers of graphs.
+from the same weights, a block of its rows at a time; weights and the optimiser's
+moments are averaged by numbers of graphs, in two steps, so that the driver gets
+about the square root of the number of cores.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,12 +253,37 @@ def predict(graphs: DataFrame, model: Model, rule: bool = True, batch: int = 256
     return graphs.select("graph_id", "label", "rule_label", "x", "width", "src", "dst", "type").mapInPandas(run, schema)
 
 
+State = dict[str, dict[str, np.ndarray]]
+
+
+def _state(model: Model, optimiser: AdamW) -> State:
+    return {"weights": model.weights, "running": model.running, "m": optimiser.m, "v": optimiser.v, "t": {"t": np.array(float(optimiser.t))}}
+
+
+def _scaled(state: State, by: float) -> State:
+    return {k: {name: x * by for name, x in d.items()} for k, d in state.items()}
+
+
+def _sum_states(states: Iterable[State]) -> State:
+    out: State = {}
+    for state in states:
+        for k, d in state.items():
+            mine = out.setdefault(k, {})
+            for name, x in d.items():
+                mine[name] = mine[name] + x if name in mine else x
+    return out
+
+
+def _set_state(model: Model, optimiser: AdamW, state: State) -> None:
+    model.weights, model.running, optimiser.m, optimiser.v = (state.get(k, {}) for k in ("weights", "running", "m", "v"))
+    optimiser.t = round(float(state["t"]["t"]))
+
+
 def train(graphs: DataFrame, held: DataFrame, model: Model, loss: str = "smoothed", epochs: int = 25, batch: int = 64, rate: float = 1e-3, decay: float = 1e-4, patience: int = 5, plateau: int = 3, seed: int = 0) -> tuple[Model, list[dict]]:
     """The model of the best epoch by F1 of the positive class on held, and the history of epochs.
 
     The rate halves after plateau epochs without a better macro F1; training ends
-    after patience epochs without a better F1. A partition's graphs are in memory
-    for its epoch; what reaches the driver is one set of weights per partition.
+    after patience epochs without a better F1.
     """
     from . import metrics
 
@@ -265,25 +293,31 @@ def train(graphs: DataFrame, held: DataFrame, model: Model, loss: str = "smoothe
     n = sum(counts.values())
     weights = np.array([n / (2 * max(1, counts.get(k, 0))) for k in (0, 1)])
     graphs = graphs.select("graph_id", "label", "x", "width", "src", "dst", "type").persist()
+    groups = max(1, int(spark.sparkContext.defaultParallelism**0.5))
     best, best_f1, best_macro, bad, flat, history = pickle.dumps(model), -1.0, -1.0, 0, 0, []
+    optimiser = AdamW(rate, decay)
     for k in range(epochs):
-        shared, current = spark.sparkContext.broadcast(pickle.dumps(model)), rate
-
-        def run(parts, shared=shared, current=current, k=k):
-            rows = pd.concat(list(parts) or [pd.DataFrame()])
-            if len(rows):
-                m = pickle.loads(shared.value)
-                value = epoch(m, rows, AdamW(current, decay), loss, weights, batch, seed * 1000 + k)
-                yield pd.DataFrame({"n": [len(rows)], "loss": [value], "model": [pickle.dumps((m.weights, m.running))]})
-
-        parts = graphs.mapInPandas(run, "n long, loss double, model binary").collect()
-        share = {i: p.n / sum(q.n for q in parts) for i, p in enumerate(parts)}
-        states = [pickle.loads(p.model) for p in parts]
-        for slot, target in ((0, model.weights), (1, model.running)):
-            for name in target:
-                target[name] = sum(share[i] * s[slot][name] for i, s in enumerate(states))
+        optimiser.rate = rate
+        shared = spark.sparkContext.broadcast(pickle.dumps((model, optimiser)))
+
+        def run(parts, shared=shared, k=k):
+            m, o = pickle.loads(shared.value)
+            seen, total = 0, 0.0
+            for rows in parts:
+                total += len(rows) * epoch(m, rows, o, loss, weights, batch, seed * 1000 + k)
+                seen += len(rows)
+            if seen:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId() % groups], "n": [seen], "loss": [total], "state": [pickle.dumps(_scaled(_state(m, o), seen))]})
+
+        def add(parts: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"part": parts["part"][:1], "n": [parts["n"].sum()], "loss": [parts["loss"].sum()], "state": [pickle.dumps(_sum_states(map(pickle.loads, parts["state"])))]})
+
+        kind = "part int, n long, loss double, state binary"
+        parts = graphs.mapInPandas(run, kind).groupBy("part").applyInPandas(add, kind).collect()
+        seen = sum(p.n for p in parts)
+        _set_state(model, optimiser, _scaled(_sum_states(pickle.loads(p.state) for p in parts), 1 / seen))
         scores = metrics.metrics(predict(held, model)).first()
-        history.append({"epoch": k, "loss": sum(share[i] * p.loss for i, p in enumerate(parts)), "rate": rate, "f1_malware": scores.f1_malware, "f1_macro": scores.f1_macro})
+        history.append({"epoch": k, "loss": sum(p.loss for p in parts) / seen, "rate": rate, "f1_malware": scores.f1_malware, "f1_macro": scores.f1_macro})
         if scores.f1_macro > best_macro:
             best_macro, flat = scores.f1_macro, 0
         elif (flat := flat + 1) > plateau:
@@ -300,10 +334,10 @@ def _field(name: str):
     return lambda t: t[name]
 
 
-def graph_rows(nodes: DataFrame, edge_rows: DataFrame, feature_columns: list[str], labels: DataFrame) -> DataFrame:
-    """One row per graph out of node features, edges, and (graph_id, label, rule_label). Rows of a node table go by idx."""
-    x = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.array(*(F.col(c).cast("double") for c in feature_columns)).alias("v")))).alias("rows"))
-    x = x.select("graph_id", F.flatten(F.transform("rows", lambda t: t["v"])).alias("x"), F.lit(len(feature_columns)).alias("width"))
+def graph_rows(nodes: DataFrame, edge_rows: DataFrame, vector: str, labels: DataFrame, width: int) -> DataFrame:
+    """One row per graph out of nodes (graph_id, idx and a vector of width numbers), edges, and (graph_id, label, rule_label). Rows of a node table go by idx."""
+    x = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("idx", F.col(vector).alias("v")))).alias("rows"))
+    x = x.select("graph_id", F.flatten(F.transform("rows", lambda t: t["v"])).alias("x"), F.lit(width).alias("width"))
     e = edge_rows.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "type"))).alias("e"))
     e = e.select("graph_id", *(F.transform("e", _field(c)).alias(c) for c in ("src", "dst", "type")))
     return labels.join(x, "graph_id").join(e, "graph_id")

@@ -45,14 +45,14 @@ def run(df: DataFrame, key: str, text: str, models: Iterable[str], seeds: Iterab
         m = metrics.metrics(predict(rows.where("is_test")))
         if held_out is not None:
             later = metrics.metrics(predict(held_out))
-            m = m.crossJoin(later.select(*(F.col(c).alias(f"test_{c}") for c in later.columns)))  # two rows of one
+            m = m.crossJoin(later.select(*(F.col(c).alias(f"test_{c}") for c in later.columns)))  # one row by one row
         m = spark.createDataFrame(m.select(F.lit(seed).alias("seed"), F.lit(name).alias("model"), "*").collect())
         out = m if out is None else out.unionByName(m, allowMissingColumns=True)
     return out
 
 
-def latency(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], rows: int, warmup: int = 2, repeats: int = 3) -> DataFrame:
-    """Seconds in all and milliseconds per row of each stage, mean and population deviation over repeats, after runs that are not counted."""
+def latency(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], rows: int, warmup: int = 2, repeats: int = 3, batch: int = 32) -> DataFrame:
+    """Seconds in all and milliseconds per row and per batch of each stage, mean and population deviation over repeats, after runs that are not counted."""
     took = []
     for name, make in stages.items():
         for k in range(warmup + repeats):
@@ -61,4 +61,7 @@ def latency(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], row
             if k >= warmup:
                 took.append((name, time.perf_counter() - began))
     df = spark.createDataFrame(took, "stage string, s double")
-    return df.groupBy("stage").agg(F.sum("s").alias("total_s"), (F.avg("s") * 1000 / rows).alias("row_ms_mean"), (F.stddev_pop("s") * 1000 / rows).alias("row_ms_std"))
+    batches = max(1, -(-rows // batch))
+    per = lambda n: [(F.avg("s") * 1000 / n), (F.stddev_pop("s") * 1000 / n)]
+    row, whole = per(max(1, rows)), per(batches)
+    return df.groupBy("stage").agg(F.sum("s").alias("total_s"), row[0].alias("row_ms_mean"), row[1].alias("row_ms_std"), whole[0].alias("batch_ms_mean"), whole[1].alias("batch_ms_std"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native
-from ..operators import clean, features, gnn, graph, learn, metrics, runs, split
+from ..operators import clean, features, gnn, graph, learn, metrics, runs, serving, split
 from ..sources.shared import stored
 
 QUERIES: dict = {}
@@ -569,12 +569,6 @@ def logistic_manual(spark, sf_dir):
 
 @query()
 def graph_forward(spark, sf_dir):
-    parsed = clean.parsed(_commands(spark, sf_dir).withColumnRenamed("c", "command_line")).where("nodes is not null")
-    nodes = graph.nodes_of(parsed, "id")
-    edge_rows = graph.edges(nodes)
-    f = features.token_features(F.col("value"))
-    x = nodes.select("graph_id", "idx", *(c.alias(k) for k, c in f.items())).join(graph.positional_features(nodes), ["graph_id", "idx"])
-    columns = [c for c in x.columns if c not in ("graph_id", "idx")]
-    labels = parsed.select(F.col("id").alias("graph_id"), (F.col("id") % 2).cast("int").alias("label"), graph.rule_label(F.col("tokens")).alias("rule_label"))
-    rows = gnn.graph_rows(x, edge_rows, columns, labels)
-    return gnn.predict(rows, gnn.Model("rgcn", len(columns), hidden=32).start(7)).select("graph_id", "pred")
+    """A forward pass of a full-size model over all features."""
+    parsed = stored(clean.parsed(_commands(spark, sf_dir).withColumnRenamed("c", "command_line")), "parsed")
+    return serving.infer(parsed, "id", gnn.Model("rgcn", runs.input_width(serving.SEMANTIC_WIDTH, True, True)).start(7), "all").select("graph_id", "pred")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; in local mode, where that is unset, a folder of our own. On a cluster it must be set."""
+    """spark.checkpoint.dir, with its file system's name; in local mode, where that is unset, a folder of our own. On a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base:
-        return base
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"file:///tmp/checkpoints/quillon-{os.getpid()}"
