@@ -7,11 +7,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cmdline
+from ..functions import cmdline, rules
 from ..functions.shipping import ship
 from .features import ascii_share
 
@@ -97,6 +97,22 @@ def parsed_columns(command: Column, row: Column) -> list[Column]:
     return [row["tree"].alias("tree"), row["tokens"].alias("tokens"), valid.alias("valid"), row["error"].alias("error"), row["nodes"].alias("nodes")]
 
 
+@F.pandas_udf(T.StringType())
+def _one_rule(names: pd.Series, texts: pd.Series) -> pd.Series:
+    out = []
+    for name, text in zip(names, texts):
+        state = rules.State(text, text.lower(), "/" in text)
+        rules.RULES[name](state)
+        out.append(state.text)
+    return pd.Series(out)
+
+
+def one_rule(name: Column, text: Column) -> Column:
+    """A text after one rule of the program alone, its gate looking at this text."""
+    ship(SparkSession.getActiveSession())
+    return _one_rule(name, text)
+
+
 def mostly_ascii(df: DataFrame, command: str = "command_line", least: float = 0.8) -> DataFrame:
     return df.where(ascii_share(F.col(command)) >= least)
 

@@ -50,6 +50,12 @@ def tfidf_rows(docs: DataFrame, key: str, terms: Column, vocabulary: int = 50_00
     return x.withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
 
 
+def matrix_stats(rows: DataFrame, key: str) -> DataFrame:
+    """Of a sparse matrix, a row per entry: entries stored, rows and columns in use, density and entries per row."""
+    n = rows.agg(F.count(F.lit(1)).alias("stored"), F.count_distinct(key).alias("rows_used"), F.count_distinct("term").alias("columns_used"))
+    return n.withColumns({"density": F.col("stored") / (F.col("rows_used") * F.col("columns_used")), "per_row": F.col("stored") / F.col("rows_used")})
+
+
 def tfidf_logistic(train: DataFrame, text: str, label: str = "label", analyzer: str = "word", vocabulary: int = 50_000, max_iter: int = 1000) -> tuple[PipelineModel, Column]:
     """A model on TF-IDF vectors, and the expression of the terms it reads (as column terms)."""
     terms = {"word": lambda t: word_grams(t, 1, 3), "char": lambda t: char_grams(t, 3, 5), "char_wb": lambda t: char_grams(t, 3, 5, True)}[analyzer](F.coalesce(F.col(text), F.lit("")))

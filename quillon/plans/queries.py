@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import native
 from ..operators import clean, features, gnn, graph, learn, metrics, runs, serving, split
 from ..sources.shared import stored
+from . import examples
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -544,13 +545,99 @@ def tfidf_word_topk(spark, sf_dir):
 # --- what SQL cannot say: rows only, tests hold them against goldens and plain versions ------
 
 
-@query()
+def _examples_sql(rows: list[tuple], answer: str) -> str:
+    """Hand-written answers, for each nation's number."""
+    values = ", ".join("(" + ", ".join(map(_sql_text, (str(k), *r))) + ")" for k, r in enumerate(rows))
+    width = len(rows[0])
+    names = "k, " + ("rule, given, answer" if width == 3 else "given, answer")
+    return f"SELECT CAST(k AS INT) AS k, CAST(n_nationkey AS INT) AS nation, replace(answer, '{{n}}', CAST(10 + n_nationkey AS VARCHAR)) AS {answer} FROM (VALUES {values}) AS t({names}), nation"
+
+
+def _examples(spark, sf_dir, rows: list[tuple]) -> DataFrame:
+    number = (F.col("n_nationkey") + 10).cast("string")
+    given = spark.createDataFrame([(k, *r[:-1]) for k, r in enumerate(rows)], "k int, " + ("rule string, " if len(rows[0]) == 3 else "") + "given string")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("nation"), number.alias("number"))
+    return given.crossJoin(nation).withColumn("given", F.replace("given", F.lit("{n}"), F.col("number")))  # a table of examples by one of 25 rows
+
+
+@query(_examples_sql(examples.RULES, "rewritten"))
+def rule_examples(spark, sf_dir):
+    """Each rule alone, on a text of its own."""
+    return _examples(spark, sf_dir, examples.RULES).select("k", "nation", clean.one_rule(F.col("rule"), F.col("given")).alias("rewritten"))
+
+
+@query(_examples_sql(examples.COMMANDS, "tree"))
+def parser_examples(spark, sf_dir):
+    """Cleaning, rules, splitting, payloads and recursion together."""
+    return clean.parsed(_examples(spark, sf_dir, examples.COMMANDS), "given").select("k", "nation", "tree")
+
+
+_PARSED_TREE = """["cmd.exe", "/c", "wmic", "process", "<pid>", "get", "--port", "<port>", "/duration", "<s>", "port", "=", "<port>", "metric=<n>", "-eq", "<pid>", "processid", "<pid>", "chcp", "<code>", "process", "<pid>", "findstr", ":<n>", "<email>", "<url>", "<md5>", "<sha256>", "<sid>", "wscript", "curdate=<date>", ["/try", "<n>"], "<timestamp>", "<guid>", "kill-port", "<port>", "<token>"]"""
+_PARSED_TOKENS = "cmd.exe /c wmic process <pid> get --port <port> /duration <s> port = <port> metric=<n> -eq <pid> processid <pid> chcp <code> process <pid> findstr :<n> <email> <url> <md5> <sha256> <sid> wscript curdate=<date> /try <n> <timestamp> <guid> kill-port <port> <token>"
+
+
+@query(f"SELECT o_orderkey AS id, {_sql_text(_PARSED_TREE)} AS tree, {_sql_text(_PARSED_TOKENS)} AS tokens, true AS valid, 39 AS n_nodes FROM orders")
 def parse_commands(spark, sf_dir):
+    """All numbers, names and digests of the commands become tags, so they all have one tree."""
     return clean.parsed(_commands(spark, sf_dir).withColumnRenamed("c", "command_line")).select("id", "tree", F.array_join("tokens", " ").alias("tokens"), "valid", F.size("nodes").alias("n_nodes"))
 
 
-@query()
+@query("SELECT o_orderkey AS id, concat('cmd.exe it''s ', o_orderkey, ' a,b ', o_custkey) AS text FROM orders")
+def unique_tables_read_back(spark, sf_dir):
+    """Trees as text, back to their leaves."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    made = F.concat(F.lit("('cmd.exe', (\"it's\", ('"), k, F.lit("',)), 'a,b', '"), c, F.lit("')"))
+    return clean.read_back(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), made.alias("command_line"))).select("id", "text")
+
+
+_POSITIONS = f"""WITH RECURSIVE l AS ({_PLACES}), d AS (SELECT node, parent, 0 AS depth, [node] AS path FROM l WHERE parent IS NULL UNION ALL SELECT l.node, l.parent, d.depth + 1, list_append(d.path, l.node) FROM l JOIN d ON l.parent = d.node),
+s AS (SELECT a AS node, count(*) AS subtree FROM (SELECT unnest(path) AS a FROM d) GROUP BY a)
+SELECT node AS idx, round(depth / (SELECT max(depth) FROM d)::DOUBLE, 6) AS depth_share, (subtree = 1)::INT::DOUBLE AS is_leaf, (parent IS NULL)::INT::DOUBLE AS is_root, round(ln(1 + subtree), 6) AS log_subtree FROM d JOIN s USING (node)"""
+
+
+@query(_POSITIONS)
+def positional_features(spark, sf_dir):
+    links = _places(spark, sf_dir)
+    nodes = graph.depth_and_subtree(links).join(links, "node").select(F.lit(1).alias("graph_id"), F.col("node").alias("idx"), F.when(F.col("parent").isNull(), -1).otherwise(0).alias("parent"), "depth", "subtree")
+    return graph.positional_features(nodes).select("idx", r(F.col("depth_share")).alias("depth_share"), "is_leaf", "is_root", r(F.col("log_subtree")).alias("log_subtree"))
+
+
+_GRAM_TEXT = "SELECT c_custkey AS doc_id, lower(c_name || '  ' || c_mktsegment || ' x') AS t FROM customer"
+
+
+def _gram_text(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat("c_name", F.lit("  "), "c_mktsegment", F.lit(" x")).alias("t"))
+
+
+@query(f"WITH d AS ({_GRAM_TEXT}), s AS (SELECT doc_id, regexp_replace(t, '\\s+', ' ', 'g') AS t FROM d) SELECT doc_id, array_to_string(flatten([list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n)) for n in [3, 4, 5]]), '|') AS grams FROM s")
+def char_grams(spark, sf_dir):
+    return _gram_text(spark, sf_dir).select("doc_id", F.array_join(learn.char_grams(F.col("t"), 3, 5), "|").alias("grams"))
+
+
+@query(f"WITH d AS ({_GRAM_TEXT}), w AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> ''), lambda x: ' ' || x || ' ') AS w FROM d) SELECT doc_id, array_to_string(flatten(list_transform(w, lambda x: flatten([list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n)) for n in [3, 4, 5]]))), '|') AS grams FROM w")
+def char_grams_inside_words(spark, sf_dir):
+    return _gram_text(spark, sf_dir).select("doc_id", F.array_join(learn.char_grams(F.col("t"), 3, 5, True), "|").alias("grams"))
+
+
+@query(f"WITH t AS ({_tfidf_sql(f'SELECT doc_id, unnest(w) AS term FROM ({_WORDS})')}) SELECT count(*) AS stored, count(DISTINCT doc_id) AS rows_used, count(DISTINCT term) AS columns_used, round(count(*) / (count(DISTINCT doc_id) * count(DISTINCT term))::DOUBLE, 9) AS density, round(count(*) / count(DISTINCT doc_id)::DOUBLE, 6) AS per_row FROM t")
+def tfidf_matrix_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    m = learn.tfidf_rows(docs, "doc_id", learn.word_grams(F.coalesce("text", F.lit("")), 1, 1), _VOCABULARY)
+    return learn.matrix_stats(m, "doc_id").select("stored", "rows_used", "columns_used", F.round("density", 9).alias("density"), r(F.col("per_row")).alias("per_row"))
+
+
+@query("WITH d AS (SELECT doc_id, toxic AS label, ln(1 + length(coalesce(text, ''))) AS a, length(coalesce(text, ''))::DOUBLE AS b, doc_id % 3 AS k FROM documents JOIN labels USING (doc_id)), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM d WHERE k > 0) SELECT doc_id, round((a - ma) / sa, 6) + 0.0 AS a, round((b - mb) / sb, 6) + 0.0 AS b FROM d, s WHERE k = 0")
+def scaled_features(spark, sf_dir):
+    n = F.length(F.coalesce("text", F.lit(""))).cast("double")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.log1p(n).alias("a"), n.alias("b"))
+    out = learn.scale(rows.where("doc_id % 3 > 0"), [rows.where("doc_id % 3 = 0")], ["a", "b"])[1]
+    return out.select("doc_id", *((r(F.col(c)) + 0.0).alias(c) for c in ("a", "b")))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN n BETWEEN 31 AND 33 OR n IN (36, 48) THEN '["powershell.exe", "-enc", "<payload>"]' ELSE concat('["powershell.exe", "-enc", ["get-item", "', replace(p_name, ' ', '", "'), '"]]') END AS tree
+FROM (SELECT *, CAST(ceil(8 * (9 + length(p_name)) / 3.0::DOUBLE) AS INT) AS n FROM part)""")
 def decode_payloads(spark, sf_dir):
+    """UTF-16 in Base64. The rules run before payloads are read, so what is as long as a token of theirs (31 to 33, 36 or 48 characters) is one."""
     made = F.concat(F.lit("powershell.exe -enc "), F.base64(F.encode(F.concat(F.lit("Get-Item "), "p_name"), "UTF-16LE")))
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made.alias("command_line"))
     return clean.parsed(rows).select("id", "tree")
