@@ -1,3 +1,4 @@
+import functools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -20,27 +21,37 @@ def plain_katz(docs, order):
                     counts[n][tuple(padded[k + order - 1 - n : k + order - 1])][w] += 1
     factors = [katz.discounts([sum(c == r for x in level.values() for c in x.values()) for r in range(1, katz.LIMIT + 2)]) for level in counts]
 
+    n_tokens = sum(counts[0][()].values())
+
     def cut(n, c):
         return c * (factors[n][c] if c <= katz.LIMIT else 1.0)
 
+    @functools.cache
+    def below(context):
+        return sum(p(x, context[1:]) for x in counts[len(context)][context])
+
+    @functools.cache
+    def kept_of(context):
+        return sum(cut(len(context), c) for c in counts[len(context)][context].values())
+
     def p(w, context):
         n = len(context)
         seen = counts[n].get(context, {})
         if n == 0:
-            total = sum(seen.values())
-            freed = total - sum(cut(0, c) for c in seen.values())
+            total = n_tokens
+            freed = total - kept_of(())
             if freed <= 0:
                 total, freed = total + 1, 1
             return cut(0, seen[w]) / total if w in seen else freed / total
         if not seen:
             return p(w, context[1:])
         total = sum(seen.values())
-        kept = sum(cut(n, c) for c in seen.values())
+        kept = kept_of(context)
         if total - kept < 1e-9 * total:
             total += 1
         if w in seen:
             return cut(n, seen[w]) / total
-        return (1 - kept / total) / (1 - sum(p(x, context[1:]) for x in seen)) * p(w, context[1:])
+        return (1 - kept / total) / (1 - below(context)) * p(w, context[1:])
 
     uni = counts[0][()]
     total, kinds = sum(uni.values()), len(uni)
