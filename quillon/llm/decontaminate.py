@@ -5,15 +5,17 @@ A benchmark item's windows are its runs of ``span`` consecutive words (an item o
 fewer words, but not none, is one window). Both sides keep, of every ``w``
 consecutive k-grams, the one with the least hash, with k + w - 1 = span: any
 shared stretch of span words holds a fingerprint that both sides kept. Shared
-fingerprints are seeds; each is extended to both sides while the words agree,
-and stretches of at least span words count, so the result is exact, not a
-sample. Short items are matched by one hash over all their words, at every
-position (k = their length, w = 1).
+fingerprints are seeds; a seed is extended to the windows of span words around
+it, and those that an item has count, so no shared window is left out, and what
+is found is exact but for 64-bit hashes of words and windows. Short items are
+matched by one hash over all their words, at every position (k = their length,
+w = 1). A window that many items share is looked up once, whatever their number.
 
 Two plans give the same rows. If the benchmark's texts are at most
-``broadcast_bytes`` in all (measured first), its fingerprints go to every task
-and documents are read once, without a shuffle. Beyond that, fingerprints of
-both sides are joined by hash, and candidate pairs meet their texts again.
+``broadcast_bytes`` in all (measured first), its fingerprints and windows go to
+every task and documents are read once, without a shuffle. Beyond that, seeds are
+found by a join on fingerprint hashes, and the windows around them by a join on
+window hashes; texts take part once, and items only as the ids of a window.
 
 Nulls and odd rows: a null text has no words. Items without words or id are left
 out. Items that share an id are one item. Repeated document rows are judged
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext
-from .common import body, ship
+from .common import ascii_lower, body, ship, stored
 
 SPAN, K = 10, 5
 RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]
@@ -57,72 +59,87 @@ def fingerprints(hashes: np.ndarray, first: np.ndarray, k: int, w: int) -> tuple
     return at, grams[at]
 
 
+def sizes_of(lengths: np.ndarray, span: int, k: int) -> list[tuple[int, int, int]]:
+    """(words of a window, k, w) for the items there are: long ones by winnowing, short ones whole."""
+    short = sorted({int(n) for n in lengths if 0 < n < span})
+    return [(n, n, 1) for n in short] + ([(span, k, span - k + 1)] if (lengths >= span).any() else [])
+
+
+def window_hashes(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size words from each start on."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[starts + j]
+    return vectext.mix(out)
+
+
+def around(seeds: np.ndarray, first: np.ndarray, size: int, k: int) -> np.ndarray:
+    """Starts of the windows that hold a k-gram at one of the seeds, inside their rows."""
+    if not len(seeds):
+        return seeds
+    starts = np.unique((seeds[:, None] - np.arange(size - k + 1)).ravel())
+    starts = starts[starts >= 0]
+    end = first[np.searchsorted(first, starts, "right")]
+    row_of = np.searchsorted(first, starts, "right")
+    # a start before the seed's row would lie in another one, whose end comes first
+    return starts[(starts + size <= end) & (row_of < len(first))]
+
+
+def _words(block) -> tuple[np.ndarray, np.ndarray]:
+    _, _, data, offsets = block
+    hashes, first, _, _ = vectext.word_hashes(data, offsets, vectext.ALNUM)
+    return hashes, first
+
+
 class Index:
-    """A benchmark's words and fingerprints as flat arrays, small enough to send to every task."""
+    """A benchmark's fingerprints and windows as flat arrays, small enough to send to every task."""
 
     def __init__(self, ids: list[str], texts: list[str], span: int = SPAN, k: int = K):
-        self.ids, self.span, self.k = ids, span, k
-        column = pa.array(texts, pa.large_string())
-        words = [self._words(b) for b in vectext.blocks(column)]
-        self.items = [h for part in words for h in part]
-        self.tables = {}
-        groups: dict[tuple[int, int], list[int]] = {}
-        for i, h in enumerate(self.items):
-            if len(h):
-                groups.setdefault((k, span - k + 1) if len(h) >= span else (len(h), 1), []).append(i)
-        for (size, w), members in groups.items():
-            hashes = np.concatenate([self.items[i] for i in members])
-            first = np.cumsum([0, *(len(self.items[i]) for i in members)])
-            at, prints = fingerprints(hashes, first, size, w)
-            owner = np.searchsorted(first, at, "right") - 1
-            order = np.argsort(prints, kind="stable")
-            self.tables[size, w] = prints[order], np.array(members)[owner][order], (at - first[owner])[order]
-
-    @staticmethod
-    def _words(block) -> list[np.ndarray]:
-        _, _, data, offsets = block
-        hashes, first, _, _ = vectext.word_hashes(data, offsets, vectext.ALNUM)
-        return [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
+        self.ids = np.array(sorted(set(ids)), dtype=object)
+        number = {x: i for i, x in enumerate(self.ids)}
+        items = [(number[ids[lo + i]], hashes[a:b]) for block in vectext.blocks(pa.array(texts, pa.large_string())) for lo in [block[0]] for hashes, first in [_words(block)] for i, (a, b) in enumerate(zip(first[:-1], first[1:]))]
+        self.tables = []
+        for size, gram, w in sizes_of(np.array([len(h) for _, h in items]), span, k):
+            mine = [(i, h) for i, h in items if (len(h) >= span if size == span else len(h) == size)]
+            hashes, first = np.concatenate([h for _, h in mine]), np.cumsum([0, *(len(h) for _, h in mine)])
+            starts = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(first[:-1], first[1:])])
+            owner = np.array([i for i, _ in mine])[np.searchsorted(first, starts, "right") - 1]
+            pairs = np.unique(np.stack([window_hashes(hashes, starts, size), owner.astype(np.uint64)], axis=1), axis=0)
+            windows, at = np.unique(pairs[:, 0], return_index=True)
+            self.tables.append((size, gram, w, np.unique(fingerprints(hashes, first, gram, w)[1]), windows, np.r_[at, len(pairs)], pairs[:, 1].astype(np.int64)))
 
     def match(self, texts: pa.Array) -> tuple[list[int], list[int], list[list[str]]]:
         """For each text: its words, those hit, and the ids of items found, sorted."""
         n_words, n_hit, found = [], [], []
-        for _, _, data, offsets in vectext.blocks(texts):
-            hashes, first, _, _ = vectext.word_hashes(data, offsets, vectext.ALNUM)
-            hit = np.zeros(len(hashes), bool)
-            items: list[set[int]] = [set() for _ in range(len(first) - 1)]
-            for (k, w), (table, owner, place) in self.tables.items():
-                at, prints = fingerprints(hashes, first, k, w)
-                lo, hi = np.searchsorted(table, prints, "left"), np.searchsorted(table, prints, "right")
-                seeds = np.flatnonzero(hi > lo)
-                rows = np.searchsorted(first, at[seeds], "right") - 1
-                done: dict[tuple[int, int, int], int] = {}
-                for s, row in zip(seeds.tolist(), rows.tolist()):
-                    p = int(at[s])
-                    for x in range(int(lo[s]), int(hi[s])):
-                        item, q = int(owner[x]), int(place[x])
-                        if done.get((row, item, p - q), -1) > p:
-                            continue
-                        a, b = self._extend(hashes, int(first[row]), int(first[row + 1]), p, item, q)
-                        done[row, item, p - q] = b
-                        if b - a >= min(self.span, len(self.items[item])):
-                            hit[a:b] = True
-                            items[row].add(item)
-            total = np.concatenate([[0], np.cumsum(hit)])
+        for block in vectext.blocks(texts):
+            hashes, first = _words(block)
+            change, items = np.zeros(len(hashes) + 1, np.int64), [np.zeros((0, 2), np.int64)]
+            for size, k, w, prints, windows, at, owners in self.tables:
+                places, mine = fingerprints(hashes, first, k, w)
+                starts = around(places[_in(mine, prints)], first, size, k)
+                values = window_hashes(hashes, starts, size)
+                known = _in(values, windows)
+                starts, window = starts[known], np.searchsorted(windows, values[known])
+                np.add.at(change, starts, 1)
+                np.add.at(change, starts + size, -1)
+                pairs = np.unique(np.stack([np.searchsorted(first, starts, "right") - 1, window], axis=1), axis=0)
+                many = at[pairs[:, 1] + 1] - at[pairs[:, 1]]
+                each = np.repeat(at[pairs[:, 1]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                items.append(np.stack([np.repeat(pairs[:, 0], many), owners[each]], axis=1))
+            total = np.r_[0, np.cumsum(np.cumsum(change[:-1]) > 0)]
             n_words += np.diff(first).tolist()
             n_hit += (total[first[1:]] - total[first[:-1]]).tolist()
-            found += [sorted({self.ids[i] for i in x}) for x in items]
+            pairs = np.unique(np.concatenate(items), axis=0)
+            cut = np.searchsorted(pairs[:, 0], np.arange(len(first)))
+            found += [self.ids[pairs[a:b, 1]].tolist() for a, b in zip(cut[:-1], cut[1:])]
         return n_words, n_hit, found
 
-    def _extend(self, hashes: np.ndarray, begin: int, end: int, p: int, item: int, q: int) -> tuple[int, int]:
-        """The longest stretch around the seed, of document words from begin to end, that equals the item's words."""
-        words = self.items[item]
-        back = min(p - begin, q)
-        differ = np.flatnonzero(hashes[p - back : p] != words[q - back : q])
-        a = p - back + (int(differ[-1]) + 1 if len(differ) else 0)
-        ahead = min(end - p, len(words) - q)
-        differ = np.flatnonzero(hashes[p : p + ahead] != words[q : q + ahead])
-        return a, p + (int(differ[0]) if len(differ) else ahead)
+
+def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values a sorted table has."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, broadcast_bytes: int = 64 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -157,75 +174,77 @@ def _broadcast_plan(docs: DataFrame, index: Index, keep: list[str] | None, text_
     return docs.select(*wanted).mapInArrow(run, schema)
 
 
+_COUNT = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _n_words(text_col: str):
+    return F.regexp_count(ascii_lower(body(text_col)), F.lit(_COUNT))
+
+
+def _rows_of(names: list[str], sizes: list[tuple[int, int, int]], of_items: bool, whole: bool):
+    """From texts to a row per fingerprint (place and hash), or with whole per window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in vectext.blocks(batch.column("text")):
+                hashes, first = _words(block)
+                length = np.diff(first)
+                for size, k, w in sizes:
+                    if whole:
+                        at = np.flatnonzero(vectext.ngrams(hashes, first, size)[1])
+                        values = window_hashes(hashes, at, size)
+                    else:
+                        at, values = fingerprints(hashes, first, k, w)
+                    rows = np.searchsorted(first, at, "right") - 1
+                    if of_items:
+                        ok = length[rows] >= size if w > 1 else length[rows] == size
+                        at, values, rows = at[ok], values[ok], rows[ok]
+                    keys = [batch.column(c).take(pa.array(rows + block[0])) for c in names]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(at), size), pa.int32()), pa.array(at - first[rows], pa.int64()), pa.array(values.view(np.int64))], [*names, "size", "place", "h"])
+
+    return run
+
+
+def _around_seeds(sizes: list[tuple[int, int, int]]):
+    """From texts with their seeds to a row per window around them."""
+    grams = {size: k for size, k, _ in sizes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in vectext.blocks(batch.column("text")):
+                hashes, first = _words(block)
+                seeds = batch.column("seeds").slice(block[0], block[1] - block[0]).to_pylist()
+                for size, k in grams.items():
+                    at = np.array([first[i] + s["place"] for i, row in enumerate(seeds) for s in row if s["size"] == size], np.int64)
+                    at = around(np.unique(at), first, size, k)
+                    rows = np.searchsorted(first, at, "right") - 1
+                    keys = [batch.column(c).take(pa.array(rows + block[0])) for c in ("__a", "__b")]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(at), size), pa.int32()), pa.array(at - first[rows], pa.int64()), pa.array(window_hashes(hashes, at, size).view(np.int64))], ["__a", "__b", "size", "place", "h"])
+
+    return run
+
+
 def _shuffle_plan(docs: DataFrame, items: DataFrame, keep: list[str] | None, text_col: str) -> DataFrame:
-    """Fingerprints joined by hash. Results hang on texts alone: two hashes of the text are the key."""
+    """Two joins by hash, of fingerprints and of windows. Results hang on texts alone: two hashes of the text are the key."""
     names = {f.name.lower() for f in RESULT}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     key = [F.xxhash64(body(text_col)).alias("__a"), F.hash(body(text_col)).alias("__b")]
     texts = docs.select(*key, body(text_col).alias("text")).dropDuplicates(["__a", "__b"])
-    # texts of one id: each is a row of its own until the end
-    items = items.distinct().withColumn("item", F.xxhash64("id", "text"))
-    lengths = [int(r[0]) for r in items.select(F.least(F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(SPAN))).distinct().collect()]
-    sizes = [(K, SPAN - K + 1) if n == SPAN else (n, 1) for n in lengths if n > 0]
-
-    def prints(of_items: bool, names: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi, data, offsets in vectext.blocks(batch.column("text")):
-                    hashes, first, _, _ = vectext.word_hashes(data, offsets, vectext.ALNUM)
-                    for k, w in sizes:
-                        at, found = fingerprints(hashes, first, k, w)
-                        rows = np.searchsorted(first, at, "right") - 1
-                        if of_items:
-                            size = np.diff(first)[rows]
-                            ok = size >= SPAN if w > 1 else size == k
-                            rows, found = rows[ok], found[ok]
-                        take = pa.array(rows + lo)
-                        keys = [batch.column(c).take(take) for c in names]
-                        yield pa.RecordBatch.from_arrays([*keys, pa.array(np.full(len(found), k * 100 + w), pa.int32()), pa.array(found.view(np.int64))], [*names, "kind", "h"])
-
-        return run
-
-    left = texts.mapInArrow(prints(False, ["__a", "__b"]), "__a long, __b int, kind int, h long").distinct()
-    right = items.mapInArrow(prints(True, ["item"]), "item long, kind int, h long").distinct()
-    pairs = left.join(right, ["kind", "h"]).select("__a", "__b", "item").distinct()
-    pairs = pairs.join(items.select("item", "id", F.col("text").alias("item_text")), "item").join(texts, ["__a", "__b"])
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b, item_id, item_text, text in zip(*(batch.column(c).to_pylist() for c in ("__a", "__b", "id", "item_text", "text"))):
-                out.append((a, b, item_id, _runs(Index([item_id], [item_text]), text)))
-            a, b, ids, runs = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(ids, pa.string()), pa.array(runs, pa.list_(pa.list_(pa.int64())))], ["__a", "__b", "id", "runs"])
-
-    hits = pairs.select("__a", "__b", "id", "item_text", "text").mapInArrow(extend, "__a long, __b int, id string, runs array<array<bigint>>").where(F.size("runs") > 0)
-    hits = hits.groupBy("__a", "__b").agg(F.sort_array(F.collect_set("id")).alias("items"), F.sort_array(F.flatten(F.collect_list("runs"))).alias("runs"))
-    covered = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r[1] - F.greatest(r[0], s["end"]))).alias("n"), F.greatest(s["end"], r[1]).alias("end")))["n"]
-    hits = hits.select(F.col("__a").alias("__c"), F.col("__b").alias("__d"), F.col("items").alias("__items"), covered.alias("__hit"))
-    rows = docs.select(*kept, *key, F.regexp_count(F.translate(body(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
-    out = rows.join(hits, (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d")), "left")
+    lengths = [int(r[0]) for r in items.select(F.least(_n_words("text"), F.lit(SPAN))).distinct().collect()]  # at most span + 1 numbers
+    sizes = sizes_of(np.array(lengths or [0]), SPAN, K)
+    kind = "size int, place long, h long"
+
+    prints = items.mapInArrow(_rows_of(["id"], sizes, True, False), f"id string, {kind}").select("size", "h").distinct()
+    seeds = texts.mapInArrow(_rows_of(["__a", "__b"], sizes, False, False), f"__a long, __b int, {kind}").join(prints, ["size", "h"], "left_semi")
+    seeds = seeds.groupBy("__a", "__b").agg(F.collect_list(F.struct("size", "place")).alias("seeds"))  # at most a text's words
+    windows = texts.join(seeds, ["__a", "__b"]).mapInArrow(_around_seeds(sizes), f"__a long, __b int, {kind}")
+    owners = stored(items.mapInArrow(_rows_of(["id"], sizes, True, True), f"id string, {kind}").select("size", "h", "id").distinct(), "item-windows")
+    hits = stored(windows.join(owners.select("size", "h").distinct(), ["size", "h"], "left_semi"), "window-hits")
+    found = hits.select("__a", "__b", "size", "h").distinct().join(owners, ["size", "h"]).groupBy("__a", "__b").agg(F.sort_array(F.collect_set("id")).alias("items"))
+    runs = hits.groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("place", (F.col("place") + F.col("size")).alias("end")))).alias("runs"))
+    covered = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["place"], s["end"]))).alias("n"), F.greatest(s["end"], r["end"]).alias("end")))["n"]
+    judged = found.join(runs, ["__a", "__b"]).select(F.col("__a").alias("__c"), F.col("__b").alias("__d"), F.col("items").alias("__items"), covered.alias("__hit"))
+    rows = docs.select(*kept, *key, _n_words(text_col).cast("long").alias("n_words"))
+    out = rows.join(judged, (F.col("__a") == F.col("__c")) & (F.col("__b") == F.col("__d")), "left")
     hit = F.coalesce("__hit", F.lit(0).cast("long"))
     return out.select(*kept, "n_words", hit.alias("n_hit"), F.coalesce("__items", F.array().cast("array<string>")).alias("items"), (hit > 0).alias("contaminated"))
-
-
-def _runs(index: Index, text: str) -> list[list[int]]:
-    """Stretches of hit words in one text, from one item."""
-    out: list[list[int]] = []
-    (block,) = vectext.blocks(pa.array([text], pa.large_string()))
-    hashes, first, _, _ = vectext.word_hashes(block[2], block[3], vectext.ALNUM)
-    for (k, w), (table, owner, place) in index.tables.items():
-        at, prints = fingerprints(hashes, first, k, w)
-        lo, hi = np.searchsorted(table, prints, "left"), np.searchsorted(table, prints, "right")
-        done: dict[int, int] = {}
-        for s in np.flatnonzero(hi > lo).tolist():
-            p = int(at[s])
-            for x in range(int(lo[s]), int(hi[s])):
-                item, q = int(owner[x]), int(place[x])
-                if done.get(p - q, -1) > p:
-                    continue
-                a, b = index._extend(hashes, 0, len(hashes), p, item, q)
-                done[p - q] = b
-                if b - a >= min(index.span, len(index.items[item])):
-                    out.append([a, b])
-    return out

@@ -66,6 +66,18 @@ def test_decontaminate_plans_agree_and_match_brute(spark):
     assert clean.where("contaminated").count() == 0 and clean.count() == len(rows)
 
 
+def test_decontaminate_passage_of_all_items(spark):
+    """A passage that every item shares is found in every document that has it, by both plans, with all items."""
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(i, f"a{i} b{i} {passage} c{i}") for i in range(300)] + [(500, " ".join(f"p{i}" for i in range(2, 6)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"x{i} {passage} y{i}" if i % 2 else f"x{i} clean text of its own", "a") for i in range(60)]
+    want = {i: (14, sorted(str(x) for x, _ in items)) if i % 2 else (0, []) for i, _, _ in rows}
+    for limit in (1 << 20, 0):
+        out = decontaminate.decontaminate(frame(spark, rows), bench, broadcast_bytes=limit).collect()
+        assert {x.doc_id: (x.n_hit, x["items"]) for x in out} == want
+
+
 @pytest.mark.parametrize("n", range(7))
 def test_decontaminate_one_short_document(spark, n):
     """A block of one text of fewer words than a fingerprint's window."""
@@ -214,6 +226,12 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
 
 
+def test_components_of_odd_edges(spark):
+    edges = spark.createDataFrame([(1, None, 9), (None, 2, 9), (3, 3, 9), (5, 4, 9), (5, 4, 9), (4, 5, 9)], "a long, b long, root long")
+    assert {x.node: x.root for x in components.components(edges).collect()} == {4: 4, 5: 4}
+    assert components.components(edges.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 800
     rows = [(1, "http://www.a.example/x", big), (2, "http://b.example", big), (9, "https://B.example:8080/q?x#f", big), (3, None, None), (4, "http://b.example", "small"), (5, "http://b.example", "small"), (None, "http://n.example", big), (6, "http://a.b\r\nX: y", "<a>")]
@@ -263,6 +281,12 @@ def test_chat(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_of_very_many_turns(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"said {k} <|im_end|>") for k in range(6000)]
+    x = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("said", chat.trained_text(F.col("segments"))).first()
+    assert [(t.role, t.text) for t in x.back] == [t[2:] for t in turns] and x.in_order and x.said == "".join(t[3] for t in turns[1::2])
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(300)]
