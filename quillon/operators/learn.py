@@ -25,20 +25,34 @@ def logistic(train: DataFrame, columns: list[str], label: str = "label", max_ite
     return Pipeline(stages=stages).fit(train.withColumn("weight", weight))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), an array, with value worked out once a row: inside a function of array elements an expression would be worked out for each."""
+    return F.flatten(F.transform(F.array(value), use))
+
+
+def _windows(n_items: Column, low: int, high: int, item) -> Column:
+    """item(place, size) for every window of low to high items."""
+
+    def of_size(n: int) -> Column:
+        places = F.sequence(F.lit(1), n_items - n + 1)
+        return F.when(n_items >= n, F.transform(places, lambda i: item(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*map(of_size, range(low, high + 1))))
+
+
 def char_grams(text: Column, low: int, high: int, inside_words: bool = False) -> Column:
     """All substrings of low to high characters; inside_words takes them of each word with a space on both sides."""
-    sub = lambda t: F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, n))).otherwise(F.array().cast("array<string>"))))
+    sub = lambda t: _windows(F.length(t), low, high, lambda i, n: F.substr(t, i, n))
     text = F.lower(text)
     if not inside_words:
-        return sub(F.regexp_replace(text, r"\s+", " "))
-    return F.flatten(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: sub(F.concat(F.lit(" "), w, F.lit(" ")))))
+        return _bound(F.regexp_replace(text, r"\s+", " "), sub)
+    return F.flatten(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: _bound(F.concat(F.lit(" "), w, F.lit(" ")), sub)))
 
 
 def word_grams(text: Column, low: int = 1, high: int = 3) -> Column:
     """Runs of low to high words of two and more letters."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    run = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*(run(n) for n in range(low, high + 1))))
+    return _bound(words, lambda w: _windows(F.size(w), low, high, lambda i, n: F.array_join(F.slice(w, i, n), " ")))
 
 
 def tfidf_rows(docs: DataFrame, key: str, terms: Column, vocabulary: int = 50_000) -> DataFrame:
