@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +66,26 @@ def parse_row(command: str | None, process: str | None, rules_on: bool = True) -
         return None, None, f"{type(e).__name__}: {e}", None
 
 
+def _lists(rows: list[list | None], values: pa.Array) -> pa.ListArray:
+    """Lists of some lengths (None: no list) over values that follow each other."""
+    offsets, at = [], 0
+    for row in rows:
+        offsets.append(None if row is None else at)
+        at += len(row or ())
+    return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), values)
+
+
+def as_arrow(rows: list[tuple]) -> pa.StructArray:
+    """Rows of parse_row as one column: nested parts are laid out flat, which costs a fraction of turning them into objects one by one."""
+    trees, tokens, errors, nodes = zip(*rows) if rows else ((), (), (), ())
+    flat = [n for x in nodes if x is not None for n in x]
+    columns = list(zip(*flat)) if flat else [()] * len(ARENA.elementType.names)
+    kinds = [pa.string() if f.dataType == T.StringType() else pa.int32() for f in ARENA.elementType]
+    node_values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ARENA.elementType.names)
+    words = pa.array([t for x in tokens if x is not None for t in x], pa.string())
+    return pa.StructArray.from_arrays([pa.array(trees, pa.string()), _lists(tokens, words), pa.array(errors, pa.string()), _lists(nodes, node_values)], PARSED.names)
+
+
 def parsed(df: DataFrame, command: str = "command_line", process: str | None = None, rules_on: bool = True) -> DataFrame:
     """df with tree (JSON), tokens, valid, error and nodes.
 
@@ -76,16 +97,14 @@ def parsed(df: DataFrame, command: str = "command_line", process: str | None = N
     ship(spark)
     keys = [command] + ([process] if process else [])
 
-    @F.pandas_udf(PARSED)
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = zip(part.iloc[:, 0], part.iloc[:, 1] if part.shape[1] > 1 else [None] * len(part))
-            yield pd.DataFrame([parse_row(c, p, rules_on) for c, p in rows], columns=PARSED.names)
+    @F.arrow_udf(PARSED)
+    def parse(commands: pa.Array, processes: pa.Array) -> pa.Array:
+        return as_arrow([parse_row(c, p, rules_on) for c, p in zip(commands.to_pylist(), processes.to_pylist())])
 
     digest = F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in keys)).cast("binary")))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     once = df.select(*keys).distinct().withColumn("__digest", digest).repartition(tasks, "__digest")
-    once = once.select("__digest", parse(F.struct(*(F.col(k).alias(str(i)) for i, k in enumerate(keys)))).alias("__parsed"))
+    once = once.select("__digest", parse(F.col(command), F.col(process) if process else F.lit(None).cast("string")).alias("__parsed"))
     rows = df.withColumn("__of", digest).join(once, F.col("__of") == F.col("__digest"))
     return rows.select(*df.columns, *parsed_columns(F.col(command), F.col("__parsed")))
 
