@@ -1,11 +1,11 @@
-"""The thin queries op1 to op10 and their SQL, over the tables in a folder."""
+"""The thin queries op1 to op13 and their SQL, over the tables in a folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, katz, line_dedup, mixing, neardup, quality, token_counts, toxicity, warc
+from . import chat, common, decontaminate, katz, line_dedup, mixing, neardup, quality, token_counts, token_records, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = common.fresh_path(spark, "token-records")
+    index = token_records.write_records(docs, public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1, by_words=True)
+    records = token_records.read_records(token_records.with_starts(index))
+    return records.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 _UP, _LOW = common.UPPER, common.LOWER
@@ -201,6 +211,6 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op5_toxicity, op6_near_duplicates, op7_warc, op8_line_dedup, op9_katz, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op5_toxicity, op6_near_duplicates, op7_warc, op8_line_dedup, op9_katz, op10_chat, op13_token_records)}
 #: The others have none: a tokenizer, all pairs, and models are no SQL to run over whole tables; tests/llm holds them against brute force.
 ORACLES = {"op1_decontaminate": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
