@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, katz, line_dedup, mixing, neardup, quality, token_counts, token_records, toxicity, warc
+from . import chat, common, decontaminate, divergence, katz, lexical, line_dedup, mixing, neardup, quality, token_counts, token_records, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"), min_docs=3, top_terms=200)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search_documents(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
 def op13_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -211,6 +220,44 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM o GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op5_toxicity, op6_near_duplicates, op7_warc, op8_line_dedup, op9_katz, op10_chat, op13_token_records)}
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_LETTERS}') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v) AS BIGINT) AS p
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN s USING (lang, source)),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + v) AS BIGINT) AS q FROM c JOIN v USING (lang) GROUP BY lang, term, v),
+f AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, CAST(coalesce(x.value, 0) AS BIGINT) FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f) WHERE part = 'pair' OR rank <= 200
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_TERM}') AS w FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT row_number() OVER () AS qid, item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_TERM}') AS w FROM benchmark),
+qt AS (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, s GROUP BY term, n_docs),
+m AS (SELECT rid, doc_id, 75 + (25 * CAST(len(w) AS BIGINT) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT qid, item_id, rid, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM qt JOIN f USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_mixing, op4_quality, op5_toxicity, op6_near_duplicates, op7_warc, op8_line_dedup, op9_katz, op10_chat, op11_source_divergence, op12_lexical_search, op13_token_records)}
 #: The others have none: a tokenizer, all pairs, and models are no SQL to run over whole tables; tests/llm holds them against brute force.
-ORACLES = {"op1_decontaminate": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op7_warc": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_lexical_search": OP12_SQL}

@@ -98,7 +98,7 @@ def test_odd_rows(spark, by_words):
 def test_damaged_file_ends_the_job(spark):
     docs = spark.createDataFrame([(i, f"some words {i}") for i in range(20)], "doc_id long, text string").coalesce(1)
     index = tr.write_records(docs, PATH, fresh_path(spark, "hurt-records"), 1)
-    path = index.first().file.removeprefix("file://")
+    path = index.first().file.removeprefix("file:")
     data = bytearray(open(path, "rb").read())
     data[len(data) // 2] ^= 1
     open(path, "wb").write(data)
