@@ -23,8 +23,10 @@ mismatch ends the job. ``read_records`` keeps the files' order within a task;
 records in an order of its own without moving token data.
 
 With ``by_words`` (only for tokenizers that never join across ASCII white space)
-a worker encodes a word once while it remembers it; it keeps at most
-``memo_words``, dropping those it met longest ago.
+a worker encodes a word once while it remembers it, from task to task; it keeps
+at most ``memo_words``, dropping those it met longest ago. New words are encoded
+many at a time, between spaces, and told apart by their tokens' lengths; where
+those do not add up to the words' own, each word is encoded alone.
 
 Nulls and odd rows: null text is empty and gives the end id alone. Repeated rows
 and ids are records of their own. An empty table gives no file and an empty
@@ -35,9 +37,11 @@ must fit a task's memory. Keys are stored as text and read as the id's type.
 from __future__ import annotations
 
 import functools
+import hashlib
 import struct
 from collections.abc import Iterator
 from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +163,7 @@ class Encoder:
             import sentencepiece
 
             pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-            self.size, self.ids_of = pieces.get_piece_size(), lambda texts: pieces.encode(texts, num_threads=1)
+            self.size, self.ids_of, self.lengths = pieces.get_piece_size(), lambda texts: pieces.encode(texts, num_threads=1), None
         else:
             import os
 
@@ -170,20 +174,58 @@ class Encoder:
             tokenizer.no_padding()
             tokenizer.no_truncation()
             self.size, self.ids_of = tokenizer.get_vocab_size(), lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.normalize = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+            suffix = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+            self.lengths = np.zeros(self.size, np.int64)  # of tokens in bytes, for vocabularies that spell a byte as one character
+            for token, i in tokenizer.get_vocab().items():
+                self.lengths[i] = len(token.removesuffix(suffix))
         self.by_words, self.memo_words = by_words, memo_words
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self._kind: np.dtype | None = None
 
     def kind(self, end_id: int) -> np.dtype:
-        return np.dtype("<u2" if max(self.size - 1, end_id) < 1 << 16 else "<u4")
+        kind = np.dtype("<u2" if max(self.size - 1, end_id) < 1 << 16 else "<u4")
+        if kind != self._kind:  # what it remembers is packed by kind
+            self.new, self.old, self._kind = {}, {}, kind
+        return kind
+
+    def _apart(self, words: list[str], kind: np.dtype) -> list[bytes]:
+        """Packed ids of each word. The tokens' bytes are those of the normalised words, and no token spans two of them."""
+        if self.lengths is not None and len(words) > 1:
+            text = " ".join(words)
+            size = [len(w.encode()) for w in self.normalize(text).split(" ")]
+            ids = np.array(self.ids_of([text])[0], np.int64)
+            ends, wanted = np.cumsum(self.lengths[ids]), np.cumsum(size)
+            cut = np.minimum(np.searchsorted(ends, wanted), len(ends) - 1)
+            if len(size) == len(words) and min(size) > 0 and len(ends) and ends[-1] == wanted[-1] and (ends[cut] == wanted).all():
+                raw, cut = ids.astype(kind).tobytes(), ((cut + 1) * kind.itemsize).tolist()
+                return [raw[a:b] for a, b in zip([0, *cut], cut)]
+        return [np.array(x, kind).tobytes() for x in self.ids_of(words)]
+
+    def _learn(self, words: list[str], kind: np.dtype) -> None:
+        """Encodes new words, together where normalising cannot make or take white space."""
+        plain = [w for w in words if w.isascii() or (is_normalized("NFKC", w) and not w.isspace())]
+        if plain and " ".join(plain).split() != plain:
+            plain = [w for w in plain if w.split() == [w]]
+        for lo in range(0, len(plain), 256):
+            group = plain[lo : lo + 256]
+            self.new.update(zip(group, self._apart(group, kind)))
+        for word in words:
+            if word not in self.new:
+                self.new[word] = np.array(self.ids_of([word])[0], kind).tobytes()
 
     def _packed(self, words: list[str], kind: np.dtype) -> list[bytes]:
-        missing = [w for w in words if w not in self.new and w not in self.old]
-        self.new.update(zip(missing, (np.array(x, kind).tobytes() for lo in range(0, len(missing), 4096) for x in self.ids_of(missing[lo : lo + 4096]))))
-        new, old = self.new, self.old
-        found = [new[w] if w in new else new.setdefault(w, old[w]) for w in words]
-        if len(new) > self.memo_words // 2:
-            self.old, self.new = new, {}
+        found = list(map(self.new.get, words))
+        at = [i for i, x in enumerate(found) if x is None]
+        missing = [words[i] for i in at]
+        older = list(map(self.old.get, missing))
+        self.new.update((w, x) for w, x in zip(missing, older) if x is not None)
+        self._learn([w for w, x in zip(missing, older) if x is None], kind)
+        for i, word in zip(at, missing):
+            found[i] = self.new[word]
+        if len(self.new) > self.memo_words // 2:
+            self.old, self.new = self.new, {}
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +247,18 @@ class Encoder:
         return ids, total[first + np.arange(len(first))]
 
 
+_kept: dict[tuple, Encoder] = {}
+
+
+def encoder(kind: str, model: bytes, by_words: bool, memo_words: int) -> Encoder:
+    """A worker's one encoder, with what it remembers."""
+    key = (kind, hashlib.sha256(model).digest(), by_words, memo_words)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(kind, model, by_words, memo_words)
+    return _kept[key]
+
+
 class _Files:
     """The files that one task attempt writes."""
 
@@ -251,12 +305,12 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, {INDEX}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, files = Encoder(*model.value, by_words, memo_words), _Files(folder, file_bytes)
+        library, files = encoder(*model.value, by_words, memo_words), _Files(folder, file_bytes)
         for batch in batches:
             texts, keys = terms.plain(batch.column("text")), batch.column("id").cast(pa.string()).to_pylist()
             places: list[tuple] = []
             for lo, hi in terms.slices(texts, block_bytes):
-                ids, first = encoder.encode(texts.slice(lo, hi - lo), end_id)
+                ids, first = library.encode(texts.slice(lo, hi - lo), end_id)
                 places += files.add(*frames(keys[lo:hi], ids, first), np.diff(first))
             kinds = (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4)
             columns = list(zip(*places)) or [()] * len(kinds)

@@ -121,3 +121,18 @@ def test_sentencepiece_and_wide_ids(spark):
     got = {r.id: r.ids for r in tr.read_records(index, arrays=True).collect()}
     assert got == {1: [*sentencepiece.SentencePieceProcessor(model_file=path).encode("some words"), 70000], 2: [70000]}
     assert index.agg(F.sum("length")).first()[0] == sum(4 * len(x) + 8 + 4 + 16 for x in got.values())
+
+
+def test_words_encoded_together_are_told_apart():
+    """Letters that normalising joins, folds or lengthens, special strings, odd spaces inside a word, and single bytes of no letter."""
+    words = ["and,", "İx", "e\u0301a", "it's", "<|endoftext|>", "a<|startoftext|>b", "a\u00a0b", "ﬁ", "\u2003", "ÀÉ", "日本", "...!", "x" * 300, "\u0301", "Ω≈ç", "don't'll"]
+    t = tr.Encoder(".json", open(PATH, "rb").read(), True, 1000)
+    encode = tokenizer()
+    for group in (words, words[:6], ["plain", "words,"], words[::-1]):
+        t.new, t.old = {}, {}
+        assert [np.frombuffer(b, "<u2").tolist() for b in t._packed(group, np.dtype("<u2"))] == [encode(w)[:-1] for w in group]
+    whole = t.ids_of
+    calls = []
+    t.ids_of = lambda texts: calls.append(len(texts)) or whole(texts)
+    t._packed(["plain", "words,", "été", "new"], np.dtype("<u2"))
+    assert calls == [1] and len(t.new["new"]) == 2
