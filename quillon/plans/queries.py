@@ -117,13 +117,16 @@ def _flag(x: str, name: str) -> str:
 _REPLACED = "contains(token, '<') AND contains(token, '>')"
 
 
-@query(f"""WITH t AS ({_TOKENS}), c AS (SELECT token, unnest(string_split(token, '')) AS c FROM t), n AS (SELECT token, c, count(*) AS n FROM c GROUP BY ALL), h AS (SELECT token, n / sum(n) OVER (PARTITION BY token) AS p FROM n),
-e AS (SELECT token, round(-sum(p * log2(p)) + 0.0, 6) + 0.0 AS entropy FROM h GROUP BY token) SELECT token, entropy, round(ln(1 + length(token)), 6) AS log_len,
+# a token's own characters, in its row: nothing is grouped over all tokens
+_TOKEN_ENTROPY = "list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: -((length(token) - length(replace(token, c, ''))) / length(token)::DOUBLE) * log2((length(token) - length(replace(token, c, ''))) / length(token)::DOUBLE)))"
+
+
+@query(f"""WITH t AS ({_TOKENS}), e AS (SELECT token, round({_TOKEN_ENTROPY} + 0.0, 6) + 0.0 AS entropy FROM t) SELECT token, entropy, round(ln(1 + length(token)), 6) AS log_len,
 {_flag("starts_with(token, '-') OR starts_with(token, '/')", 'is_arg')}, {_flag("starts_with(token, '.') AND length(token) < 6", 'is_extension')}, {_flag("contains(token, '.exe')", 'is_exe')},
 {_flag("contains(token, '|') OR (contains(token, '<') AND NOT contains(token, '>')) OR (contains(token, '>') AND NOT contains(token, '<')) OR contains(token, '>>') OR contains(token, '<<') OR contains(token, '&')", 'redirects')},
 round(ln(1 + length(token) - length(regexp_replace(token, '[\\^`%$+&;]', '', 'g'))), 6) AS log_hostile, round(ln(1 + length(token) - length(regexp_replace(token, '["'']', '', 'g'))), 6) AS log_quotes,
 {_flag(_REPLACED, 'was_replaced')}, {_flag(_REPLACED + ' AND ' + _any('token', features.PATH_TAGS), 'is_path')}, {_flag(_REPLACED + " AND contains(token, '_ip>')", 'is_ip')}, {_flag(_REPLACED + " AND contains(token, '<PID>')", 'is_pid')},
-{_flag(_REPLACED + ' AND ' + _any('token', features.SECRET_TAGS), 'is_hash')}, {_flag(_REPLACED + " AND contains(token, '<url>')", 'is_url')}, {_flag(_REPLACED + ' AND ' + _any('token', ('<date>', '<timestamp>')), 'is_date')} FROM t JOIN e USING (token)""")
+{_flag(_REPLACED + ' AND ' + _any('token', features.SECRET_TAGS), 'is_hash')}, {_flag(_REPLACED + " AND contains(token, '<url>')", 'is_url')}, {_flag(_REPLACED + ' AND ' + _any('token', ('<date>', '<timestamp>')), 'is_date')} FROM e""")
 def token_features(spark, sf_dir):
     f = features.token_features(F.col("token"))
     return _tokens(spark, sf_dir).select("token", *((r(c) + 0.0 if k.startswith(("log", "entropy")) else c).alias(k) for k, c in f.items()))
