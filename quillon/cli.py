@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import clean, gnn, graph, metrics, runs, serving, suite
 from quillon.sources import files
-from quillon.sources.shared import stored
+from quillon.sources.shared import clear, stored
 
 TABLES = ("malware", "clean", "test_malware", "test_clean")
 
@@ -60,7 +60,7 @@ def train(spark: SparkSession, args) -> None:
     """Graph models, or baselines on text, over all combinations asked for; metrics go to experiment_summary below the results."""
     rows, later = _tables(spark, args.malware, args.clean), _tables(spark, args.test_malware, args.test_clean)
     if args.kind == "gnn":
-        out = serving.train_grid(rows, args.results, args.seed, args.feature_type, args.edge_ablation, args.model or ["rgcn"], args.loss, args.test_size, args.epochs, args.batch_size, args.num_layers, held_out=later)
+        out = serving.train_grid(rows, args.results, args.seed, args.feature_type, args.edge_ablation, args.model or ["rgcn"], args.loss, args.test_size, args.epochs, args.batch_size, args.num_layers, held_out=later, cache=args.cache)
     else:
         models = ["manual"] if args.kind == "manual" else [f"tfidf_{a}" for a in args.analyzer]
         out = suite.run(rows, "key", "text", models, args.seed, args.test_size, later)
@@ -69,23 +69,25 @@ def train(spark: SparkSession, args) -> None:
 
 
 def infer(spark: SparkSession, args) -> None:
-    """Predictions for a table of unique or raw commands by one saved model, metrics if it has labels, and the time of each stage."""
-    path = args.model_path or _found(spark, args).orderBy("path").select("path").first()["path"]
-    model, config, ablation = serving.rebuild(spark, path)
+    """Predictions for a table of unique or raw commands by one saved model, how many commands had no tree, metrics if it has labels, and the time of each stage."""
+    if not args.model_path:
+        first = _found(spark, args).orderBy("path").select("path").first()
+        if first is None:
+            raise SystemExit("no run is what was asked for")
+    model, config, ablation = serving.rebuild(spark, args.model_path or first["path"])
     raw = files.read_csv(spark, args.csv)
-    raw = raw.withColumn("key", F.md5(F.coalesce("command_line", F.lit(""))))
-    raw = raw if args.limit is None else raw.limit(args.limit)
-    prepared = (clean.parsed if args.raw else clean.read_back)(raw)
+    raw = stored((raw if args.limit is None else raw.limit(args.limit)).withColumn("key", F.monotonically_increasing_id()), "asked")
+    prepared = stored((clean.parsed if args.raw else clean.read_back)(raw), "prepared")
     label = "label" if "label" in raw.columns else None
     out = serving.infer(prepared.withColumn("label", F.col("label").cast("int")) if label else prepared, "key", model, config, ablation, label, args.batch_size)
     if args.out:
         files.write_csv(out, args.out)
+    show(serving.outcomes(prepared))
     if label:
         show(metrics.metrics(out))
         show(metrics.confusion_matrix(out))
-    ready = stored(serving.graphs(prepared, "key", config, ablation), "ready")
-    stages = {"preprocess": lambda: serving.graphs(prepared, "key", config, ablation), "model": lambda: gnn.predict(ready, model, batch=args.batch_size), "combined": lambda: serving.infer(prepared, "key", model, config, ablation, batch=args.batch_size)}
-    show(suite.latency(spark, stages, ready.count(), args.warmup, batch=args.batch_size))
+    show(suite.latency(serving.timings(raw, model, config, ablation, args.raw, args.batch_size, args.warmup)))
+    clear(spark)
 
 
 def count(spark: SparkSession, args) -> None:
@@ -129,6 +131,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--test-malware")
     a.add_argument("--test-clean")
     a.add_argument("--results", default="results")
+    a.add_argument("--cache", help="a folder where graphs and splits are kept for later jobs")
     a.add_argument("--seed", type=int, nargs="+", default=[42])
     a.add_argument("--test-size", type=float, default=0.3)
     a.add_argument("--model", nargs="+", choices=gnn.KINDS)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
-
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -178,6 +176,12 @@ def read_tree(text: str | None) -> cmdline.Tree | None:
     return None
 
 
+def read_row(text: str | None) -> tuple:
+    """A unique table's row as parse_row gives a raw one's: tree, tokens, error (none) and nodes."""
+    tree = read_tree(text)
+    return (None, None, None, None) if tree is None else (json.dumps(tree, ensure_ascii=False), cmdline.flat(tree), None, arena(tree))
+
+
 def _is_tree(x) -> bool:
     return isinstance(x, str) or (isinstance(x, (list, tuple)) and all(map(_is_tree, x)))
 
@@ -190,15 +194,13 @@ def read_back(unique: DataFrame, column: str = "command_line") -> DataFrame:
     """A unique table's rows with tree (JSON), tokens, nodes and text: the leaves joined by spaces, or where there is no tree the text without ( ) ' and ,."""
     ship(unique.sparkSession)
 
-    @F.pandas_udf(READ)
-    def read(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            trees = [read_tree(t) for t in part]
-            yield pd.DataFrame([(None, None, None) if t is None else (json.dumps(t, ensure_ascii=False), cmdline.flat(t), arena(t)) for t in trees], columns=READ.names)
+    @F.arrow_udf(PARSED)
+    def read(texts: pa.Array) -> pa.Array:
+        return as_arrow([read_row(t) for t in texts.to_pylist()])
 
     plain = F.translate(F.coalesce(F.col(column), F.lit("")), "()',", "    ")
     rows = unique.withColumn("__read", read(F.col(column)))
-    return rows.select(*unique.columns, "__read.*", F.coalesce(F.array_join("__read.tokens", " "), plain).alias("text"))
+    return rows.select(*unique.columns, *(f"__read.{f.name}" for f in READ), F.coalesce(F.array_join("__read.tokens", " "), plain).alias("text"))
 
 
 @F.pandas_udf(T.StringType())

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import itertools
-import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features, learn, metrics, split
@@ -51,17 +50,18 @@ def run(df: DataFrame, key: str, text: str, models: Iterable[str], seeds: Iterab
     return out
 
 
-def latency(spark: SparkSession, stages: dict[str, Callable[[], DataFrame]], rows: int, warmup: int = 2, repeats: int = 3, batch: int = 32) -> DataFrame:
-    """Seconds in all and milliseconds per row and per batch of each stage, mean and population deviation over repeats, after runs that are not counted."""
-    took = []
-    for name, make in stages.items():
-        for k in range(warmup + repeats):
-            began = time.perf_counter()
-            make().write.format("noop").mode("overwrite").save()
-            if k >= warmup:
-                took.append((name, time.perf_counter() - began))
-    df = spark.createDataFrame(took, "stage string, s double")
-    batches = max(1, -(-rows // batch))
-    per = lambda n: [(F.avg("s") * 1000 / n), (F.stddev_pop("s") * 1000 / n)]
-    row, whole = per(max(1, rows)), per(batches)
-    return df.groupBy("stage").agg(F.sum("s").alias("total_s"), row[0].alias("row_ms_mean"), row[1].alias("row_ms_std"), whole[0].alias("batch_ms_mean"), whole[1].alias("batch_ms_std"))
+def latency(times: DataFrame) -> DataFrame:
+    """Of serving.timings: per stage the seconds in all, and milliseconds per command and per batch: mean, population deviation and, for batches, quantiles."""
+    n = F.col("commands")
+    rows = times.where(n > 0).withColumn("combined_s", F.col("preprocess_s") + F.col("model_s"))
+    share = F.col("model_s") / n
+    each = rows.select(F.explode("command_s").alias("s"), share.alias("m"))
+    stage = lambda name, s: F.struct(F.lit(name).alias("stage"), s.alias("s"))
+    batches = rows.select("commands", F.inline(F.array(stage("preprocess", F.col("preprocess_s")), stage("model", F.col("model_s")), stage("combined", F.col("combined_s")))))
+    commands = each.select(F.inline(F.array(stage("preprocess", F.col("s")), stage("model", F.col("m")), stage("combined", F.col("s") + F.col("m")))))
+    of_batch = batches.groupBy("stage").agg(
+        F.count("*").alias("batches"), F.sum("commands").alias("commands"), F.sum("s").alias("total_s"), (F.avg("s") * 1000).alias("batch_ms_mean"), (F.stddev_pop("s") * 1000).alias("batch_ms_std"),
+        *((F.percentile_approx("s", q, 10_000) * 1000).alias(f"batch_ms_p{round(q * 100)}") for q in (0.5, 0.95, 0.99)),
+    )
+    of_command = commands.groupBy("stage").agg((F.avg("s") * 1000).alias("row_ms_mean"), (F.stddev_pop("s") * 1000).alias("row_ms_std"))
+    return of_batch.join(of_command, "stage")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillon import cli
 from quillon.functions import cmdline
-from quillon.operators import clean, gnn, graph, metrics, runs, serving
+from quillon.operators import clean, features, gnn, graph, metrics, runs, serving, tree_graphs
 from quillon.sources import files, shared
 
 HERE = Path(__file__).parent / "fixtures"
@@ -142,3 +142,75 @@ def test_shared_folder(spark):
         shared.shared_dir(Session)
     Unset.master = "local[4]"
     assert shared.shared_dir(Session).startswith("file:///tmp/")
+
+
+@pytest.mark.parametrize("ablation", list(graph.KEEP))
+def test_graphs_in_a_row_are_those_of_node_tables(spark, ablation):
+    """Edges, degrees, places and token features of the one-pass builder against the operators on node and edge tables."""
+    rows = unique(spark, "clean").unionByName(unique(spark, "malware"), allowMissingColumns=True).withColumn("key", tree_graphs.tree_id(F.col("tree")))
+    nodes = graph.nodes_of(rows.dropDuplicates(["key"]), "key")
+    edges = graph.ablate(graph.edges(nodes), ablation)
+    wide = nodes.select("graph_id", "idx", F.array(*features.token_features(F.col("value")).values()).alias("t"))
+    for more, name in ((graph.positional_features(nodes), "p"), (graph.degree_features(nodes, edges), "d")):
+        names = [c for c in more.columns if c not in ("graph_id", "idx")]
+        wide = wide.join(more.select("graph_id", "idx", F.array(*(F.col(c).cast("double") for c in names)).alias(name)), ["graph_id", "idx"])
+    labels = rows.select(F.col("key").alias("graph_id"), F.lit(0).alias("label"), graph.rule_label(F.col("tokens")).alias("rule_label")).distinct()
+    want = {r.graph_id: r for r in gnn.graph_rows(wide.select("graph_id", "idx", F.concat("t", "p", "d").alias("v")), edges, "v", labels, 23).collect()}
+    got = tree_graphs.graphs_of(tree_graphs.distinct_trees(rows), (False, True, True), ablation).collect()
+    assert {r.tree_id for r in got} == set(want) and len(got) == len(want)
+    for r in got:
+        w = want[r.tree_id]
+        assert (r.src, r.dst, r.type, r.width, r.rule_label) == (w.src, w.dst, w.type, w.width, w.rule_label) and np.allclose(r.x, w.x, rtol=1e-6)
+
+
+def test_repeated_commands_are_judged_alike(spark):
+    """One command, the same twice, and a null: as many rows as commands with a tree, equal ones with equal results."""
+    lines = ["cmd.exe /c dir c:\\temp a b c", "cmd.exe /c dir c:\\temp a b c", "powershell -nop -w hidden x y z", None]
+    rows = clean.parsed(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "key int, command_line string"))
+    model = gnn.Model("gcn", runs.input_width(64, True, True), hidden=8).start(1)
+    got = {r.graph_id: r[2:] for r in serving.infer(rows, "key", model, "all").collect()}
+    one = serving.infer(rows.where("key = 0"), "key", model, "all").first()
+    assert set(got) == {0, 1, 2} and got[0] == got[1] == pytest.approx(tuple(one[2:])) and got[2] != got[0]
+    sizes = {r.graph_id: (len(r.x), len(r.src)) for r in serving.graphs(rows, "key", "all").collect()}
+    assert sizes[0] == sizes[1]
+    same_key = serving.graphs(rows.withColumn("key", F.lit(7)), "key", "all").collect()
+    assert sorted((len(r.x), len(r.src)) for r in same_key) == sorted(sizes.values())
+    assert {r.outcome: r.commands for r in serving.outcomes(rows).collect()} == {"graph": 3, "no command": 1}
+    timed = serving.timings(spark.createDataFrame([(t,) for t in lines], "command_line string").coalesce(1), model, "all", raw=True, batch=2, warmup=1).collect()
+    assert [(r.commands, r.skipped, len(r.command_s)) for r in timed] == [(1, 1, 1)] and timed[0].model_s > 0
+    plan = serving.infer(rows, "key", model, "all")._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" not in plan and "Window" not in plan
+
+
+def test_kept_graphs_are_made_once(spark, tmp_path):
+    """A second job makes nothing, a third only what is new; kept rows are joined in their buckets."""
+    rows = unique(spark, "clean").withColumn("key", F.col("command_line"))
+    more = rows.unionByName(unique(spark, "malware").withColumn("key", F.col("command_line")), allowMissingColumns=True)
+    where = f"file://{tmp_path}/kept"
+    made = []
+
+    def graphs(df):
+        kept = serving.kept_graphs(spark, where, "syntactic_positional", buckets=4)
+        before = kept.read().count()
+        out = serving.graphs(df, "key", "syntactic_positional", kept=kept)
+        made.append(kept.read().count() - before)
+        return out
+
+    first, again, later = graphs(rows), graphs(rows), graphs(more)
+    trees = [df.select("tree").distinct().count() for df in (rows, more)]
+    assert made == [trees[0], 0, trees[1] - trees[0]]
+    plain = serving.graphs(more, "key", "syntactic_positional")
+    key = lambda r: (r.graph_id, r.width, r.src, r.dst, r.type, r.x)
+    assert sorted(map(key, later.collect())) == sorted(map(key, plain.collect())) and sorted(map(key, first.collect())) == sorted(map(key, again.collect()))
+    spark.catalog.clearCache()
+    kept = serving.kept_graphs(spark, where, "syntactic_positional", buckets=4)
+    spark.sql(f"DROP TABLE {kept.table}")  # what a new session knows
+    kept = serving.kept_graphs(spark, where, "syntactic_positional", buckets=4)
+    assert kept.read().count() == trees[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        side = kept.read().select("tree_id", F.size("src").alias("n"))
+        plan = side.join(kept.read().select("tree_id", "width"), "tree_id")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,6 +1,6 @@
 import numpy as np
 from pyspark.sql import functions as F
-from quillon.operators import embed, runs, suite
+from quillon.operators import embed, runs, serving, suite
 
 
 def table(spark):
@@ -25,4 +25,11 @@ def test_embeddings(spark):
 
 
 def test_latency(spark):
-    assert suite.latency(spark, {"scan": lambda: table(spark)}, 60, warmup=1, repeats=2).first().row_ms_mean > 0
+    """Means and deviations over batches and over commands, as plain numbers give them."""
+    times = [(2, 1, [0.010, 0.030], 0.050, 0.004), (1, 0, [0.020], 0.021, 0.003), (0, 3, [], 0.5, 0.0)]
+    got = {r.stage: r for r in suite.latency(spark.createDataFrame(times, serving.TIMES)).collect()}
+    assert set(got) == {"preprocess", "model", "combined"} and all((r.commands, r.batches) == (3, 2) for r in got.values())
+    for stage, batches, commands in (("preprocess", [50, 21], [10, 30, 20]), ("model", [4, 3], [2, 2, 3]), ("combined", [54, 24], [12, 32, 23])):
+        r = got[stage]
+        assert np.allclose([r.batch_ms_mean, r.batch_ms_std, r.row_ms_mean, r.row_ms_std, r.total_s * 1000], [np.mean(batches), np.std(batches), np.mean(commands), np.std(commands), sum(batches)])
+        assert np.isclose(r.batch_ms_p99, max(batches))
