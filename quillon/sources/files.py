@@ -9,21 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: RFC 4180 quoting; backslashes are data, rows may span lines.
-CSV = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+from . import csv_splits
+
+CSV = {"header": "true", **csv_splits.QUOTING}
 # What a widespread CSV reader takes as missing.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 RULES_VERSION = "1"
 
 
-def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None, whole_files: bool = False) -> DataFrame:
+    """Rows of CSV files, large ones read by many tasks; whole_files takes a file in one, by Spark's own reader."""
+    if not whole_files:
+        return csv_splits.read(spark, *paths, schema=schema)
     reader = spark.read.options(**CSV)
     return (reader.schema(schema) if schema else reader).csv(list(paths))
 
 
-def read_commands(spark: SparkSession, *paths: str) -> DataFrame:
+def read_commands(spark: SparkSession, *paths: str, whole_files: bool = False) -> DataFrame:
     """Raw command tables: command_line, and process_name and total_occurrences where the files have them (null where it is no number)."""
-    df = read_csv(spark, *paths)
+    df = read_csv(spark, *paths, whole_files=whole_files)
     if "command_line" not in df.columns:
         raise ValueError("column command_line is missing")
     df = df.select(*(F.when(~F.trim(F.col(c)).isin(*MISSING), F.col(c)).alias(c) for c in df.columns))
