@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import clean, gnn, graph, metrics, runs, serving, suite
-from quillon.sources import files
+from quillon.sources import files, run_catalogue
 from quillon.sources.shared import clear, stored
 
 TABLES = ("malware", "clean", "test_malware", "test_clean")
@@ -41,7 +41,7 @@ def summarize(spark: SparkSession, args) -> None:
 
 def _found(spark: SparkSession, args) -> DataFrame:
     asked = {k: getattr(args, k) for k in ("seed", "test_size", "feature_type", "edge_ablation", "embedder", "feature_config")}
-    return runs.lookup(runs.parsed_runs(files.find_models(spark, args.root)), None, args.model, **asked)
+    return runs.lookup(run_catalogue.saved_runs(spark, args.root), None, args.model, **asked)
 
 
 def find(spark: SparkSession, args) -> None:
