@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import drop_path, stored_at
 
 # Edge types, and which stay under an ablation.
 CHILD, NEXT, PARENT, PREVIOUS, SELF = range(5)
@@ -60,18 +60,33 @@ def positional_features(nodes: DataFrame) -> DataFrame:
 def depth_and_subtree(links: DataFrame) -> DataFrame:
     """For trees given as (node, parent; null at a root): each node's depth and the size of its subtree.
 
-    One join a level until a level is empty; levels are stored, so that lineage
-    does not grow. A node that no root reaches (its parent is missing, or it is on
-    a circle) is in no tree and gives no row.
+    Pointer doubling: in round k a node knows its ancestor 2^k steps up, if there
+    is one, the steps to it or else to its root, and how many nodes of its subtree
+    are fewer than 2^k steps below it. It learns its ancestor's ancestor by a join,
+    and adds the counts of those whose ancestor it is, summed before they meet. So
+    rounds are the logarithm of the depth, and a row has a fixed size. Each round
+    is stored, and drops the table of the one before. A node that no root reaches
+    (its parent is missing, or it is on a circle or below one) is in no tree and
+    gives no row.
     """
-    at = stored(links.where(F.col("parent").isNull()).select("node", F.lit(0).alias("depth"), F.array("node").alias("path")), "level")
-    every = at
-    while not at.isEmpty():
-        above = at.select(F.col("node").alias("parent"), "depth", "path")
-        at = stored(links.join(above, "parent").select("node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path")), "level")
-        every = every.unionByName(at)
-    sizes = every.select(F.explode("path").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("subtree"))
-    return every.select("node", "depth").join(sizes, "node")
+    spark = links.sparkSession
+    parents = links.select(F.col("node").alias("__n")).distinct()
+    begun = links.join(parents, F.col("parent") == F.col("__n"), "left").select(
+        "node", F.col("__n").alias("up"), (F.col("parent").isNotNull() & F.col("__n").isNull()).alias("lost"), F.col("__n").isNotNull().cast("long").alias("steps"), F.lit(1).cast("long").alias("below")
+    )
+    now, path = stored_at(begun, "doubling")
+    most = now.count().bit_length() + 1  # more rounds only find circles
+    for _ in range(most):
+        going = now.where(F.col("up").isNotNull())
+        if going.isEmpty():
+            break
+        added = going.groupBy(F.col("up").alias("__to")).agg(F.sum("below").alias("__added"))
+        above = now.select(F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("lost").alias("__lost"), F.col("steps").alias("__steps"))
+        rows = now.join(above, F.col("up") == F.col("__n"), "left").join(added, F.col("node") == F.col("__to"), "left")
+        rows = rows.select("node", F.col("__up").alias("up"), (F.col("lost") | F.coalesce("__lost", F.lit(False))).alias("lost"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), (F.col("below") + F.coalesce("__added", F.lit(0))).alias("below"))
+        earlier, (now, path) = path, stored_at(rows, "doubling")
+        drop_path(spark, earlier)
+    return now.where(F.col("up").isNull() & ~F.col("lost")).select("node", F.col("steps").cast("int").alias("depth"), F.col("below").alias("subtree"))
 
 
 def rule_label(tokens: Column) -> Column:

@@ -30,10 +30,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table in the shared folder. It stays until clear() is called."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same rows from a table in the shared folder, and the table's path, for who drops it when the next one is written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -110,11 +110,28 @@ def test_summaries_leave_nan_out(spark):
 
 
 def test_tree_of_any_depth(spark):
-    links = [("r", None), ("other", None), ("lost", "gone"), *((f"n{i}", f"n{i - 1}" if i else "r") for i in range(12))]
+    links = [("r", None), ("other", None), ("lost", "gone"), ("below lost", "lost"), ("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("below circle", "c1"), ("self", "self"), *((f"n{i}", f"n{i - 1}" if i else "r") for i in range(12))]
     got = {r.node: (r.depth, r.subtree) for r in graph.depth_and_subtree(spark.createDataFrame(links, "node string, parent string")).collect()}
     assert got == {"r": (0, 13), "other": (0, 1)} | {f"n{i}": (i + 1, 12 - i) for i in range(12)}
 
 
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    """A chain of 100,000 nodes beside a bush and a star, in 18 rounds."""
+    rounds = []
+    stored_at = graph.stored_at
+    monkeypatch.setattr(graph, "stored_at", lambda df, name: rounds.append(name) or stored_at(df, name))
+    n = 100_000
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    bush = spark.range(n, n + 1023).select("id", F.when(F.col("id") > n, n + F.floor((F.col("id") - n - 1) / 2)).alias("parent"))
+    star = spark.range(2 * n, 2 * n + 5000).select("id", F.when(F.col("id") > 2 * n, F.lit(2 * n)).cast("long").alias("parent"))
+    got = graph.depth_and_subtree(chain.union(bush).union(star).withColumnRenamed("id", "node"))
+    assert len(rounds) <= 19
+    assert got.where(f"node < {n} and (depth <> node or subtree <> {n} - node)").count() == 0 and got.count() == n + 1023 + 5000
+    size = lambda k: 1023 if k == 0 else (1 << (10 - (k + 1).bit_length() + 1)) - 1
+    assert {r.node - n: (r.depth, r.subtree) for r in got.where(f"node >= {n} and node < {2 * n}").collect()} == {k: ((k + 1).bit_length() - 1, size(k)) for k in range(1023)}
+    assert {tuple(r) for r in got.where(f"node >= {2 * n}").groupBy("depth", "subtree").count().collect()} == {(0, 5000, 1), (1, 1, 4999)}
+
+
 def test_parser_has_no_depth_of_its_own():
     deep = ("a", "b")
     for _ in range(300):
