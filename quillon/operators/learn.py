@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import vocabulary
+
 
 def scale(train: DataFrame, others: list[DataFrame], columns: list[str]) -> list[DataFrame]:
     """Columns less their mean over their population deviation (1 where that is 0), both of the training rows."""
@@ -55,13 +57,10 @@ def word_grams(text: Column, low: int = 1, high: int = 3) -> Column:
     return _bound(words, lambda w: _windows(F.size(w), low, high, lambda i, n: F.array_join(F.slice(w, i, n), " ")))
 
 
-def tfidf_rows(docs: DataFrame, key: str, terms: Column, vocabulary: int = 50_000) -> DataFrame:
-    """A row per document and term of the vocabulary (the most frequent terms of the corpus): weights tf (ln((1 + n) / (1 + df)) + 1), of length 1 per document."""
-    n = docs.count()
-    tf = docs.select(F.col(key), F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    top = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(vocabulary)
-    x = tf.join(top.select("term", "df"), "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1.0 + F.col("df"))) + 1))
-    return x.withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
+def tfidf_rows(docs: DataFrame, key: str, terms: Column, size: int = 50_000) -> DataFrame:
+    """A row per document and term of the vocabulary (the most frequent terms of the corpus): weights tf (ln((1 + n) / (1 + df)) + 1), of length 1 per document. A row of docs is a document."""
+    bag = vocabulary.bags(docs, key, terms)
+    return vocabulary.weights(bag, key, vocabulary.most_frequent(bag, size), bag.count())
 
 
 def matrix_stats(rows: DataFrame, key: str) -> DataFrame:
@@ -70,13 +69,13 @@ def matrix_stats(rows: DataFrame, key: str) -> DataFrame:
     return n.withColumns({"density": F.col("stored") / (F.col("rows_used") * F.col("columns_used")), "per_row": F.col("stored") / F.col("rows_used")})
 
 
-def tfidf_logistic(train: DataFrame, text: str, label: str = "label", analyzer: str = "word", vocabulary: int = 50_000, max_iter: int = 1000) -> tuple[PipelineModel, Column]:
+def tfidf_logistic(train: DataFrame, text: str, label: str = "label", analyzer: str = "word", size: int = 50_000, max_iter: int = 1000) -> tuple[PipelineModel, Column]:
     """A model on TF-IDF vectors, and the expression of the terms it reads (as column terms)."""
     terms = {"word": lambda t: word_grams(t, 1, 3), "char": lambda t: char_grams(t, 3, 5), "char_wb": lambda t: char_grams(t, 3, 5, True)}[analyzer](F.coalesce(F.col(text), F.lit("")))
     counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     n = sum(counts.values())
     weight = F.when(F.col(label) == 1, n / (2.0 * max(1, counts.get(1, 0)))).otherwise(n / (2.0 * max(1, counts.get(0, 0))))
-    stages = [CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / max(1, n))]
+    stages = [CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size), IDF(inputCol="tf", outputCol="features"), LogisticRegression(labelCol=label, weightCol="weight", maxIter=max_iter, regParam=1.0 / max(1, n))]
     return Pipeline(stages=stages).fit(train.withColumn("terms", terms).withColumn("weight", weight)), terms
 
 
