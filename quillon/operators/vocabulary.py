@@ -61,21 +61,23 @@ class Summary:
     """Counts of at most room terms after each pruning; error is what may be missing from each."""
 
     def __init__(self, room: int):
-        self.room, self.error, self.counts = room, 0, {}
+        self.room, self.error = room, 0
+        self.counts = pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
 
-    def add(self, terms: list[str], counts: list[int]) -> None:
-        mine = self.counts
-        for t, n in zip(terms, counts):
-            mine[t] = mine.get(t, 0) + n
-        if len(mine) > 2 * self.room:
+    def add(self, terms: pa.Array, counts: np.ndarray) -> None:
+        """Terms may repeat; they are put together once there are many."""
+        self.counts = pa.concat_tables([self.counts, pa.table({"term": terms.cast(pa.string()), "n": pa.array(counts, pa.int64())})])
+        if len(self.counts) > 3 * self.room:
             self.prune()
 
     def prune(self) -> None:
-        if len(self.counts) > self.room:
-            values = np.fromiter(self.counts.values(), np.int64, len(self.counts))
+        summed = self.counts.group_by("term", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["term", "n"])
+        if len(summed) > self.room:
+            values = summed.column("n").to_numpy()
             off = int(np.partition(values, len(values) - self.room - 1)[len(values) - self.room - 1])
             self.error += off
-            self.counts = {t: n - off for t, n in self.counts.items() if n > off}
+            summed = summed.filter(pa.array(values > off)).set_column(1, "n", pa.array(values[values > off] - off))
+        self.counts = summed
 
 
 def _totals(bag: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -95,9 +97,10 @@ def summaries(bag: DataFrame, room: int = ROOM) -> DataFrame:
         mine = Summary(room)
         for batch in batches:
             known, _, total = _totals(batch)
-            mine.add(known.to_pylist(), total.tolist())
+            mine.add(known, total)
         mine.prune()
-        yield pa.RecordBatch.from_arrays([pa.array([*mine.counts, None], pa.string()), pa.array([*mine.counts.values(), mine.error], pa.int64())], ["term", "n"])
+        yield from mine.counts.combine_chunks().to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([mine.error], pa.int64())], ["term", "n"])
 
     return bag.select("terms", "tf").mapInArrow(run, "term string, n long")
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from quillon.operators import vocabulary
@@ -50,10 +51,11 @@ def test_summary_bounds():
     for _ in range(300):
         part = Counter(f"w{int(rng.paretovariate(0.7))}" for _ in range(40))
         true.update(part)
-        mine.add(list(part), list(part.values()))
+        mine.add(pa.array(list(part)), np.array(list(part.values())))
     mine.prune()
-    assert len(mine.counts) <= 20 and mine.error > 0
-    assert all(n <= true[t] <= n + mine.error for t, n in mine.counts.items()) and all(true[t] <= mine.error for t in true if t not in mine.counts)
+    counts = dict(zip(*(c.to_pylist() for c in mine.counts.columns)))
+    assert len(counts) <= 20 and mine.error > 0
+    assert all(n <= true[t] <= n + mine.error for t, n in counts.items()) and all(true[t] <= mine.error for t in true if t not in counts)
 
 
 def test_weights(spark):
