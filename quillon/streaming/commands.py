@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.shipping import ship
-from ..operators.clean import PARSED, parse_row, parsed_columns
+from ..operators.clean import PARSED, as_arrow, parse_row, parsed_columns
 from ..operators.features import manual_features
 
 
@@ -23,9 +23,9 @@ def parsed_stream(stream: DataFrame, command: str = "command_line") -> DataFrame
     """The stream with tree, tokens, valid, error and nodes. No state: a batch's rows are parsed where they are."""
     ship(stream.sparkSession)
 
-    @F.pandas_udf(PARSED)
-    def parse(commands: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_row(c, None) for c in commands], columns=PARSED.names)
+    @F.arrow_udf(PARSED)
+    def parse(commands: pa.Array) -> pa.Array:
+        return as_arrow([parse_row(c, None) for c in commands.to_pylist()])
 
     return stream.withColumn("__p", parse(F.col(command))).select(*stream.columns, *parsed_columns(F.col(command), F.col("__p")))
 
