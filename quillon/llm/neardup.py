@@ -20,17 +20,21 @@ Candidates whose signatures agree on eight standard deviations less than the
 asked similarity are dropped; the others are confirmed on the full sets of both
 texts. Links become components.
 
-What the forest leaves out is looked for by a prefix filter: shingles have one
-order, the rarest first; two sets of similarity t have one in common among the
-first |s| - ceil(t |s|) + 1 of each. Only nodes of different components are
-paired there. Of a shingle that at most LIST nodes have in front all pairs are
-put forward, so a pair with any rare text in common is found for certain. One
-that more nodes have there is of a common passage: its nodes are put forward with
-the smallest set of their size band and of the band below. Where two texts are
-near by a common passage alone, the smaller of them is, too, near to the smallest
-with that passage. The order is by counts of all texts' shingles in hash buckets.
-Not certain to be found: two near texts, all of whose common front shingles more
-than LIST nodes have, and which neither the forest nor that smallest set connects.
+What the forest leaves out is looked for by an exact prefix filter: shingles have
+one order, the rarest first; two sets of similarity t have one in common among the
+first |s| - ceil(t |s|) + 1 of each. Let the first one that they share stand
+behind p and q others in them. Then no more than |s| - p, or |r| - q, are in
+common, and that must reach t / (1 + t) (|s| + |r|): each set has a greatest size
+that a partner may have, its reach. Only nodes of different components are
+paired, and only those in each other's reach. Of a shingle that at most LIST nodes
+have in front all pairs are looked at. Where more have it, the smaller of two looks
+for the larger one: only nodes that reach their own size look, in lists by shingle
+and size band, a block of seekers at a time. Texts that share a passage and less
+have it too late to reach anyone, so a hot passage makes no pairs, however many
+texts have it; what is paired there is what might be near by all that is known of
+both. The order is by counts of all texts' shingles in hash buckets. So every near
+pair lies inside a component or is put forward (but for hashes, and for signatures
+that agree on eight standard deviations too few places).
 
 Nulls and odd rows: a text without words, or null, has an empty set and links
 with nothing. A null id takes part with its text, but is no component's id
@@ -55,7 +59,7 @@ from .components import components
 
 SHINGLE, PLACES, TREES, ORDER = 5, 128, 16, 16
 DEPTHS = (3, 4, 6, 8, 11, 16)
-SPLIT, WINDOW, LIST = 16, 64, 16
+SPLIT, WINDOW, LIST, BLOCK = 16, 64, 16, 512
 BUCKETS, SLICE = 1 << 20, 1 << 12
 _rng = np.random.default_rng(20240101)
 FACTORS = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -280,7 +284,7 @@ def _prefixes(percent: int, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = counts.value, set()
         for batch in batches:
-            nodes, sizes, heads = [], [], [np.zeros(0, np.uint64)]
+            nodes, sizes, heads = [], [], [np.zeros(0, np.uint64)]  # a shingle's place: how many of its set come before it in the common order
             for members in shingle_sets(batch.column("text")):
                 if not len(members) or (node := node_id(members)) in seen:
                     continue
@@ -290,8 +294,9 @@ def _prefixes(percent: int, counts):
                 length = min(len(members), len(members) + percent * len(members) // -100 + 1)
                 heads.append(members[np.argsort(often[members % np.uint64(BUCKETS)], kind="stable")[:length]])
             each = [len(h) for h in heads[1:]]
-            columns = [np.concatenate(heads).view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int64), each)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size"])
+            places = np.concatenate([np.zeros(0, np.int64), *map(np.arange, each)])
+            columns = [np.concatenate(heads).view(np.int64), np.repeat(np.array(nodes, np.int64), each), np.repeat(np.array(sizes, np.int64), each), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "size", "place"])
 
     return run
 
@@ -326,45 +331,86 @@ def _in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = columns[0][1:] == columns[0][:-1]
         mate = np.r_[held_has_mate, same] | np.r_[same, False]
         held, held_has_mate = [x[-1:] for x in columns], bool(mate[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][mate[:-1]]) for x in columns], ["shingle", "node", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][mate[:-1]]) for x in columns], ["shingle", "node", "size", "place"])
     if held is not None and held_has_mate:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["shingle", "node", "size"])
-
-
-def _across(percent: int):
-    """In rows sorted by shingle and root, at most LIST of a shingle: pairs of a shingle's nodes with different roots whose sizes allow the similarity."""
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["shingle", "node", "size", "place"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In rows sorted by shingle and root, at most LIST of a shingle: pairs of a shingle's nodes with different roots whose sizes and places allow the similarity."""
+    for shingle, root, node, size, reach in _whole_lists(batches):
+        end = np.searchsorted(shingle, shingle, "right")
+        change = np.flatnonzero((shingle[1:] != shingle[:-1]) | (root[1:] != root[:-1])) + 1
+        other = np.r_[change, len(node)][np.searchsorted(change, np.arange(len(node)), "right")]
+        many = end - other
+        i = np.repeat(np.arange(len(node)), many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + other[i]
+        ok = (size[i] <= reach[j]) & (size[j] <= reach[i])
+        a, b = node[i[ok]], node[j[ok]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, root, node, size in _whole_lists(batches):
-            end = np.searchsorted(shingle, shingle, "right")
-            change = np.flatnonzero((shingle[1:] != shingle[:-1]) | (root[1:] != root[:-1])) + 1
-            other = np.r_[change, len(node)][np.searchsorted(change, np.arange(len(node)), "right")]
-            many = end - other
-            i = np.repeat(np.arange(len(node)), many)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + other[i]
-            ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-            a, b = node[i[ok]], node[j[ok]]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return run
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In rows sorted by list (a shingle's nodes of a size band, and a block of those that look for partners) and size: pairs of one that looks and a larger one, with different roots, whose sizes and places allow the similarity."""
+    for lists, size, root, node, reach, looks in _whole_lists(batches):
+        change = np.r_[0, np.flatnonzero(lists[1:] != lists[:-1]) + 1, len(lists)]
+        found = []
+        for lo, hi in zip(change[:-1].tolist(), change[1:].tolist()):
+            sizes = size[lo:hi]
+            seek = np.flatnonzero(looks[lo:hi])
+            begin, end = np.searchsorted(sizes, sizes[seek], "left"), np.searchsorted(sizes, reach[lo:hi][seek], "right")
+            step = max(1, (1 << 20) // max(1, hi - lo))
+            for k in range(0, len(seek), step):
+                many = np.maximum(0, end[k : k + step] - begin[k : k + step])
+                i = np.repeat(seek[k : k + step], many)
+                j = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[k : k + step], many)
+                ok = (~looks[lo:hi][j].astype(bool) | (i != j)) & (root[lo:hi][i] != root[lo:hi][j]) & (sizes[i] <= reach[lo:hi][j])
+                a, b = node[lo:hi][i[ok]], node[lo:hi][j[ok]]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
 def left_out(docs: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
     """Pairs (a, b) of nodes that roots does not connect, and that can have the similarity."""
     texts = docs.select(body(text_col).alias("text"))
     often = docs.sparkSession.sparkContext.broadcast(bucket_counts(texts))
-    heads = texts.mapInArrow(_prefixes(percent, often), "shingle long, node long, size long")
-    rows = heads.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_in_common, "shingle long, node long, size long")
-    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / percent))).alias("band")
-    rows = stored(rows.join(roots, "node", "left").select("shingle", F.coalesce("root", "node").alias("root"), "node", "size", band), "prefixes")
+    kind = "shingle long, node long, size long, place long"
+    heads = texts.mapInArrow(_prefixes(percent, often), kind)
+    rows = heads.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_in_common, kind)
+    # of two sets whose first common shingle this is, no more than size - place can be in common: the other's size is reach at most
+    reach = F.floor((F.col("size") - F.col("place")) * (100 + percent) / percent).cast("long") - F.col("size")
+    rows = stored(rows.join(roots, "node", "left").select("shingle", F.coalesce("root", "node").alias("root"), "node", "size", reach.alias("reach")), "prefixes")
     lists = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     lists = stored(lists.select("shingle", (F.col("n") > LIST).alias("common")), "mixed-shingles")
-    rare = rows.join(lists.where("not common"), "shingle").select("shingle", "root", "node", "size").repartition("shingle").sortWithinPartitions("shingle", "root")
+    rare = rows.join(lists.where("not common"), "shingle").select("shingle", "root", "node", "size", "reach").repartition("shingle").sortWithinPartitions("shingle", "root")
     common = rows.join(lists.where("common").select("shingle"), "shingle")
-    least = common.groupBy("shingle", "band").agg(F.min(F.struct("size", "node", "root")).alias("x")).select("shingle", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("x.node").alias("lead"), F.col("x.root").alias("lead_root"))
-    stars = common.join(stored(least, "smallest"), ["shingle", "band"]).where("root <> lead_root").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    return _alike(rare.mapInArrow(_across(percent), "a long, b long").unionByName(stars).distinct(), nodes, percent)
+    pairs = rare.mapInArrow(_across, "a long, b long").unionByName(_of_common(common, percent))
+    return _alike(pairs.distinct(), nodes, percent)
+
+
+def _of_common(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that have a common shingle in front: every one that sizes and places allow.
+
+    The smaller of two looks for the larger, which its reach must include, so a node
+    looks only where the shingle stands early enough in it. Nodes that share no more
+    than a passage have it too late, and look for nothing, however many they are.
+    """
+    band = lambda size: F.floor(F.log(size.cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
+    rows = rows.withColumn("band", band(F.col("size")))
+    seekers = rows.where(F.col("reach") >= F.col("size"))
+    seekers = seekers.withColumn("band", F.explode(F.sequence("band", F.greatest("band", band(F.col("reach"))))))
+    wanted = seekers.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("reach").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    wanted = stored(wanted.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "seekers")
+    # larger ones that some seeker reaches and that are not all of its component
+    asked = rows.join(wanted, ["shingle", "band"]).where((F.col("size") >= F.col("least")) & (F.col("size") <= F.col("most")) & (F.col("reach") >= F.col("least")) & ((F.col("lo") < F.col("hi")) | (F.col("root") != F.col("lo"))))
+    asked = asked.select("shingle", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "size", "root", "node", "reach", F.lit(0).alias("looks"))
+    met = stored(asked.select("shingle", "band", "block").distinct(), "asked-lists")
+    seekers = seekers.join(wanted.select("shingle", "band", "blocks"), ["shingle", "band"]).select("shingle", "band", F.pmod(F.hash("node"), F.col("blocks")).alias("block"), "size", "root", "node", "reach", F.lit(1).alias("looks"))
+    seekers = seekers.join(met, ["shingle", "band", "block"], "left_semi")
+    both = asked.unionByName(seekers).select(F.xxhash64("shingle", "band", "block").alias("list"), "size", "root", "node", "reach", "looks")
+    return both.repartition("list").sortWithinPartitions("list", "size", "node").mapInArrow(_probe, "a long, b long")
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, text_col: str) -> DataFrame:
