@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("feature_config", "model", "loss_type", "analyzer")
@@ -30,6 +30,36 @@ def mean_std(df: DataFrame, values: list[str], keys: list[str] | None = None, so
     return df.groupBy(*keys).agg(*out)
 
 
+def mean_std_levels(df: DataFrame, values: list[str], keys: list[str], sets: list[list[str]]) -> DataFrame:
+    """mean_std over several sets of keys, one of which may be empty (all rows), in one plan: keys, level (a bit for each key that a set leaves out, the first key's the highest) and the figures. A null key of a row is a group of its own level, apart from totals."""
+    there = {v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v)) for v in values}
+    out = [c for v, x in there.items() for c in (F.avg(x).alias(f"{v}_mean"), F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias(f"{v}_std"))]
+    return df.groupingSets([[F.col(k) for k in x] for x in sets], *(F.col(k) for k in keys)).agg(F.grouping_id().cast("int").alias("level"), *out)
+
+
+def training_course(history: DataFrame, run: list[str], epoch: str = "epoch", f1: str = "f1_malware", macro: str = "f1_macro", rate: float = 1e-3, patience: int = 5, plateau: int = 3) -> DataFrame:
+    """history (a row per run and epoch) with what training makes of it, by windows over each run's epochs.
+
+    An epoch is better if its score is above all before it. better, best_epoch (so
+    far), since_best (epochs since), and for the macro score the same as flat (epochs
+    since a better one or since the rate was halved, which is when there were more
+    than plateau), rate_after, and ends: the first epoch at which since_best reaches
+    patience, behind which no epoch counts. A null score is never better.
+    """
+    before = Window.partitionBy(*run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*run).orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    above = lambda c: F.coalesce(F.col(c) > F.coalesce(F.max(c).over(before), F.lit(float("-inf"))), F.lit(False))
+    rows = history.withColumns({"better": above(f1), "__macro": above(macro)})
+    rows = rows.withColumns({"__island": F.count_if("better").over(so_far), "__run": F.count_if("__macro").over(so_far)})
+    inside = lambda island: Window.partitionBy(*run, island).orderBy(epoch)
+    behind = lambda island: F.row_number().over(inside(island)) - F.when(F.col(island) > 0, 1).otherwise(0)
+    rows = rows.withColumns({"since_best": behind("__island"), "__flat": behind("__run"), "best_epoch": F.max(F.when(F.col("better"), F.col(epoch))).over(so_far)})
+    halved = (F.col("__flat") > 0) & (F.col("__flat") % (plateau + 1) == 0)
+    rows = rows.withColumns({"flat": F.col("__flat") % (plateau + 1), "rate_after": F.lit(rate) * F.pow(F.lit(0.5), F.count_if(halved).over(so_far))})
+    ends = F.min(F.when(F.col("since_best") >= patience, F.col(epoch))).over(Window.partitionBy(*run))
+    return rows.withColumn("ends", ends).drop("__macro", "__island", "__run", "__flat")
+
+
 def best_of(df: DataFrame, value: str, rows: str, columns: str, names: list | None = None) -> DataFrame:
     """The greatest value per row and column key, columns as columns."""
     return df.groupBy(rows).pivot(columns, names).agg(F.max(value))
@@ -92,8 +122,8 @@ def input_width(semantic: int, token: bool, positional: bool) -> int:
     return semantic + 15 * token + 8 * positional or 1
 
 
-def parameters(model: str, width: int, hidden: int = 128, layers: int = 3, classes: int = 2, relations: int = 5, heads: int = 4) -> int:
-    """Trainable parameters of a graph model, in closed form."""
+def parameters(model: str, width: int | Column, hidden: int = 128, layers: int = 3, classes: int = 2, relations: int = 5, heads: int = 4) -> int | Column:
+    """Trainable parameters of a graph model, in closed form; of many at once if width is a column."""
     pool = 2 * hidden
     head = pool * hidden + hidden + hidden * classes + classes
     sizes = [width] + [hidden] * (layers - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import native
@@ -457,6 +457,36 @@ def mean_std_overall(spark, sf_dir):
     return _rounded(runs.mean_std(_events(spark, sf_dir), ["f1_malware", "fpr"], []))
 
 
+_LEVELS = [["feature_config", "model", "loss_type"], ["feature_config", "loss_type"], ["model"], []]
+
+
+@query(f"WITH r AS ({_RUNS}) SELECT feature_config, model, loss_type, CAST(GROUPING_ID(feature_config, model, loss_type) AS INTEGER) AS level, {_STATS.replace(', 6)', ', 9)')} FROM r GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(x) + ')' for x in _LEVELS)})")
+def mean_std_levels(spark, sf_dir):
+    """Groups by all keys, some, and none in one plan; rows without a loss are a group of their own at each level that has it."""
+    out = runs.mean_std_levels(_events(spark, sf_dir), ["f1_malware", "fpr"], ["feature_config", "model", "loss_type"], _LEVELS)
+    return out.select(*(F.round(c, 9).alias(c) if c.endswith(("_mean", "_std")) else F.col(c) for c in out.columns))
+
+
+_HISTORY = "SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) - 1 AS epoch, CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(floor(value) % 97 AS DOUBLE) END AS f1_malware, CAST(floor(value * 7) % 89 AS DOUBLE) AS f1_macro FROM events"
+
+
+@query(f"""WITH RECURSIVE h AS ({_HISTORY}),
+w AS (
+  SELECT run, epoch, f1_malware, f1_macro, coalesce(f1_malware > -1, false) AS better, coalesce(f1_malware, -1) AS best, CASE WHEN f1_malware IS NULL THEN NULL ELSE epoch END AS best_epoch, CASE WHEN f1_malware IS NULL THEN 1 ELSE 0 END AS since_best, f1_macro AS best_macro, 0 AS flat, 0.001::DOUBLE AS rate_after FROM h WHERE epoch = 0
+  UNION ALL
+  SELECT h.run, h.epoch, h.f1_malware, h.f1_macro, coalesce(h.f1_malware > w.best, false), greatest(w.best, coalesce(h.f1_malware, -1)), CASE WHEN h.f1_malware > w.best THEN h.epoch ELSE w.best_epoch END, CASE WHEN h.f1_malware > w.best THEN 0 ELSE w.since_best + 1 END,
+    greatest(w.best_macro, h.f1_macro), CASE WHEN h.f1_macro > w.best_macro OR w.flat + 1 > 3 THEN 0 ELSE w.flat + 1 END, CASE WHEN NOT h.f1_macro > w.best_macro AND w.flat + 1 > 3 THEN w.rate_after / 2 ELSE w.rate_after END
+  FROM w JOIN h ON h.run = w.run AND h.epoch = w.epoch + 1)
+SELECT run, epoch, better, best_epoch, since_best, flat, rate_after, CAST(min(CASE WHEN since_best >= 5 THEN epoch END) OVER (PARTITION BY run) AS INTEGER) AS ends FROM w""")
+def training_course(spark, sf_dir):
+    """Best epoch, plateaus, rates and stop of many runs by windows; in SQL as a loop over the epochs, as training goes."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    history = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("run"), (F.row_number().over(order) - 1).alias("epoch"), F.when(F.col("event_id") % 17 != 0, (F.floor("value") % 97).cast("double")).alias("f1_malware"), (F.floor(F.col("value") * 7) % 89).cast("double").alias("f1_macro")
+    )
+    return runs.training_course(history, ["run"]).select("run", "epoch", "better", "best_epoch", "since_best", "flat", "rate_after", "ends")
+
+
 @query(f"WITH r AS (SELECT * FROM ({_RUNS}) ORDER BY event_id DESC NULLS LAST LIMIT 200) SELECT model, {_STATS} FROM r GROUP BY model")
 def sort_limit_then_group(spark, sf_dir):
     return _rounded(runs.mean_std(_events(spark, sf_dir), ["f1_malware", "fpr"], ["model"], "event_id", 200))
@@ -504,9 +534,16 @@ def run_first(spark, sf_dir):
     return runs.first_run(runs.lookup(_parsed_runs(spark, sf_dir), seed=7)).select("path")
 
 
-@query("SELECT " + " UNION ALL SELECT ".join(f"'{m}' AS model, {n} AS parameters" for m, n in (("gcn", 75266), ("sage", 116226), ("gin", 141954), ("gat", 76034), ("rgcn", 280066))))
+_MODELS = {
+    "gcn": "total * 128 + 3 * (128 + 256) + 33154", "sage": "2 * total * 128 + 3 * (128 + 256) + 33154", "gat": "total * 128 + 3 * (256 + 128 + 256) + 33154",
+    "rgcn": "6 * total * 128 + 3 * (128 + 256) + 33154", "gin": "total * 128 + 3 * (128 + 256 + 128 * 128 + 128 + 256) + 384 * 128 + 128 + 258",
+}
+
+
+@query("SELECT vec_id, " + ", ".join(f"CAST({x} AS INTEGER) AS {m}" for m, x in _MODELS.items()) + " FROM (SELECT vec_id, len(embedding) + 2 * 128 AS total FROM embeddings)")
 def parameter_counts(spark, sf_dir):
-    return spark.createDataFrame([(m, runs.parameters(m, 64)) for m in ("gcn", "sage", "gin", "gat", "rgcn")], "model string, parameters int")
+    """Sizes of three-layer models over vectors as wide as each row's."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(runs.parameters(m, F.size("embedding")).cast("int").alias(m) for m in _MODELS))
 
 
 # --- vectors ------------------------------------------------------------------
@@ -517,10 +554,12 @@ def mean_max_pool(spark, sf_dir):
     return learn.pool(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "dim", r(F.col("mean")).alias("mean"), r(F.col("max")).alias("max"), F.round("total", 4).alias("total"))
 
 
-@query("""WITH e AS (SELECT o_custkey % 500 AS dst, o_orderkey % 500 AS src FROM orders), v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS dim FROM embeddings) SELECT dst, dim, round(avg(v), 6) AS mean FROM e JOIN v ON src = vec_id GROUP BY ALL""")
+@query("""WITH k AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT o_custkey % n AS dst, o_orderkey % n AS src FROM orders, k), v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(1, len(embedding) + 1)) AS dim FROM embeddings) SELECT dst, dim, round(avg(v), 6) AS mean FROM e JOIN v ON src = vec_id GROUP BY ALL""")
 def message_pass_mean(spark, sf_dir):
-    edge_rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("dst"), (F.col("o_orderkey") % 500).alias("src"))
-    return learn.message_mean(edge_rows, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("x"))).select("dst", "dim", r(F.col("mean")).alias("mean"))
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+    edge_rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % n).alias("dst"), (F.col("o_orderkey") % n).alias("src"))
+    return learn.message_mean(edge_rows, vectors.select(F.col("vec_id").alias("node"), F.col("embedding").alias("x"))).select("dst", "dim", r(F.col("mean")).alias("mean"))
 
 
 _WORD = r"[\p{L}\p{N}_]{2,}"
