@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import clean, gnn, graph, metrics, runs, serving, suite
+from quillon.operators import clean, gnn, graph, metrics, reports, runs, serving, suite
 from quillon.sources import files, run_catalogue
 from quillon.sources.shared import clear, stored
 
@@ -17,9 +17,11 @@ TABLES = ("malware", "clean", "test_malware", "test_clean")
 def unique(spark: SparkSession, args) -> None:
     """Each raw table NAME.csv of a folder to NAME_unique.csv, by descending text."""
     for name in args.tables:
-        out = clean.make_unique(files.read_commands(spark, f"{args.folder}/{name}.csv"))
+        seen = Observation(name)
+        out = clean.make_unique(files.read_commands(spark, f"{args.folder}/{name}.csv"), seen)
         columns = [c for c in ("command_line", "total_occurrences") if c in out.columns]
         files.write_csv(out.select(*columns).orderBy(F.desc("command_line")), f"{args.out or args.folder}/{name}_unique.csv", single=True)
+        print(name, *(f"{k}={v}" for k, v in seen.get.items()))
 
 
 def show(df: DataFrame) -> None:
@@ -90,6 +92,23 @@ def infer(spark: SparkSession, args) -> None:
     clear(spark)
 
 
+def evaluate(spark: SparkSession, args) -> None:
+    """A saved model on the part of its tables that its training left out and on later tables, with reports as text."""
+    first = _found(spark, args).orderBy("path").first()
+    if first is None:
+        raise SystemExit("no run is what was asked for")
+    model, config, ablation = serving.rebuild(spark, first["path"])
+    rows, later = _tables(spark, args.malware, args.clean), _tables(spark, args.test_malware, args.test_clean)
+    judged = stored(serving.evaluate(rows, later, model, config, ablation, first["seed"], first["test_size"], ["text"]), "judged")
+    scores = metrics.metrics(judged, ["part"])
+    show(scores)
+    for part in ("validation", "later"):
+        files.write_text(reports.confusion(judged.where(F.col("part") == part), f"{first['model']}_{first['loss']}, {part}"), f"{args.out}/{part}_confusion")
+        files.write_text(reports.wrong(judged.where(F.col("part") == part), "graph_id", "text"), f"{args.out}/{part}_errors", single=False)
+    files.write_csv(scores, f"{args.out}/scores", single=True)
+    clear(spark)
+
+
 def count(spark: SparkSession, args) -> None:
     for m in args.model:
         print(m, runs.parameters(m, args.width, args.hidden_dim, args.num_layers, args.num_classes))
@@ -154,6 +173,15 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--warmup", type=int, default=2)
     a.add_argument("--out")
     a.set_defaults(run=infer)
+    a = sub.add_parser("evaluate")
+    a.add_argument("malware")
+    a.add_argument("clean")
+    a.add_argument("test_malware")
+    a.add_argument("test_clean")
+    a.add_argument("--root", default="results")
+    a.add_argument("--out", default="results/evaluation")
+    _run_options(a)
+    a.set_defaults(run=evaluate)
     a = sub.add_parser("count-params")
     a.add_argument("--model", nargs="+", default=("gcn", "sage", "gin", "gat", "rgcn"))
     a.add_argument("--width", type=int, default=64)

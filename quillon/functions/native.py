@@ -72,3 +72,10 @@ def reduce_quotes(command: Column) -> Column:
     lead, trail = F.length(F.regexp_extract(c, '^"*', 0)), F.length(c) - F.length(F.rtrim(c, F.lit('"')))
     c = F.when(((lead >= 3) & (trail >= 1)) | ((lead >= 1) & (trail >= 3)), F.substr(c, F.lit(2), F.length(c) - 2)).otherwise(c)
     return F.trim(F.regexp_replace(c, r'""([^\s"]+)""', '"$1"'))
+
+
+def plain_split(text: Column) -> Column:
+    """Tokens between white space; a quoted stretch, without its quotes, is one of its own wherever it begins. A quote that nothing closes is a character like others."""
+    found = F.regexp_extract_all(text, F.lit(r'(?U)"[^"]*"|\S+'), F.lit(0))
+    quoted = lambda t: (F.length(t) >= 2) & F.startswith(t, F.lit('"')) & F.endswith(t, F.lit('"'))
+    return F.transform(found, lambda t: F.when(quoted(t), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t))

@@ -6,7 +6,7 @@ import ast
 import json
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,11 +157,24 @@ def unique_table(df: DataFrame, occurrences: str | None = "total_occurrences") -
     return rows.groupBy(F.col("tree").alias("cmd_json")).agg(F.first("tokens").alias("tokens"))
 
 
-def make_unique(raw: DataFrame) -> DataFrame:
-    """Raw table (command_line, perhaps process_name and total_occurrences) to its unique table."""
+def make_unique(raw: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Raw table (command_line, perhaps process_name and total_occurrences) to its unique table. Rows with a null go.
+
+    seen is told, by the job that writes the result, of rows: how many there were,
+    how many had a null, were not parsed, were parsed but are no valid command, and
+    were kept. It is one pass, and no job more.
+    """
     process = "process_name" if "process_name" in raw.columns else None
-    out = unique_table(parsed(raw.na.drop("any"), process=process))
-    return out.withColumn("command_line", python_repr(F.col("cmd_json")))
+    whole = F.lit(True)
+    for c in raw.columns:
+        whole = whole & F.col(c).isNotNull()
+    rows = parsed(raw.withColumn("__whole", whole), process=process)
+    if seen is not None:
+        failed = F.col("error").isNotNull()
+        valid = F.col("valid") & F.col("tree").isNotNull()
+        counts = {"rows": F.lit(True), "with_null": ~F.col("__whole"), "not_parsed": F.col("__whole") & failed, "not_valid": F.col("__whole") & ~failed & ~valid, "kept": F.col("__whole") & valid}
+        rows = rows.observe(seen, *(F.count_if(c).alias(k) for k, c in counts.items()))
+    return unique_table(rows.where("__whole")).withColumn("command_line", python_repr(F.col("cmd_json")))
 
 
 def read_tree(text: str | None) -> cmdline.Tree | None:

@@ -147,14 +147,28 @@ def train_grid(
 HISTORY = "path string, seed int, feature_config string, model string, loss_type string, epoch int, loss double, rate double, f1_malware double, f1_macro double"
 
 
-def infer(parsed: DataFrame, key: str, model: gnn.Model, config: str, ablation: str = "all", label: str | None = None, batch: int = 32) -> DataFrame:
-    """graph_id, label, pred and logits of parsed commands. A tree is judged once, however many commands have it; commands without a tree have no row."""
+def infer(parsed: DataFrame, key: str, model: gnn.Model, config: str, ablation: str = "all", label: str | None = None, batch: int = 32, keep: list[str] | None = None) -> DataFrame:
+    """graph_id, label, pred, logits and the columns in keep of parsed commands. A tree is judged once, however many commands have it; commands without a tree have no row."""
     if not 1 <= batch <= 64:
         raise ValueError("a batch has 1 to 64 graphs")
     made = tree_graphs.graphs_of(tree_graphs.distinct_trees(parsed), parts_of(config), ablation).withColumnRenamed("tree_id", "graph_id")
     judged = gnn.predict(made.withColumn("label", F.lit(0)), model, batch=batch).select(F.col("graph_id").alias("__tree"), "pred", "logit_0", "logit_1")
-    rows = parsed.where("nodes is not null").select(F.col(key).alias("graph_id"), (F.col(label) if label else F.lit(0)).cast("int").alias("label"), tree_graphs.tree_id(F.col("tree")).alias("__of"))
-    return rows.join(judged, F.col("__of") == F.col("__tree")).select("graph_id", "label", "pred", "logit_0", "logit_1")
+    rows = parsed.where("nodes is not null").select(F.col(key).alias("graph_id"), (F.col(label) if label else F.lit(0)).cast("int").alias("label"), tree_graphs.tree_id(F.col("tree")).alias("__of"), *(keep or []))
+    return rows.join(judged, F.col("__of") == F.col("__tree")).select("graph_id", "label", "pred", "logit_0", "logit_1", *(keep or []))
+
+
+def evaluate(df: DataFrame, later: DataFrame, model: gnn.Model, config: str, ablation: str, seed: int, test_size: float, keep: list[str] | None = None) -> DataFrame:
+    """infer on what the split of a run's seed left out of training (part 'validation') and on later commands (part 'later'), in one pass.
+
+    Both without the trees that training saw, by label or not: a command that
+    stands in the training part is no test, wherever it stands again.
+    """
+    halves = split.stratified_split(df.select("key", "label"), "key", seed, test_size).select("key", "is_test")
+    rows = df.join(halves, "key").withColumn("part", F.when(F.col("is_test"), "validation").otherwise("training")).drop("is_test")
+    rows = stored(rows.unionByName(later.withColumn("part", F.lit("later")), allowMissingColumns=True).withColumn("__tree_id", tree_graphs.tree_id(F.col("tree"))), "evaluated")
+    seen = stored(rows.where("part = 'training'").select("__tree_id").distinct(), "training-trees")
+    fresh = rows.where("part <> 'training'").join(seen, "__tree_id", "left_anti").drop("__tree_id")
+    return infer(fresh, "key", model, config, ablation, "label", keep=["part", *(keep or [])])
 
 
 def outcomes(parsed: DataFrame) -> DataFrame:

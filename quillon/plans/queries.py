@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..operators import clean, features, gnn, graph, learn, metrics, runs, serving, split
-from ..sources.shared import stored
+from ..sources import files
+from ..sources.shared import fresh_path, stored
 from . import examples
 
 QUERIES: dict = {}
@@ -425,6 +426,24 @@ def weighted_ce_values(spark, sf_dir):
     return _logits(spark, sf_dir).select("vec_id", (r(metrics.cross_entropy((F.col("a"), F.col("b")), F.col("y"), (0.5, 2.0), 0.1)) + 0.0).alias("loss"))
 
 
+@query(rf"""WITH t AS (SELECT p_partkey AS id, concat(p_name, ' "', p_type, '" x"', p_brand, ' z', '"y "" "', p_size) AS t FROM part)
+SELECT id, array_to_string(list_transform(regexp_extract_all(t, '"[^"]*"|\S+'), lambda x: CASE WHEN length(x) >= 2 AND starts_with(x, '"') AND ends_with(x, '"') THEN x[2:-2] ELSE x END), '|') AS tokens FROM t""")
+def plain_split(spark, sf_dir):
+    """Quotes that open a token, stand inside one, are empty, or are never closed."""
+    parts = [F.col("p_name"), F.lit(' "'), F.col("p_type"), F.lit('" x"'), F.col("p_brand"), F.lit(" z"), F.lit('"y "" "'), F.col("p_size").cast("string")]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(native.plain_split(F.concat(*parts)), "|").alias("tokens"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS text_md5, lang, source FROM documents")
+def csv_in_splits(spark, sf_dir):
+    """The documents as CSV, texts with line breaks and quotes, read back in splits."""
+    path = fresh_path(spark, "documents-csv")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    rows.write.options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    back = files.read_csv(spark, path, schema="doc_id long, text string, lang string, source string")
+    return back.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "lang", "source")
+
+
 # --- runs ---------------------------------------------------------------------
 
 _RUNS = "SELECT event_id, event_type AS model, 'k' || (user_id % 4) AS feature_config, CASE WHEN user_id % 5 = 0 THEN NULL ELSE 'ce' END AS loss_type, value AS f1_malware, value * 0.5 AS fpr FROM events"

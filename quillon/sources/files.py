@@ -55,9 +55,9 @@ def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").options(header="true", quote='"', escape='"').csv(path)
 
 
-def write_text(lines: DataFrame, path: str) -> None:
-    """One string column as a text report."""
-    lines.coalesce(1).write.mode("overwrite").text(path)
+def write_text(lines: DataFrame, path: str, single: bool = True) -> None:
+    """One string column as a text report, in one file or in files whose order is the lines'."""
+    (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
 
 
 def key_of(*parts: str) -> str:

@@ -4,10 +4,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from quillon import cli
 from quillon.functions import cmdline
-from quillon.operators import clean, features, gnn, graph, metrics, runs, serving, tree_graphs
+from quillon.operators import clean, features, gnn, graph, metrics, reports, runs, serving, split, tree_graphs
 from quillon.sources import files, shared
 
 HERE = Path(__file__).parent / "fixtures"
@@ -92,6 +93,8 @@ def test_shell(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "f1_macro" in said and "combined" in said and "batch_ms_mean" in said
     assert files.read_csv(spark, f"{where}/out").count() == labelled.count()
+    cli.main(["evaluate", *tables, *(f"file://{HERE}/test_{n}_unique.csv" for n in ("malware", "clean")), "--root", where, "--model", "gin", "--out", f"{where}/evaluation"])
+    assert "validation" in capsys.readouterr().out and spark.read.text(f"{where}/evaluation/later_confusion").count() == 13
     cli.main(["summarize", f"{where}/experiment_summary", "--out", f"{where}/summary"])
     assert "accuracy_mean" in capsys.readouterr().out and files.read_csv(spark, f"{where}/summary/groups").count() == 1
 
@@ -231,3 +234,33 @@ def test_kept_graphs_are_made_once(spark, tmp_path):
         assert "Exchange" not in plan and "SortMergeJoin" in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dropped_rows_are_counted_by_the_writing_job(spark, tmp_path):
+    lines = [("cmd.exe /c dir c:\\temp a b c", "p"), ("cmd.exe /c dir c:\\temp a b c", "p"), ("x y", "p"), (None, "p"), ("powershell -nop -w hidden x y z", None), ("wmic process 55 get name a b", "p")]
+    seen = Observation("unique")
+    out = clean.make_unique(spark.createDataFrame(lines, "command_line string, process_name string"), seen)
+    out.write.parquet(f"file://{tmp_path}/u")
+    kept = spark.read.parquet(f"file://{tmp_path}/u").count()
+    assert seen.get == {"rows": 6, "with_null": 2, "not_parsed": 0, "not_valid": 1, "kept": 3} and kept == 2
+
+
+def test_evaluation_leaves_out_what_training_saw(spark, tmp_path, capsys):
+    rows = serving.labelled_commands(unique(spark, "malware"), unique(spark, "clean"))
+    later = serving.labelled_commands(unique(spark, "test_malware"), unique(spark, "test_clean"))
+    known = rows.limit(6).withColumn("key", F.concat(F.lit("again-"), "key"))  # later tables repeat some commands
+    model = gnn.Model("gcn", runs.input_width(0, True, True), hidden=8).start(1)
+    got = serving.evaluate(rows, later.unionByName(known, allowMissingColumns=True), model, "syntactic_positional", "all", 3, 0.3, ["tree"]).collect()
+    halves = split.stratified_split(rows.select("key", "label"), "key", 3, 0.3).join(rows.select("key", "tree"), "key").collect()
+    trained = {r.tree for r in halves if not r.is_test}
+    assert not trained & {r.tree for r in got}
+    assert {r.graph_id for r in got if r.part == "validation"} == {r.key for r in halves if r.is_test and r.tree is not None and r.tree not in trained}
+    want = {r.key for r in later.collect() if r.tree is not None and r.tree not in trained} | {r.key for r in known.collect() if r.tree not in trained}
+    assert {r.graph_id for r in got if r.part == "later"} == want
+
+
+def test_reports(spark):
+    judged = spark.createDataFrame([("a", 0, 1, "x\ny"), ("b", 0, 1, "z"), ("c", 1, 0, "w"), ("d", 1, 1, "v"), ("e", 0, 0, "u")], "key string, label int, pred int, text string")
+    lines = [r.line for r in reports.confusion(judged, "title").collect()]
+    assert lines[0] == "title" and lines[3].split() == ["is", "clean", "1", "2"] and lines[4].split() == ["is", "malware", "1", "1"] and "accuracy            0.4000" in lines
+    assert [r.line for r in reports.wrong(judged, "key", "text").collect()] == ["false positives (clean, judged malware): 2", "1. x\\ny", "2. z", "false negatives (malware, judged clean): 1", "1. w"]
