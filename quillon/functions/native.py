@@ -31,7 +31,7 @@ def _rule(name: str) -> tuple[str, str]:
 
 def java_template(template: str) -> str:
     """Group marks and literal dollars and backslashes as Java's replacements write them."""
-    return re.sub(r"\\(\d)|([$\\])", lambda m: f"${m[1]}" if m[1] else "\\" + m[2], template)
+    return re.sub(r"\\(\d)|\\?([$\\])", lambda m: f"${m[1]}" if m[1] else "\\" + m[2], template)
 
 
 def apply(text: Column, *names: str) -> Column:

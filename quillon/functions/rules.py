@@ -113,24 +113,30 @@ class State:
     slash: bool = False
 
 
-def _has(*words: str) -> Callable[[State], bool]:
-    return lambda s: any(w in s.text for w in words)
+@dataclass(frozen=True)
+class Gate:
+    """What must hold for a rule to run: one of some words in the text, one of some in the snapshot of the lower-case text, a slash at its mark."""
 
+    text: tuple[str, ...] = ()
+    lower: tuple[str, ...] = ()
+    slash: bool = False
 
-def _had(*words: str) -> Callable[[State], bool]:
-    return lambda s: any(w in s.lower for w in words)
+    def __call__(self, s: State) -> bool:
+        return (not self.text or any(w in s.text for w in self.text)) and (not self.lower or any(w in s.lower for w in self.lower)) and (not self.slash or s.slash)
 
 
-def _slash(s: State) -> bool:
-    return s.slash
+def _has(*words: str) -> Gate:
+    return Gate(text=words)
 
 
-_CMD, _SHELL, _TEMP, _BUILD, _GIT, _WMIC = _had("cmd.exe"), _had("powershell.exe"), _had("temp"), _had("msbuild", "msvc", "vcxproj"), _had("git"), _had("wmic")
-_SCRIPTS, _ADDRESS, _PORT = _had("wscript", "vbs"), _has("_ip"), _has(" --port")
+def _had(*words: str) -> Gate:
+    return Gate(lower=words)
 
 
-def _caret(s: State) -> bool:
-    return _CMD(s) and "^" in s.text
+_slash = Gate(slash=True)
+_CMD, _SHELL, _TEMP, _BUILD, _GIT, _WMIC = _had("cmd.exe"), _had("powershell.exe"), _had("temp"), _had("msbuild", "msvc", "vcxproj"), _had("git"), _had("wmic")
+_SCRIPTS, _ADDRESS, _PORT = _had("wscript", "vbs"), _has("_ip"), _has(" --port")
+_caret = Gate(text=("^",), lower=("cmd.exe",))
 
 
 @dataclass(frozen=True)
@@ -138,7 +144,7 @@ class Rule:
     number: int
     pattern: regex.Pattern
     replacement: str | Callable[[regex.Match], str]
-    gate: Callable[[State], bool] | None = None
+    gate: Gate | None = None
     name: str = ""
 
     def __call__(self, s: State) -> None:
