@@ -74,6 +74,23 @@ def reduce_quotes(command: Column) -> Column:
     return F.trim(F.regexp_replace(c, r'""([^\s"]+)""', '"$1"'))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any alphabet at both ends."""
+    return F.regexp_replace(text, r"^(?U)\s+|(?U)\s+$", "")
+
+
+def prepared(command: Column) -> Column:
+    """Operators set apart, spaces and quotes reduced, redirections tagged: cmdline.prepared as an expression. Looking back over a tag's name is bounded, as this engine's patterns ask."""
+    from . import cmdline
+
+    operators = cmdline.OPERATORS.pattern.replace("[a-zA-Z0-9_]+)", "[a-zA-Z0-9_]{1,64})")
+    text = F.regexp_replace(F.regexp_replace(strip(command), operators, " $1 "), r"(?U)\s{2,}", " ")
+    lead, trail = F.length(F.regexp_extract(text, '^"*', 0)), F.length(F.regexp_extract(text, '"*$', 0))
+    text = F.when((F.least(lead, trail) >= 1) & (F.greatest(lead, trail) >= 3), F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    text = F.regexp_replace(F.regexp_replace(text, r'(?U)""([^\s"]+)""', '"$1"'), r"(?U)" + cmdline.OPEN_ANGLE.pattern, "< ")
+    return strip(F.regexp_replace(text, r"(?U)" + cmdline.REDIRECT.pattern, "<r>"))
+
+
 def plain_split(text: Column) -> Column:
     """Tokens between white space; a quoted stretch, without its quotes, is one of its own wherever it begins. A quote that nothing closes is a character like others."""
     found = F.regexp_extract_all(text, F.lit(r'(?U)"[^"]*"|\S+'), F.lit(0))

@@ -1,4 +1,4 @@
-"""The rewrite program as column expressions: all rules in order, a projection each, in the JVM.
+"""The rewrite program as column expressions: all rules in order, some in a projection, in the JVM.
 
 What a template cannot say is made of the matches: the
 text is what lies between them and what each match's groups become. Payloads
@@ -8,6 +8,7 @@ inside calls are the last rule's; they are decoded by a helper over the matches.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -31,15 +32,27 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def java(pattern: str) -> str:
-    return UNICODE + pattern
+def java(pattern: str, ascii_: Column | None = None) -> Column:
+    """A pattern; texts that ascii_ says are ASCII get it without the flag, which gives the same there and costs a fraction. Spark keeps the pattern that it used last."""
+    whole = F.lit(UNICODE + pattern)
+    return whole if ascii_ is None else F.when(ascii_, F.lit(pattern)).otherwise(whole)
 
 
-def made(text: Column, pattern: str, groups: list[int], of_groups: Made) -> Column:
+def occurs(text: Column, pattern: str, ascii_: Column | None = None) -> Column:
+    """Whether the pattern occurs. Such tests keep their pattern only if it is a constant, so there are two."""
+    unicode = text.rlike(UNICODE + pattern)
+    return unicode if ascii_ is None else F.when(ascii_, text.rlike(pattern)).otherwise(unicode)
+
+
+def made(text: Column, pattern: str, groups: list[int], of_groups: Made, ascii_: Column | None = None) -> Column:
     """The text with each match replaced by what its groups become. Groups that take no part are empty."""
-    lists = [F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(g)) for g in groups]
-    between = F.split(text, java(pattern), -1)
-    return bound(F.struct(between.alias("b"), *(x.alias(f"g{i}") for i, x in enumerate(lists))), lambda s: _woven(s, len(groups), of_groups))
+    lists = [F.regexp_extract_all(text, java(pattern, ascii_), F.lit(g)) for g in groups]
+    between = F.split(text, UNICODE + pattern, -1)
+    return F.when(~occurs(text, pattern, ascii_), text).otherwise(_woven_of(between, lists, of_groups))
+
+
+def _woven_of(between: Column, lists: list[Column], of_groups: Made) -> Column:
+    return bound(F.struct(between.alias("b"), *(x.alias(f"g{i}") for i, x in enumerate(lists))), lambda s: _woven(s, len(lists), of_groups))
 
 
 def _woven(s: Column, n: int, of_groups: Made) -> Column:
@@ -110,6 +123,7 @@ MADE: dict[str, tuple[list[int], Made]] = {
     "simple_relative": ([0], lambda gs: _of_name(gs[0])),
 }
 PAYLOADS = "base64_call"
+TOGETHER = 6  # rules in a projection
 #: What a text must hold for a rule to match, by the rule's name.
 NEED = {name: test for test, names in rules.NEEDS for name in names}
 
@@ -124,30 +138,30 @@ def _decoded(text: Column) -> Column:
     """The last rule, outside of functions of elements, where no helper can be called."""
     ship(SparkSession.getActiveSession())
     pattern = rules.RULES[PAYLOADS].pattern.pattern
-    found = _payload_texts(F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(1)))
+    found = _payload_texts(F.regexp_extract_all(text, java(pattern), F.lit(1)))
     become = F.transform(found, lambda t: F.coalesce(F.replace(t, F.lit("'"), F.lit("''")), F.lit("<payload>")))
-    between = F.split(text, java(pattern), -1)
+    between = F.split(text, UNICODE + pattern, -1)
     woven = F.array_join(F.flatten(F.transform(F.arrays_zip(between.alias("b"), become.alias("g")), lambda x: F.array(x["b"], F.coalesce(x["g"], F.lit(""))))), "")
-    return F.when(text.rlike(java(pattern)), woven).otherwise(text)
+    return F.when(occurs(text, pattern), woven).otherwise(text)
 
 
-def _need(name: str, text: Column) -> Column | None:
+def _need(name: str, text: Column, ascii_: Column | None) -> Column | None:
     need = NEED.get(name)
     if need is None:
         return None
-    return F.contains(text, F.lit(need)) if isinstance(need, str) else text.rlike(java(need.pattern))
+    return F.contains(text, F.lit(need)) if isinstance(need, str) else occurs(text, need.pattern, ascii_)
 
 
-def one(name: str, text: Column, lower: Column, slash: Column) -> Column:
-    """A text after one rule, its gate looking at the text and at the snapshots."""
+def one(name: str, text: Column, lower: Column, slash: Column, ascii_: Column | None = None) -> Column:
+    """A text after one rule, its gate looking at the text and at the snapshots. ascii_ may say that a text is ASCII."""
     rule = rules.RULES[name]
-    tests = [t for t in (_gate(rule.gate, text, lower, slash), _need(name, text)) if t is not None]
+    tests = [t for t in (_gate(rule.gate, text, lower, slash), _need(name, text, ascii_)) if t is not None]
     if name == PAYLOADS:
         out = _decoded(text)
     elif name in MADE:
-        out = made(text, rule.pattern.pattern, *MADE[name])
+        out = made(text, rule.pattern.pattern, *MADE[name], ascii_)
     else:
-        out = F.regexp_replace(text, java(rule.pattern.pattern), java_template(rule.replacement))
+        out = F.regexp_replace(text, java(rule.pattern.pattern, ascii_), F.lit(java_template(rule.replacement)))
     if not tests:
         return out
     test = tests[0]
@@ -168,19 +182,49 @@ def _gate(gate: rules.Gate | None, text: Column, lower: Column, slash: Column) -
     return out
 
 
-def rewrite(df: DataFrame, command: str, out: str = "rewritten") -> DataFrame:
-    """df with the command after all rules. A projection a rule: each reads the text more than once, so Spark keeps it as a step of its own."""
-    text, low, slash = "__text", "__low", "__slash"
-    plain = F.col(command).rlike(r'^"*[Cc]:\\[\\0-9A-Za-z_ ]*\.exe"*$')
-    df = df.withColumns({text: F.when(plain, _shorten_exe(F.col(command))).otherwise(F.col(command)), low: F.lit(""), slash: F.lit(False)})
-    for step in rules.PROGRAM:
+def _chain(text: Column, names: list[str], low: Column, slash: Column, ascii_: Column) -> Column:
+    """Rules one after the other, each bound to what the one before left."""
+
+    def after(name: str) -> Callable[[Column], Column]:
+        return lambda t: one(name, t, low, slash, ascii_)
+
+    for name in names:
+        text = bound(text, after(name))
+    return text
+
+
+TEXT, LOW, SLASH, ASCII = "__text", "__low", "__slash", "__ascii"
+
+
+@cache
+def steps(application: str) -> list[tuple[str, Column]]:
+    """The program's projections: a column and its expression each. They are made once an application, since making them takes longer than planning with them."""
+    text, low, slash, ascii_ = F.col(TEXT), F.col(LOW), F.col(SLASH), F.col(ASCII)
+    out: list[tuple[str, Column]] = []
+    waiting: list[str] = []
+    for step in [*rules.PROGRAM, "end"]:
+        name = step if isinstance(step, str) else step.name
+        if waiting and (name is step or name == PAYLOADS or len(waiting) == TOGETHER):
+            out.append((TEXT, F.when(text.isNotNull(), _chain(text, waiting, low, slash, ascii_))))
+            waiting = []
         if step == "lower":
-            df = df.withColumn(low, F.lower(text))
+            out.append((LOW, F.lower(text)))
         elif step == "slash":
-            df = df.withColumn(slash, F.contains(F.col(text), F.lit("/")))
-        else:
-            df = df.withColumn(text, one(step.name, F.col(text), F.col(low), F.col(slash)))
-    return df.withColumn(out, F.regexp_replace(text, r"^(?U)\s+|(?U)\s+$", "")).drop(text, low, slash)
+            out.append((SLASH, F.contains(text, F.lit("/"))))
+        elif name == PAYLOADS:
+            out.append((TEXT, one(name, text, low, slash)))
+        elif name is not step:
+            waiting.append(name)
+    return out
+
+
+def rewrite(df: DataFrame, command: str, out: str = "rewritten") -> DataFrame:
+    """df with the command after all rules, some in a projection. Each projection reads the text twice, so that Spark keeps it as a step of its own: all rules in one expression would be too deep for its planner."""
+    plain = F.col(command).rlike(r'^"*[Cc]:\\[\\0-9A-Za-z_ ]*\.exe"*$')
+    df = df.withColumns({TEXT: F.when(plain, _shorten_exe(F.col(command))).otherwise(F.col(command)), LOW: F.lit(""), SLASH: F.lit(False), ASCII: ~F.col(command).rlike(r"[^\x00-\x7F]")})
+    for name, value in steps(df.sparkSession.sparkContext.applicationId):
+        df = df.withColumn(name, value)
+    return df.withColumn(out, native.strip(F.col(TEXT))).drop(TEXT, LOW, SLASH, ASCII)
 
 
 def _shorten_exe(command: Column) -> Column:

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cmdline, rules
+from ..functions import cmdline, program, rules
 from ..functions.shipping import ship
+from ..sources.shared import stored
+from . import parsing
 from .features import ascii_share
 
 # Endings and tags that stand for files, and the least numbers of tokens of a command without and with a file.
@@ -84,25 +86,48 @@ def as_arrow(rows: list[tuple]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(trees, pa.string()), _lists(tokens, words), pa.array(errors, pa.string()), _lists(nodes, node_values)], PARSED.names)
 
 
+def finished_row(command: str | None, process: str | None, items: str | None, error: str | None) -> tuple:
+    """parse_row's result, out of what parsing by levels found (members of the tree as JSON, or an error)."""
+    if command is None:
+        return None, None, None, None
+    if error is not None:
+        return None, None, error, None
+    tree = process if not command or cmdline.few_ascii(command) else cmdline.with_program(_tuples(json.loads(items)), process)
+    return json.dumps(tree, ensure_ascii=False), [] if tree is None else cmdline.flat(tree), None, arena(tree)
+
+
+@F.arrow_udf(PARSED)
+def _finished(commands: pa.Array, processes: pa.Array, items: pa.Array, errors: pa.Array) -> pa.Array:
+    return as_arrow([finished_row(*row) for row in zip(*(x.to_pylist() for x in (commands, processes, items, errors)))])
+
+
+@F.arrow_udf(PARSED)
+def _split_only(commands: pa.Array, processes: pa.Array) -> pa.Array:
+    return as_arrow([parse_row(c, p, False) for c, p in zip(commands.to_pylist(), processes.to_pylist())])
+
+
 def parsed(df: DataFrame, command: str = "command_line", process: str | None = None, rules_on: bool = True) -> DataFrame:
     """df with tree (JSON), tokens, valid, error and nodes.
 
-    Equal commands are parsed once: distinct ones are dealt by their digest to at
-    least two tasks a core, since the parser costs far more than their bytes tell,
-    and results are joined back by digest, without the text.
+    Distinct commands are parsed once, level by level (parsing.values), dealt by
+    their digest to at least two tasks a core; results are joined back by digest,
+    without the text. Without rules a command is split where it is.
     """
     spark = df.sparkSession
     ship(spark)
     keys = [command] + ([process] if process else [])
-
-    @F.arrow_udf(PARSED)
-    def parse(commands: pa.Array, processes: pa.Array) -> pa.Array:
-        return as_arrow([parse_row(c, p, rules_on) for c, p in zip(commands.to_pylist(), processes.to_pylist())])
-
+    of = F.col(process) if process else F.lit(None).cast("string")
     digest = F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in keys)).cast("binary")))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     once = df.select(*keys).distinct().withColumn("__digest", digest).repartition(tasks, "__digest")
-    once = once.select("__digest", parse(F.col(command), F.col(process) if process else F.lit(None).cast("string")).alias("__parsed"))
+    if rules_on:
+        once = stored(once, "commands")
+        found = parsing.values(once.select(F.md5(F.col(command).cast("binary")).alias("id"), F.col(command).alias("text")).where("text <> ''").dropDuplicates(["id"]))
+        found = found.select(F.col("id").alias("__id"), F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("__items"), F.col("error").alias("__error"))
+        once = once.join(found, F.md5(F.col(command).cast("binary")) == F.col("__id"), "left")
+        once = once.select("__digest", _finished(F.col(command), of, F.col("__items"), F.col("__error")).alias("__parsed"))
+    else:
+        once = once.select("__digest", _split_only(F.col(command), of).alias("__parsed"))
     rows = df.withColumn("__of", digest).join(once, F.col("__of") == F.col("__digest"))
     return rows.select(*df.columns, *parsed_columns(F.col(command), F.col("__parsed")))
 
@@ -114,20 +139,12 @@ def parsed_columns(command: Column, row: Column) -> list[Column]:
     return [row["tree"].alias("tree"), row["tokens"].alias("tokens"), valid.alias("valid"), row["error"].alias("error"), row["nodes"].alias("nodes")]
 
 
-@F.pandas_udf(T.StringType())
-def _one_rule(names: pd.Series, texts: pd.Series) -> pd.Series:
-    out = []
-    for name, text in zip(names, texts):
-        state = rules.State(text, text.lower(), "/" in text)
-        rules.RULES[name](state)
-        out.append(state.text)
-    return pd.Series(out)
-
-
 def one_rule(name: Column, text: Column) -> Column:
     """A text after one rule of the program alone, its gate looking at this text."""
-    ship(SparkSession.getActiveSession())
-    return _one_rule(name, text)
+    out = text
+    for rule in rules.RULES:
+        out = F.when(name == rule, program.one(rule, text, F.lower(text), F.contains(text, F.lit("/")))).otherwise(out)
+    return out
 
 
 def mostly_ascii(df: DataFrame, command: str = "command_line", least: float = 0.8) -> DataFrame:
