@@ -16,6 +16,7 @@ TABLES = ("malware", "clean", "test_malware", "test_clean")
 
 def unique(spark: SparkSession, args) -> None:
     """Each raw table NAME.csv of a folder to NAME_unique.csv, by descending text."""
+    spark = spark.newSession()  # of its own, as make_unique asks
     for name in args.tables:
         seen = Observation(name)
         out = clean.make_unique(files.read_commands(spark, f"{args.folder}/{name}.csv"), seen)

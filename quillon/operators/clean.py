@@ -179,7 +179,9 @@ def make_unique(raw: DataFrame, seen: Observation | None = None) -> DataFrame:
 
     seen is told, by the job that writes the result, of rows: how many there were,
     how many had a null, were not parsed, were parsed but are no valid command, and
-    were kept. It is one pass, and no job more.
+    were kept. It is one pass, and no job more. Give it tables of a session of their
+    own (newSession): what observes cannot be sent to tasks, and closures of some
+    learners hold their session.
     """
     process = "process_name" if "process_name" in raw.columns else None
     whole = F.lit(True)

@@ -239,7 +239,7 @@ def test_kept_graphs_are_made_once(spark, tmp_path):
 def test_dropped_rows_are_counted_by_the_writing_job(spark, tmp_path):
     lines = [("cmd.exe /c dir c:\\temp a b c", "p"), ("cmd.exe /c dir c:\\temp a b c", "p"), ("x y", "p"), (None, "p"), ("powershell -nop -w hidden x y z", None), ("wmic process 55 get name a b", "p")]
     seen = Observation("unique")
-    out = clean.make_unique(spark.createDataFrame(lines, "command_line string, process_name string"), seen)
+    out = clean.make_unique(spark.newSession().createDataFrame(lines, "command_line string, process_name string"), seen)
     out.write.parquet(f"file://{tmp_path}/u")
     kept = spark.read.parquet(f"file://{tmp_path}/u").count()
     assert seen.get == {"rows": 6, "with_null": 2, "not_parsed": 0, "not_valid": 1, "kept": 3} and kept == 2
