@@ -74,21 +74,41 @@ def reduce_quotes(command: Column) -> Column:
     return F.trim(F.regexp_replace(c, r'""([^\s"]+)""', '"$1"'))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any alphabet at both ends."""
-    return F.regexp_replace(text, r"^(?U)\s+|(?U)\s+$", "")
+    solid = lambda c: F.ascii(c).between(33, 126)
+    return F.when(solid(text) & solid(F.right(text, F.lit(1))), text).otherwise(F.regexp_replace(text, r"^(?U)\s+|(?U)\s+$", ""))
+
+
+def _where(text: Column, literals: tuple[str, ...], out: Column) -> Column:
+    """out for texts that hold one of the literals; others stay."""
+    some = F.lit(False)
+    for x in literals:
+        some = some | F.contains(text, F.lit(x))
+    return F.when(some, out).otherwise(text)
 
 
 def prepared(command: Column) -> Column:
-    """Operators set apart, spaces and quotes reduced, redirections tagged: cmdline.prepared as an expression. Looking back over a tag's name is bounded, as this engine's patterns ask."""
+    """Operators set apart, spaces and quotes reduced, redirections tagged: cmdline.prepared as an expression. Looking back over a tag's name is bounded, as this engine's patterns ask. Each step is bound to what the one before left, and looks for a literal that it needs before its pattern is tried."""
     from . import cmdline
 
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     operators = cmdline.OPERATORS.pattern.replace("[a-zA-Z0-9_]+)", "[a-zA-Z0-9_]{1,64})")
-    text = F.regexp_replace(F.regexp_replace(strip(command), operators, " $1 "), r"(?U)\s{2,}", " ")
-    lead, trail = F.length(F.regexp_extract(text, '^"*', 0)), F.length(F.regexp_extract(text, '"*$', 0))
-    text = F.when((F.least(lead, trail) >= 1) & (F.greatest(lead, trail) >= 3), F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-    text = F.regexp_replace(F.regexp_replace(text, r'(?U)""([^\s"]+)""', '"$1"'), r"(?U)" + cmdline.OPEN_ANGLE.pattern, "< ")
-    return strip(F.regexp_replace(text, r"(?U)" + cmdline.REDIRECT.pattern, "<r>"))
+    spaces = lambda t: F.when(is_ascii(t) & ~t.rlike(r"[\t-\r]|  "), t).otherwise(F.regexp_replace(t, r"(?U)\s{2,}", " "))
+
+    def unquoted(t: Column) -> Column:
+        lead, trail = F.length(t) - F.length(F.ltrim(t, F.lit('"'))), F.length(t) - F.length(F.rtrim(t, F.lit('"')))
+        return F.when((F.least(lead, trail) >= 1) & (F.greatest(lead, trail) >= 3), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+
+    text = bound(strip(command), lambda t: _where(t, ("|", "&", ">>", "<<"), F.regexp_replace(t, operators, " $1 ")))
+    text = bound(bound(text, spaces), unquoted)
+    text = bound(text, lambda t: _where(t, ('""',), F.regexp_replace(t, r'(?U)""([^\s"]+)""', '"$1"')))
+    text = bound(text, lambda t: _where(t, ("<",), F.regexp_replace(t, r"(?U)" + cmdline.OPEN_ANGLE.pattern, "< ")))
+    return bound(bound(text, lambda t: _where(t, (">&", "&>"), F.regexp_replace(t, r"(?U)" + cmdline.REDIRECT.pattern, "<r>"))), strip)
 
 
 def plain_split(text: Column) -> Column:

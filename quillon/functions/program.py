@@ -8,7 +8,8 @@ inside calls are the last rule's; they are decoded by a helper over the matches.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 import pyarrow as pa
 import regex
@@ -126,6 +127,14 @@ PAYLOADS = "base64_call"
 TOGETHER = 6  # rules in a projection
 #: What a text must hold for a rule to match, by the rule's name.
 NEED = {name: test for test, names in rules.NEEDS for name in names}
+#: Of rules that ignore case: literals of which an ASCII text in lower case holds one wherever the rule matches. A look for one costs a fraction of a pattern's.
+LITERALS: dict[str, tuple[str, ...]] = {
+    "chrome_extension": ("chrome-extension://",), "echo_pass": ("echo",), "cmd_separators": (",", ";"), "tcp_host_port": ("tcp:",), "environment_call": ("getenvironmentvariable",), "port_option_equals": ("--port=",), "port_equals": ("port",),
+    "metric": ("metric",), "interface": ("interface",), "name_number": ("name", "/pjob"), "skip": ("skip", "seconds", "timespan"), "pid": ("pid",), "process_id": ("processid", "idprocess"), "parent_process_id": ("parentprocessid",),
+    "event_id": ("eventid", "idevent"), "find_pid": ("find",), "code_page": ("chcp",), "api_key": ("-apikey",), "key_option": ("key=", "key:"), "token_option": ("-token", "auth"), "pipe_name": ("-pipename", "-instancename"), "password": ("password",),
+    "username": ("username=", "user="), "url_password": ("pwd=",), "account_key": ("-acctkey",), "arn": ("arn:aws:",), "encoded_params": ("encoded",), "amp": ("amp=", "amp:"), "wmic_node": ("/node:",), "certificate": ("certhash", "code"),
+    "url": ("http://", "https://"), "url_address": ("http://", "https://"), "sid": ("s-1-",), "task_time": ("/st", "/du"), "base64_call": ("frombase64string", "b64decode"), "current_date": ("curdate=",), "load_numbers": ("loadrepno=",), "tries": ("/try:",), "install_key": ("-ipk",),
+} | dict.fromkeys(("program_files", "program_data", "users", "windows", "drive_c"), ("c:/", "c:\\", "/c/", "/c\\", "\\c/", "\\c\\"))
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -147,6 +156,10 @@ def _decoded(text: Column) -> Column:
 
 def _need(name: str, text: Column, ascii_: Column | None) -> Column | None:
     need = NEED.get(name)
+    if name in LITERALS and ascii_ is not None:
+        some = lambda low: reduce(or_, (F.contains(low, F.lit(x)) for x in LITERALS[name]))
+        other = _need(name, text, None)
+        return F.when(ascii_, bound(F.lower(text), some)).otherwise(F.lit(True) if other is None else other)
     if need is None:
         return None
     return F.contains(text, F.lit(need)) if isinstance(need, str) else occurs(text, need.pattern, ascii_)
@@ -198,7 +211,7 @@ TEXT, LOW, SLASH, ASCII = "__text", "__low", "__slash", "__ascii"
 
 @cache
 def steps(application: str) -> list[tuple[str, Column]]:
-    """The program's projections: a column and its expression each. They are made once an application, since making them takes longer than planning with them."""
+    """The projections of all rules but the last: a column and its expression each. They are made once an application, since making them takes longer than planning with them."""
     text, low, slash, ascii_ = F.col(TEXT), F.col(LOW), F.col(SLASH), F.col(ASCII)
     out: list[tuple[str, Column]] = []
     waiting: list[str] = []
@@ -211,20 +224,34 @@ def steps(application: str) -> list[tuple[str, Column]]:
             out.append((LOW, F.lower(text)))
         elif step == "slash":
             out.append((SLASH, F.contains(text, F.lit("/"))))
-        elif name == PAYLOADS:
-            out.append((TEXT, one(name, text, low, slash)))
-        elif name is not step:
+        elif name is not step and name != PAYLOADS:
             waiting.append(name)
     return out
 
 
-def rewrite(df: DataFrame, command: str, out: str = "rewritten") -> DataFrame:
-    """df with the command after all rules, some in a projection. Each projection reads the text twice, so that Spark keeps it as a step of its own: all rules in one expression would be too deep for its planner."""
+def few_ascii(text: Column) -> Column:
+    """cmdline.few_ascii as an expression."""
+    outside = F.length(F.regexp_replace(text, r"[\x00-\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", ""))
+    return ~native.is_ascii(text) & ((F.length(text) - outside) / F.length(text) < 0.8)
+
+
+def rewrite_but_payloads(df: DataFrame, command: str, out: str = "rewritten") -> DataFrame:
+    """df with the command after all rules but the last, some in a projection. Each projection reads the text twice, so that Spark keeps it as a step of its own: all rules in one expression would be too deep for its planner."""
     plain = F.col(command).rlike(r'^"*[Cc]:\\[\\0-9A-Za-z_ ]*\.exe"*$')
-    df = df.withColumns({TEXT: F.when(plain, _shorten_exe(F.col(command))).otherwise(F.col(command)), LOW: F.lit(""), SLASH: F.lit(False), ASCII: ~F.col(command).rlike(r"[^\x00-\x7F]")})
+    df = df.withColumns({TEXT: F.when(plain, _shorten_exe(F.col(command))).otherwise(F.col(command)), LOW: F.lit(""), SLASH: F.lit(False), ASCII: native.is_ascii(F.col(command))})
     for name, value in steps(df.sparkSession.sparkContext.applicationId):
         df = df.withColumn(name, value)
-    return df.withColumn(out, native.strip(F.col(TEXT))).drop(TEXT, LOW, SLASH, ASCII)
+    return df.withColumn(out, F.col(TEXT)).drop(TEXT, LOW, SLASH, ASCII)
+
+
+def payloads_decoded(text: Column) -> Column:
+    """What the program makes of a text that has passed all rules but the last."""
+    return native.strip(one(PAYLOADS, text, F.lit(""), F.lit(False)))
+
+
+def rewrite(df: DataFrame, command: str, out: str = "rewritten") -> DataFrame:
+    """df with the command after all rules."""
+    return rewrite_but_payloads(df, command, out).withColumn(out, payloads_decoded(F.col(out)))
 
 
 def _shorten_exe(command: Column) -> Column:

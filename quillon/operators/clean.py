@@ -24,6 +24,9 @@ FEW, FEW_WITH_FILE = 4, 6
 ARENA = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("idx", "parent", "pos", "depth", "subtree")] + [T.StructField("value", T.StringType())]))
 PARSED = T.StructType([T.StructField("tree", T.StringType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()), T.StructField("nodes", ARENA)])
 
+# What a command is: null, one that gives its process name alone, or one to parse.
+NULL, PROCESS_ALONE, WHOLE = range(3)
+
 READ = T.StructType([PARSED["tree"], PARSED["tokens"], PARSED["nodes"]])
 
 
@@ -86,19 +89,19 @@ def as_arrow(rows: list[tuple]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(trees, pa.string()), _lists(tokens, words), pa.array(errors, pa.string()), _lists(nodes, node_values)], PARSED.names)
 
 
-def finished_row(command: str | None, process: str | None, items: str | None, error: str | None) -> tuple:
-    """parse_row's result, out of what parsing by levels found (members of the tree as JSON, or an error)."""
-    if command is None:
+def finished_row(kind: int, process: str | None, items: str | None, error: str | None) -> tuple:
+    """parse_row's result, out of a command's kind and what parsing by levels found (members of the tree as JSON, or an error)."""
+    if kind == NULL:
         return None, None, None, None
     if error is not None:
         return None, None, error, None
-    tree = process if not command or cmdline.few_ascii(command) else cmdline.with_program(_tuples(json.loads(items)), process)
+    tree = process if kind == PROCESS_ALONE else cmdline.with_program(_tuples(json.loads(items)), process)
     return json.dumps(tree, ensure_ascii=False), [] if tree is None else cmdline.flat(tree), None, arena(tree)
 
 
 @F.arrow_udf(PARSED)
-def _finished(commands: pa.Array, processes: pa.Array, items: pa.Array, errors: pa.Array) -> pa.Array:
-    return as_arrow([finished_row(*row) for row in zip(*(x.to_pylist() for x in (commands, processes, items, errors)))])
+def _finished(kinds: pa.Array, processes: pa.Array, items: pa.Array, errors: pa.Array) -> pa.Array:
+    return as_arrow([finished_row(*row) for row in zip(*(x.to_pylist() for x in (kinds, processes, items, errors)))])
 
 
 @F.arrow_udf(PARSED)
@@ -106,29 +109,56 @@ def _split_only(commands: pa.Array, processes: pa.Array) -> pa.Array:
     return as_arrow([parse_row(c, p, False) for c, p in zip(commands.to_pylist(), processes.to_pylist())])
 
 
-def parsed(df: DataFrame, command: str = "command_line", process: str | None = None, rules_on: bool = True) -> DataFrame:
-    """df with tree (JSON), tokens, valid, error and nodes.
+def _text_id(*texts: Column) -> Column:
+    """A digest of texts, any of which may be null."""
+    return F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)).cast("binary")))
+
 
-    Distinct commands are parsed once, level by level (parsing.values), dealt by
-    their digest to at least two tasks a core; results are joined back by digest,
-    without the text. Without rules a command is split where it is.
+def parsed_by_tree(df: DataFrame, command: str = "command_line", process: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """df with __key, and a table of __key and __parsed, the parser's struct: commands of one shape and process share it.
+
+    Distinct commands pass the rules once, dealt by their text to at least two tasks
+    a core; what the rules leave of them, their shape, is parsed once (parsing).
+    Rows find their command's key by its digest, without the text.
     """
     spark = df.sparkSession
     ship(spark)
-    keys = [command] + ([process] if process else [])
-    of = F.col(process) if process else F.lit(None).cast("string")
-    digest = F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.length(k).cast("string"), F.lit(":"), F.col(k)), F.lit("-")) for k in keys)).cast("binary")))
+    text, of = F.col("__raw"), F.col("__process")
+    named = [F.col(command).alias("__raw"), (F.col(process) if process else F.lit(None).cast("string")).alias("__process")]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    once = df.select(*keys).distinct().withColumn("__digest", digest).repartition(tasks, "__digest")
+    kind = F.when(text.isNull(), NULL).when((text == "") | program.few_ascii(text), PROCESS_ALONE).otherwise(WHOLE)
+    once = df.select(*named).repartition(tasks, "__raw", "__process").distinct().withColumn("__kind", kind)
+    once = parsing.rewritten(once.withColumn("__whole", F.when(F.col("__kind") == WHOLE, text)), "__whole", "__shape").drop("__whole")
+    once = stored(once.withColumns({"__id": _text_id(text, of), "__of": parsing.shape_id(F.col("__shape"))}), "commands")
+    found = parsing.shape_values(once.where("__shape is not null").groupBy(F.col("__of").alias("id")).agg(F.first("__shape").alias("shape")))
+    # commands that stand inside their own deep parts have values of their own
+    looping = stored(once.join(found.where(F.size("deep") > 0).select(F.col("id").alias("__of"), "deep"), "__of").where(F.array_contains("deep", text)).select("__id", "__raw", "__process", "__kind"), "looping")
+    whole = lambda rows: rows.select(F.col("id").alias("__value"), F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("__items"), F.col("error").alias("__error"))
+    values = whole(found)
+    keyed = once.select("__id", "__kind", "__process", F.col("__of").alias("__value"))
+    if not looping.isEmpty():
+        looping = looping.withColumn("__lone", F.hex("__id"))
+        values = values.unionByName(whole(parsing.lone_values(looping.select(F.col("__lone").alias("id"), F.col("__raw").alias("text")))))
+        keyed = keyed.join(looping.select("__id", "__lone"), "__id", "left").withColumn("__value", F.coalesce("__lone", "__value"))
+    keyed = keyed.withColumn("__key", _text_id(F.col("__kind").cast("string"), F.col("__value"), of))
+    kinds = keyed.select("__key", "__kind", "__process", "__value").distinct()
+    trees = stored(kinds.join(values, "__value", "left").select("__key", _finished("__kind", "__process", "__items", "__error").alias("__parsed")), "trees")
+    digest = _text_id(F.col(command), F.col(process) if process else F.lit(None).cast("string"))
+    return df.withColumn("__row", digest).join(keyed.select(F.col("__id").alias("__row"), "__key"), "__row").drop("__row"), trees
+
+
+def parsed(df: DataFrame, command: str = "command_line", process: str | None = None, rules_on: bool = True) -> DataFrame:
+    """df with tree (JSON), tokens, valid, error and nodes (parsed_by_tree). Without rules a distinct command is split where it is."""
     if rules_on:
-        once = stored(once, "commands")
-        found = parsing.values(once.select(F.md5(F.col(command).cast("binary")).alias("id"), F.col(command).alias("text")).where("text <> ''").dropDuplicates(["id"]))
-        found = found.select(F.col("id").alias("__id"), F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("__items"), F.col("error").alias("__error"))
-        once = once.join(found, F.md5(F.col(command).cast("binary")) == F.col("__id"), "left")
-        once = once.select("__digest", _finished(F.col(command), of, F.col("__items"), F.col("__error")).alias("__parsed"))
-    else:
-        once = once.select("__digest", _split_only(F.col(command), of).alias("__parsed"))
-    rows = df.withColumn("__of", digest).join(once, F.col("__of") == F.col("__digest"))
+        rows, trees = parsed_by_tree(df, command, process)
+        return rows.join(trees, "__key").select(*df.columns, *parsed_columns(F.col(command), F.col("__parsed")))
+    spark = df.sparkSession
+    ship(spark)
+    of = F.col(process) if process else F.lit(None).cast("string")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    once = df.select(command, *([process] if process else [])).distinct().withColumn("__digest", _text_id(F.col(command), of)).repartition(tasks, "__digest")
+    once = once.select("__digest", _split_only(F.col(command), of).alias("__parsed"))
+    rows = df.withColumn("__of", _text_id(F.col(command), of)).join(once, F.col("__of") == F.col("__digest"))
     return rows.select(*df.columns, *parsed_columns(F.col(command), F.col("__parsed")))
 
 

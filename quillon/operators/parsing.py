@@ -8,6 +8,12 @@ equal surroundings are one, whichever commands hold them. From the last level up
 parts' values are put into the slots that asked for them, by joins; a part that
 holds itself stays a token. Nesting has no limit but ``levels``, beyond which a
 command is an error.
+
+Commands are far more than the texts that the rules make of them, the shapes. All
+commands of a shape have one value, so only shapes are split and have parts. The
+one thing that depends on a command's own text is whether a part that deep inside
+it is that text again: a shape knows the texts of its deep parts, and commands
+that are among those are parsed each on its own.
 """
 
 from __future__ import annotations
@@ -76,9 +82,14 @@ def part_id(text: Column, parent: Column, above: Column) -> Column:
     return F.md5(F.concat(sized(text), sized(parent), F.array_join(F.transform(above, sized), "")).cast("binary"))
 
 
+def rewritten(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with its texts after all rules but the last, which is a shape's own affair."""
+    return program.rewrite_but_payloads(df.withColumn("__ready", native.prepared(F.col(text))), "__ready", out).drop("__ready")
+
+
 def _level(parts: DataFrame) -> DataFrame:
     """Stored: id, text, above, and the slots of parts (id, text, parent, above, loops: whether they stay tokens)."""
-    rows = program.rewrite(parts.withColumn("__ready", native.prepared(F.col("text"))), "__ready", "__new")
+    rows = rewritten(parts, "text", "__new").withColumn("__new", program.payloads_decoded(F.col("__new")))
     found = _slots(F.when(F.col("loops"), F.lit("")).otherwise(F.col("__new")), F.col("parent"))
     rows = rows.withColumns({"__s": found, "__w": _whole(F.when(F.col("loops"), F.col("text")).otherwise(F.lit("")))})
     alone = F.array(F.struct(F.lit(LEAF).alias("kind"), F.array(F.col("__w.item")).alias("items"), F.array(F.col("__w.leaf")).alias("leaves"), F.lit(None).cast("string").alias("inner"), F.lit(None).cast("string").alias("payload")))
@@ -87,10 +98,10 @@ def _level(parts: DataFrame) -> DataFrame:
 
 def _asked(level: DataFrame) -> DataFrame:
     """Stored: up (a part), slot, which (0 inner, 1 payload), and the part asked for."""
-    slots = level.select(F.col("id").alias("up"), "text", "above", F.posexplode("slots").alias("slot", "s"))
+    slots = level.select(F.col("id").alias("up"), "text", "above", F.posexplode("slots").alias("slot", "s"))  # a shape has no text
     texts = slots.select("up", "text", "above", "slot", F.col("s.kind").alias("kind"), F.posexplode(F.array("s.inner", "s.payload")).alias("which", "inner")).where("inner is not null")
     parent = F.when(F.col("kind") == NESTED, F.col("inner"))
-    rows = texts.select("up", "slot", "which", F.col("inner").alias("text"), parent.alias("parent"), F.concat("above", F.array("text")).alias("above"), F.array_contains("above", F.col("inner")).alias("loops"))
+    rows = texts.select("up", "slot", "which", F.col("inner").alias("text"), parent.alias("parent"), F.concat("above", F.filter(F.array("text"), lambda t: t.isNotNull())).alias("above"), F.array_contains("above", F.col("inner")).alias("loops"))
     return stored(rows.withColumn("id", part_id(F.col("text"), F.col("parent"), F.col("above"))), "asked")
 
 
@@ -108,13 +119,17 @@ def _value_of(field: str):
     return lambda slot, i: _slot_value(slot, F.col("inside"), i, field)
 
 
-def values(parts: DataFrame, levels: int = cmdline.LEVELS) -> DataFrame:
-    """id, items, leaves and error of parts (id, text): items are the tree's members as JSON, leaves its tokens."""
-    ship(parts.sparkSession)
-    at = parts.select("id", "text", F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("above"), F.lit(False).alias("loops"))
+TEXTS = "array<string>"
+
+
+def _none() -> Column:
+    return F.array().cast(TEXTS)
+
+
+def _climbed(level: DataFrame, levels: int) -> DataFrame:
+    """Stored: id, items, leaves, error, asked (texts of the parts of a first level as _level gives it) and deep (those of the parts inside these)."""
     made: list[tuple[DataFrame, DataFrame]] = []
     while True:
-        level = _level(at)
         asked = _asked(level)
         made.append((level, asked))
         if asked.isEmpty():
@@ -123,14 +138,43 @@ def values(parts: DataFrame, levels: int = cmdline.LEVELS) -> DataFrame:
             deep = asked.select(F.col("up").alias("id")).distinct().withColumn("deep", F.lit(f"ValueError: command lines inside each other on more than {levels} levels"))
             made[-1] = (level.join(deep, "id", "left").withColumn("error", F.coalesce("error", "deep")).drop("deep"), asked.limit(0))
             break
-        at = asked.select("id", "text", "parent", "above", "loops").dropDuplicates(["id"])
+        level = _level(asked.select("id", "text", "parent", "above", "loops").dropDuplicates(["id"]))
     below: DataFrame | None = None
     for level, asked in reversed(made):
         inside = F.array().cast("array<struct<slot int, which int, items array<string>, leaves array<string>>>")
-        rows = level.withColumns({"inside": inside, "wrong": F.lit(None).cast("string")})
+        rows = level.withColumns({"inside": inside, "wrong": F.lit(None).cast("string"), "asked": _none(), "deep": _none()})
         if below is not None:
-            met = asked.select("up", "slot", "which", "id").join(below, "id").groupBy("up").agg(F.collect_list(F.struct("slot", "which", "items", "leaves")).alias("inside"), F.max("error").alias("wrong"))
-            rows = level.join(met, F.col("id") == F.col("up"), "left").withColumn("inside", F.coalesce("inside", inside))
+            parts = asked.select("up", "slot", "which", "id", F.col("text").alias("part")).join(below, "id")
+            met = parts.groupBy("up").agg(F.collect_list(F.struct("slot", "which", "items", "leaves")).alias("inside"), F.max("error").alias("wrong"), F.collect_set("part").alias("asked"), F.array_distinct(F.flatten(F.collect_list(F.concat("deep", "asked")))).alias("deep"))
+            rows = level.join(met, F.col("id") == F.col("up"), "left").withColumns({"inside": F.coalesce("inside", inside), "asked": F.coalesce("asked", _none()), "deep": F.coalesce("deep", _none())})
         given = [F.flatten(F.transform("slots", _value_of(field))).alias(field) for field in ("items", "leaves")]
-        below = stored(rows.select("id", *given, F.coalesce("error", "wrong").alias("error")), "values")
+        below = stored(rows.select("id", *given, F.coalesce("error", "wrong").alias("error"), "asked", "deep"), "values")
     return below
+
+
+def shape_values(shapes: DataFrame, levels: int = cmdline.LEVELS) -> DataFrame:
+    """id, items, leaves, error and deep of distinct shapes (id, shape: a text as rewritten leaves it): items are the tree's members as JSON, leaves its tokens."""
+    ship(shapes.sparkSession)
+    rows = shapes.withColumn("__s", _slots(program.payloads_decoded(F.col("shape")), F.lit(None).cast("string")))
+    return _climbed(stored(rows.select("id", F.lit(None).cast("string").alias("text"), _none().alias("above"), "__s.slots", "__s.error"), "shapes"), levels)
+
+
+def lone_values(parts: DataFrame, levels: int = cmdline.LEVELS) -> DataFrame:
+    """values of commands, each with its own text above its parts."""
+    ship(parts.sparkSession)
+    at = parts.select("id", "text", F.lit(None).cast("string").alias("parent"), _none().alias("above"), F.lit(False).alias("loops"))
+    return _climbed(_level(at), levels).drop("asked", "deep")
+
+
+def shape_id(shape: Column) -> Column:
+    return F.md5(shape.cast("binary"))
+
+
+def values(parts: DataFrame, levels: int = cmdline.LEVELS) -> DataFrame:
+    """id, items, leaves and error of commands (id, text)."""
+    rows = stored(rewritten(parts, "text", "shape").withColumn("of", shape_id(F.col("shape"))), "rewritten")
+    found = shape_values(rows.groupBy(F.col("of").alias("id")).agg(F.first("shape").alias("shape")), levels)
+    met = rows.select(F.col("id"), "text", "of").join(found.withColumnRenamed("id", "of"), "of")
+    own = F.array_contains("deep", F.col("text"))
+    alone = lone_values(met.where(own).select("id", "text"), levels)
+    return met.where(~own).select("id", "items", "leaves", "error").unionByName(alone)

@@ -49,3 +49,21 @@ def test_too_many_levels_are_an_error(spark):
     assert "levels" in rows["deep"].error and rows["flat"].error is None and rows["flat"].leaves == ["echo", "a"]
     assert {r.error for r in parsing.values(spark.createDataFrame(texts, "id string, text string"), levels=3).collect()} == {None}
     assert parsing.values(spark.createDataFrame([], "id string, text string")).count() == 0
+
+
+def test_commands_of_one_shape_are_split_once(spark, monkeypatch):
+    """Numbers become tags, so these commands differ in nothing that is left: their parts are parsed once, not once a command."""
+    seen, level = [], parsing._level
+    monkeypatch.setattr(parsing, "_level", lambda parts: seen.append(parts.count()) or level(parts))
+    texts = [f"cmd.exe /c wscript.exe pid {n} /try:{n % 7} {1000000000 + n} end" for n in range(2000, 2040)]
+    rows = parsing.values(spark.createDataFrame([(t, t) for t in texts], "id string, text string")).collect()
+    assert len(rows) == 40 and all(r.leaves == [x for t in cmdline.parse(r.id) for x in cmdline.flat(t)] for r in rows)
+    assert seen and max(seen) <= 7
+
+
+def test_commands_on_their_own(spark):
+    """What commands take that stand inside their own deep parts."""
+    texts = list(dict.fromkeys(x for x in [*odd(), *mixed(60, 9)] if x))
+    rows = parsing.lone_values(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")).collect()
+    assert len(rows) == len(texts) and all(r.error or r.leaves == [x for t in cmdline.parse(texts[int(r.id)]) for x in cmdline.flat(t)] for r in rows)
+    assert not any(r.error for r in rows)
