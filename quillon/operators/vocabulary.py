@@ -11,7 +11,9 @@ are counted exactly in a second pass, and their ranks decide. Where E reaches L,
 the summaries prove nothing, and all terms are counted instead.
 
 A document is a bag: its distinct terms and how often each stands. Bags are
-made once, where the document is, and stored; all passes read them.
+made once, where the document is, and stored; all passes read them. Passes take a
+batch in slices of some terms, so that a worker's memory is that of a batch as it
+came, a slice and a summary, however many documents a task has.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from ..functions.shipping import ship
 from ..sources.shared import stored
 
 ROOM = 1 << 20  # entries of a task's summary
-SENT_BYTES = 64 << 20  # of survivors' text that goes to every task; more are joined
+SLICE = 1 << 20  # terms that are worked on at once, or one document's
+SENT_BYTES = 16 << 20  # of survivors' text that goes to every task; more are joined
 COUNTS = "term string, df long, total long"
 
 
@@ -38,12 +41,23 @@ def _flat(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(lists)), size)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most size terms, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("terms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def bags(docs: DataFrame, key: str, terms: Column) -> DataFrame:
     """key, terms and tf: a row per document (a row of docs), stored."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             values, row = _flat(batch.column("terms"))
             coded = values.dictionary_encode()
             known = coded.dictionary
@@ -67,7 +81,7 @@ class Summary:
     def add(self, terms: pa.Array, counts: np.ndarray) -> None:
         """Terms may repeat; they are put together once there are many."""
         self.counts = pa.concat_tables([self.counts, pa.table({"term": terms.cast(pa.string()), "n": pa.array(counts, pa.int64())})])
-        if len(self.counts) > 3 * self.room:
+        if len(self.counts) > 2 * self.room:
             self.prune()
 
     def prune(self) -> None:
@@ -95,23 +109,23 @@ def summaries(bag: DataFrame, room: int = ROOM) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Summary(room)
-        for batch in batches:
+        for batch in _slices(batches):
             known, _, total = _totals(batch)
             mine.add(known, total)
         mine.prune()
-        yield from mine.counts.combine_chunks().to_batches()
+        yield from mine.counts.to_batches(max_chunksize=SLICE >> 4)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([mine.error], pa.int64())], ["term", "n"])
 
     return bag.select("terms", "tf").mapInArrow(run, "term string, n long")
 
 
-def exact_counts(bag: DataFrame, only: list[str] | None = None) -> DataFrame:
+def exact_counts(bag: DataFrame, only: pa.Array | None = None) -> DataFrame:
     """COUNTS of all terms, or of those in only, which every task gets. A task sums its terms before they are shuffled."""
     shared = None if only is None else bag.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if shared is None else pa.array(shared.value, pa.string())
-        for batch in batches:
+        wanted = None if shared is None else shared.value
+        for batch in _slices(batches):
             known, df, total = _totals(batch)
             if wanted is not None:
                 at = np.flatnonzero(pc.is_in(known, value_set=wanted).to_numpy(zero_copy_only=False))
@@ -127,7 +141,7 @@ def most_frequent(bag: DataFrame, size: int, room: int = ROOM, sent_bytes: int =
     counts = None
     if kept is not None:
         nbytes = kept.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
-        counts = exact_counts(bag, [r.term for r in kept.collect()]) if nbytes <= sent_bytes else exact_counts(bag).join(kept, "term", "left_semi")
+        counts = exact_counts(bag, kept.toArrow().column("term").combine_chunks()) if nbytes <= sent_bytes else exact_counts(bag).join(kept, "term", "left_semi")
     return (exact_counts(bag) if counts is None else counts).orderBy(F.desc("total"), "term").limit(size)
 
 
@@ -150,7 +164,7 @@ def weights(bag: DataFrame, key: str, counts: DataFrame, n_docs: int) -> DataFra
         names, df = shared.value
         known = pa.array(names, pa.string())
         idf = np.log((1 + n_docs) / (1.0 + df)) + 1
-        for batch in batches:
+        for batch in _slices(batches):
             values, row = _flat(batch.column("terms"))
             at = pc.index_in(values, value_set=known)
             in_ = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))

@@ -77,3 +77,20 @@ def test_weights(spark):
 def test_empty_table(spark):
     bag = vocabulary.bags(spark.createDataFrame([], "doc long, given array<string>"), "doc", F.col("given"))
     assert vocabulary.most_frequent(bag, 5).count() == 0 and vocabulary.weights(bag, "doc", vocabulary.most_frequent(bag, 5), 0).count() == 0
+
+
+def test_batches_are_taken_in_slices():
+    """A worker's arrays are as large as a slice, not as a batch of 10,000 documents; nothing is lost or put in another order."""
+    lists = [["a"] * 3, None, [], ["b"] * 9, ["c"], ["d"] * 2, ["e"] * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.string()))], ["doc", "terms"])
+    parts = list(vocabulary._slices(iter([batch, batch.slice(0, 0)]), 4))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(len(p) == 1 or sum(map(len, filter(None, p.column("terms").to_pylist()))) <= 4 for p in parts)
+
+
+def test_a_summary_holds_little_more_than_its_room():
+    mine, most = vocabulary.Summary(1000), 0
+    for lo in range(0, 20_000, 100):
+        mine.add(pa.array([f"w{x}" for x in range(lo, lo + 100)]), np.ones(100, int))
+        most = max(most, len(mine.counts))
+    assert most <= 2000
