@@ -1,4 +1,4 @@
-"""The rewrite program as column expressions: all rules in order, some in a projection, in the JVM.
+"""The rules as column expressions, one at a time; the program as a whole goes over Arrow batches (batches.py).
 
 What a template cannot say is made of the matches: the
 text is what lies between them and what each match's groups become. Payloads
@@ -8,16 +8,13 @@ inside calls are the last rule's; they are decoded by a helper over the matches.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache, reduce
-from operator import or_
 
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import decode, native, rules
+from . import batches, decode, native, rules
 from .native import java_template
 from .paths import TAG_PATH
 from .shipping import ship
@@ -33,23 +30,19 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def java(pattern: str, ascii_: Column | None = None) -> Column:
-    """A pattern; texts that ascii_ says are ASCII get it without the flag, which gives the same there and costs a fraction. Spark keeps the pattern that it used last."""
-    whole = F.lit(UNICODE + pattern)
-    return whole if ascii_ is None else F.when(ascii_, F.lit(pattern)).otherwise(whole)
+def java(pattern: str) -> Column:
+    return F.lit(UNICODE + pattern)
 
 
-def occurs(text: Column, pattern: str, ascii_: Column | None = None) -> Column:
-    """Whether the pattern occurs. Such tests keep their pattern only if it is a constant, so there are two."""
-    unicode = text.rlike(UNICODE + pattern)
-    return unicode if ascii_ is None else F.when(ascii_, text.rlike(pattern)).otherwise(unicode)
+def occurs(text: Column, pattern: str) -> Column:
+    return text.rlike(UNICODE + pattern)
 
 
-def made(text: Column, pattern: str, groups: list[int], of_groups: Made, ascii_: Column | None = None) -> Column:
+def made(text: Column, pattern: str, groups: list[int], of_groups: Made) -> Column:
     """The text with each match replaced by what its groups become. Groups that take no part are empty."""
-    lists = [F.regexp_extract_all(text, java(pattern, ascii_), F.lit(g)) for g in groups]
+    lists = [F.regexp_extract_all(text, java(pattern), F.lit(g)) for g in groups]
     between = F.split(text, UNICODE + pattern, -1)
-    return F.when(~occurs(text, pattern, ascii_), text).otherwise(_woven_of(between, lists, of_groups))
+    return F.when(~occurs(text, pattern), text).otherwise(_woven_of(between, lists, of_groups))
 
 
 def _woven_of(between: Column, lists: list[Column], of_groups: Made) -> Column:
@@ -124,17 +117,6 @@ MADE: dict[str, tuple[list[int], Made]] = {
     "simple_relative": ([0], lambda gs: _of_name(gs[0])),
 }
 PAYLOADS = "base64_call"
-TOGETHER = 6  # rules in a projection
-#: What a text must hold for a rule to match, by the rule's name.
-NEED = {name: test for test, names in rules.NEEDS for name in names}
-#: Of rules that ignore case: literals of which an ASCII text in lower case holds one wherever the rule matches. A look for one costs a fraction of a pattern's.
-LITERALS: dict[str, tuple[str, ...]] = {
-    "chrome_extension": ("chrome-extension://",), "echo_pass": ("echo",), "cmd_separators": (",", ";"), "tcp_host_port": ("tcp:",), "environment_call": ("getenvironmentvariable",), "port_option_equals": ("--port=",), "port_equals": ("port",),
-    "metric": ("metric",), "interface": ("interface",), "name_number": ("name", "/pjob"), "skip": ("skip", "seconds", "timespan"), "pid": ("pid",), "process_id": ("processid", "idprocess"), "parent_process_id": ("parentprocessid",),
-    "event_id": ("eventid", "idevent"), "find_pid": ("find",), "code_page": ("chcp",), "api_key": ("-apikey",), "key_option": ("key=", "key:"), "token_option": ("-token", "auth"), "pipe_name": ("-pipename", "-instancename"), "password": ("password",),
-    "username": ("username=", "user="), "url_password": ("pwd=",), "account_key": ("-acctkey",), "arn": ("arn:aws:",), "encoded_params": ("encoded",), "amp": ("amp=", "amp:"), "wmic_node": ("/node:",), "certificate": ("certhash", "code"),
-    "url": ("http://", "https://"), "url_address": ("http://", "https://"), "sid": ("s-1-",), "task_time": ("/st", "/du"), "base64_call": ("frombase64string", "b64decode"), "current_date": ("curdate=",), "load_numbers": ("loadrepno=",), "tries": ("/try:",), "install_key": ("-ipk",),
-} | dict.fromkeys(("program_files", "program_data", "users", "windows", "drive_c"), ("c:/", "c:\\", "/c/", "/c\\", "\\c/", "\\c\\"))
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
@@ -154,27 +136,23 @@ def _decoded(text: Column) -> Column:
     return F.when(occurs(text, pattern), woven).otherwise(text)
 
 
-def _need(name: str, text: Column, ascii_: Column | None) -> Column | None:
-    need = NEED.get(name)
-    if name in LITERALS and ascii_ is not None:
-        some = lambda low: reduce(or_, (F.contains(low, F.lit(x)) for x in LITERALS[name]))
-        other = _need(name, text, None)
-        return F.when(ascii_, bound(F.lower(text), some)).otherwise(F.lit(True) if other is None else other)
+def _need(name: str, text: Column) -> Column | None:
+    need = rules.NEED.get(name)
     if need is None:
         return None
-    return F.contains(text, F.lit(need)) if isinstance(need, str) else occurs(text, need.pattern, ascii_)
+    return F.contains(text, F.lit(need)) if isinstance(need, str) else occurs(text, need.pattern)
 
 
-def one(name: str, text: Column, lower: Column, slash: Column, ascii_: Column | None = None) -> Column:
-    """A text after one rule, its gate looking at the text and at the snapshots. ascii_ may say that a text is ASCII."""
+def one(name: str, text: Column, lower: Column, slash: Column) -> Column:
+    """A text after one rule, its gate looking at the text and at the snapshots."""
     rule = rules.RULES[name]
-    tests = [t for t in (_gate(rule.gate, text, lower, slash), _need(name, text, ascii_)) if t is not None]
+    tests = [t for t in (_gate(rule.gate, text, lower, slash), _need(name, text)) if t is not None]
     if name == PAYLOADS:
         out = _decoded(text)
     elif name in MADE:
-        out = made(text, rule.pattern.pattern, *MADE[name], ascii_)
+        out = made(text, rule.pattern.pattern, *MADE[name])
     else:
-        out = F.regexp_replace(text, java(rule.pattern.pattern, ascii_), F.lit(java_template(rule.replacement)))
+        out = F.regexp_replace(text, java(rule.pattern.pattern), F.lit(java_template(rule.replacement)))
     if not tests:
         return out
     test = tests[0]
@@ -195,55 +173,12 @@ def _gate(gate: rules.Gate | None, text: Column, lower: Column, slash: Column) -
     return out
 
 
-def _chain(text: Column, names: list[str], low: Column, slash: Column, ascii_: Column) -> Column:
-    """Rules one after the other, each bound to what the one before left."""
-
-    def after(name: str) -> Callable[[Column], Column]:
-        return lambda t: one(name, t, low, slash, ascii_)
-
-    for name in names:
-        text = bound(text, after(name))
-    return text
-
-
-TEXT, LOW, SLASH, ASCII = "__text", "__low", "__slash", "__ascii"
-
-
-@cache
-def steps(application: str) -> list[tuple[str, Column]]:
-    """The projections of all rules but the last: a column and its expression each. They are made once an application, since making them takes longer than planning with them."""
-    text, low, slash, ascii_ = F.col(TEXT), F.col(LOW), F.col(SLASH), F.col(ASCII)
-    out: list[tuple[str, Column]] = []
-    waiting: list[str] = []
-    for step in [*rules.PROGRAM, "end"]:
-        name = step if isinstance(step, str) else step.name
-        if waiting and (name is step or name == PAYLOADS or len(waiting) == TOGETHER):
-            out.append((TEXT, F.when(text.isNotNull(), _chain(text, waiting, low, slash, ascii_))))
-            waiting = []
-        if step == "lower":
-            out.append((LOW, F.lower(text)))
-        elif step == "slash":
-            out.append((SLASH, F.contains(text, F.lit("/"))))
-        elif name is not step and name != PAYLOADS:
-            waiting.append(name)
-    return out
-
-
 def few_ascii(text: Column) -> Column:
     """cmdline.few_ascii as an expression."""
     outside = F.length(F.regexp_replace(text, r"[\x00-\x7F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", ""))
     return ~native.is_ascii(text) & ((F.length(text) - outside) / F.length(text) < 0.8)
 
 
-def rewrite_but_payloads(df: DataFrame, command: str, out: str = "rewritten") -> DataFrame:
-    """df with the command after all rules but the last, some in a projection. Each projection reads the text twice, so that Spark keeps it as a step of its own: all rules in one expression would be too deep for its planner."""
-    plain = F.col(command).rlike(r'^"*[Cc]:\\[\\0-9A-Za-z_ ]*\.exe"*$')
-    df = df.withColumns({TEXT: F.when(plain, _shorten_exe(F.col(command))).otherwise(F.col(command)), LOW: F.lit(""), SLASH: F.lit(False), ASCII: native.is_ascii(F.col(command))})
-    for name, value in steps(df.sparkSession.sparkContext.applicationId):
-        df = df.withColumn(name, value)
-    return df.withColumn(out, F.col(TEXT)).drop(TEXT, LOW, SLASH, ASCII)
-
-
 def payloads_decoded(text: Column) -> Column:
     """What the program makes of a text that has passed all rules but the last."""
     return native.strip(one(PAYLOADS, text, F.lit(""), F.lit(False)))
@@ -251,19 +186,5 @@ def payloads_decoded(text: Column) -> Column:
 
 def rewrite(df: DataFrame, command: str, out: str = "rewritten") -> DataFrame:
     """df with the command after all rules."""
-    return rewrite_but_payloads(df, command, out).withColumn(out, payloads_decoded(F.col(out)))
-
-
-def _shorten_exe(command: Column) -> Column:
-    """paths.shorten_exe as an expression."""
-    double = F.contains(command, F.lit("\\\\"))
-
-    def of(bar: str) -> Column:
-        def short(p: Column) -> Column:
-            name = F.element_at(p, -1)
-            name = F.when(F.contains(name, F.lit(" ")) & (F.length(name) > 10), ".exe").otherwise(name)
-            return F.array_join(F.concat(F.slice(p, 1, F.least(F.size(p) - 1, F.lit(2))), F.array(name)), bar)
-
-        return bound(F.split(command, regex.escape(bar), -1), short)
-
-    return F.when(double, of("\\\\")).otherwise(of("\\"))
+    ship(df.sparkSession)
+    return df.withColumn(out, payloads_decoded(batches.ruled(F.col(command))))

@@ -110,8 +110,10 @@ def _split_only(commands: pa.Array, processes: pa.Array) -> pa.Array:
 
 
 def _text_id(*texts: Column) -> Column:
-    """A digest of texts, any of which may be null."""
-    return F.unhex(F.md5(F.concat(*(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)).cast("binary")))
+    """A digest of texts, any of which may be null. It names each once, and is never null itself, which a join would ask: what an expression is made of is worked out as often as it is named."""
+    digest = lambda t: F.coalesce(F.unhex(F.md5(t)), F.lit(bytes(16)))
+    each = [digest(t.cast("binary")) for t in texts]
+    return each[0] if len(each) == 1 else digest(F.concat(*each))
 
 
 def parsed_by_tree(df: DataFrame, command: str = "command_line", process: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -128,19 +130,22 @@ def parsed_by_tree(df: DataFrame, command: str = "command_line", process: str |
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     kind = F.when(text.isNull(), NULL).when((text == "") | program.few_ascii(text), PROCESS_ALONE).otherwise(WHOLE)
     once = df.select(*named).repartition(tasks, "__raw", "__process").distinct().withColumn("__kind", kind)
-    once = parsing.rewritten(once.withColumn("__whole", F.when(F.col("__kind") == WHOLE, text)), "__whole", "__shape").drop("__whole")
-    once = stored(once.withColumns({"__id": _text_id(text, of), "__of": parsing.shape_id(F.col("__shape"))}), "commands")
-    found = parsing.shape_values(once.where("__shape is not null").groupBy(F.col("__of").alias("id")).agg(F.first("__shape").alias("shape")))
-    # commands that stand inside their own deep parts have values of their own
-    looping = stored(once.join(found.where(F.size("deep") > 0).select(F.col("id").alias("__of"), "deep"), "__of").where(F.array_contains("deep", text)).select("__id", "__raw", "__process", "__kind"), "looping")
+    once = parsing.rewritten(once.withColumn("__whole", F.when(F.col("__kind") == WHOLE, text)), "__whole", "__shape")
+    once = once.select("__kind", "__process", "__shape", _text_id(text, of).alias("__id"), _text_id(text).alias("__text"), parsing.shape_id(F.col("__shape")).alias("__value"))
+    key = _text_id(F.col("__kind").cast("string"), F.col("__value"), of)
+    once = stored(once.withColumn("__key", key), "commands")
+    found = parsing.shape_values(once.where("__shape is not null").groupBy(F.col("__value").alias("id")).agg(F.first("__shape").alias("shape")))
+    # commands that stand inside their own deep parts have values of their own; their text is that of the part
+    deep = found.select(F.col("id").alias("__value"), F.explode("deep").alias("__raw")).withColumn("__text", _text_id(F.col("__raw")))
+    looping = stored(once.join(deep, ["__value", "__text"]).select("__id", "__raw", "__process", "__kind"), "looping")
     whole = lambda rows: rows.select(F.col("id").alias("__value"), F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")).alias("__items"), F.col("error").alias("__error"))
     values = whole(found)
-    keyed = once.select("__id", "__kind", "__process", F.col("__of").alias("__value"))
+    keyed = once.select("__id", "__kind", "__process", "__value", "__key")
     if not looping.isEmpty():
         looping = looping.withColumn("__lone", F.hex("__id"))
         values = values.unionByName(whole(parsing.lone_values(looping.select(F.col("__lone").alias("id"), F.col("__raw").alias("text")))))
         keyed = keyed.join(looping.select("__id", "__lone"), "__id", "left").withColumn("__value", F.coalesce("__lone", "__value"))
-    keyed = keyed.withColumn("__key", _text_id(F.col("__kind").cast("string"), F.col("__value"), of))
+        keyed = keyed.withColumn("__key", key)
     kinds = keyed.select("__key", "__kind", "__process", "__value").distinct()
     trees = stored(kinds.join(values, "__value", "left").select("__key", _finished("__kind", "__process", "__items", "__error").alias("__parsed")), "trees")
     digest = _text_id(F.col(command), F.col(process) if process else F.lit(None).cast("string"))
@@ -151,7 +156,7 @@ def parsed(df: DataFrame, command: str = "command_line", process: str | None = N
     """df with tree (JSON), tokens, valid, error and nodes (parsed_by_tree). Without rules a distinct command is split where it is."""
     if rules_on:
         rows, trees = parsed_by_tree(df, command, process)
-        return rows.join(trees, "__key").select(*df.columns, *parsed_columns(F.col(command), F.col("__parsed")))
+        return rows.join(trees, "__key").select(*df.columns, *parsed_columns(F.col("__parsed")))
     spark = df.sparkSession
     ship(spark)
     of = F.col(process) if process else F.lit(None).cast("string")
@@ -159,13 +164,13 @@ def parsed(df: DataFrame, command: str = "command_line", process: str | None = N
     once = df.select(command, *([process] if process else [])).distinct().withColumn("__digest", _text_id(F.col(command), of)).repartition(tasks, "__digest")
     once = once.select("__digest", _split_only(F.col(command), of).alias("__parsed"))
     rows = df.withColumn("__of", _text_id(F.col(command), of)).join(once, F.col("__of") == F.col("__digest"))
-    return rows.select(*df.columns, *parsed_columns(F.col(command), F.col("__parsed")))
+    return rows.select(*df.columns, *parsed_columns(F.col("__parsed")))
 
 
-def parsed_columns(command: Column, row: Column) -> list[Column]:
-    """tree, tokens, valid, error and nodes out of the parser's struct; only a null command has no say on valid."""
+def parsed_columns(row: Column) -> list[Column]:
+    """tree, tokens, valid, error and nodes out of the parser's struct; only a null command, which has neither tokens nor an error, has no say on valid."""
     usable = row["error"].isNull() & (F.size(row["tokens"]) > 0) & valid_tokens(row["tokens"])
-    valid = F.when(command.isNotNull(), F.coalesce(usable, F.lit(False)))
+    valid = F.when(row["tokens"].isNotNull() | row["error"].isNotNull(), F.coalesce(usable, F.lit(False)))
     return [row["tree"].alias("tree"), row["tokens"].alias("tokens"), valid.alias("valid"), row["error"].alias("error"), row["nodes"].alias("nodes")]
 
 

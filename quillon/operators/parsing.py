@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cmdline, decode, native, program
+from ..functions import batches, cmdline, decode, program
 from ..functions.shipping import ship
 from ..sources.shared import stored
 
@@ -83,8 +83,9 @@ def part_id(text: Column, parent: Column, above: Column) -> Column:
 
 
 def rewritten(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with its texts after all rules but the last, which is a shape's own affair."""
-    return program.rewrite_but_payloads(df.withColumn("__ready", native.prepared(F.col(text))), "__ready", out).drop("__ready")
+    """df with its texts prepared and after all rules but the last, which is a shape's own affair."""
+    ship(df.sparkSession)
+    return df.withColumn(out, batches.rewritten(F.col(text)))
 
 
 def _level(parts: DataFrame) -> DataFrame:

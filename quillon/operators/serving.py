@@ -160,7 +160,7 @@ def infer(parsed: DataFrame, key: str, model: gnn.Model, config: str, ablation:
 def infer_commands(commands: DataFrame, key: str, model: gnn.Model, config: str, ablation: str = "all", command: str = "command_line", batch: int = 32) -> DataFrame:
     """graph_id, pred and logits of raw commands: infer, but trees go to the model as the parser made them, and rows meet only what became of their tree."""
     rows, trees = clean.parsed_by_tree(commands.select(key, command), command)
-    parsed = trees.select("__key", *clean.parsed_columns(F.lit(""), F.col("__parsed")))
+    parsed = trees.select("__key", *clean.parsed_columns(F.col("__parsed")))
     judged = infer(parsed, "__key", model, config, ablation, batch=batch).select(F.col("graph_id").alias("__key"), "pred", "logit_0", "logit_1")
     return rows.select("__key", F.col(key).alias("graph_id")).join(stored(judged, "judged"), "__key").drop("__key")
 

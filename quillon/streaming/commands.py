@@ -27,7 +27,7 @@ def parsed_stream(stream: DataFrame, command: str = "command_line") -> DataFrame
     def parse(commands: pa.Array) -> pa.Array:
         return as_arrow([parse_row(c, None) for c in commands.to_pylist()])
 
-    return stream.withColumn("__p", parse(F.col(command))).select(*stream.columns, *parsed_columns(F.col(command), F.col("__p")))
+    return stream.withColumn("__p", parse(F.col(command))).select(*stream.columns, *parsed_columns(F.col("__p")))
 
 
 def scored_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], command: str = "command_line") -> DataFrame:
