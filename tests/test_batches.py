@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from quillon.functions import batches, cmdline, rules
-from quillon.operators import clean, parsing
+from quillon.operators import clean, gnn, parsing, runs, serving
 from test_parsing import odd
 from test_program import commands, mixed
 
@@ -93,3 +93,18 @@ def test_commands_inside_their_own_deep_parts(spark, monkeypatch):
     rows = clean.parsed(df).select("i", "tree").collect()
     bad = [(texts[r.i], r.tree, clean.parse_row(texts[r.i], None)[0]) for r in rows if r.tree != clean.parse_row(texts[r.i], None)[0]]
     assert len(rows) == len(texts) and not bad and alone == ["ping 10.0.0.2 -n 2"], bad[:2]
+
+
+def test_judged_commands_meet_only_their_prediction(spark, monkeypatch):
+    """What is stored of commands for the model is as wide as digests, whatever their length; each tree is judged once."""
+    names, judged, keep, predict = {}, [], clean.stored, gnn.predict
+    monkeypatch.setattr(clean, "stored", lambda df, name: names.update({name: df.columns}) or keep(df, name))
+    monkeypatch.setattr(gnn, "predict", lambda graphs, *a, **k: judged.append(graphs.count()) or predict(graphs, *a, **k))
+    commands = spark.createDataFrame([(i, f"ping 10.0.0.{i} -n {i} " + "long " * 50) for i in range(9)] + [(9, "whoami /all"), (10, None)], "id int, c string")
+    model = gnn.Model("rgcn", runs.input_width(serving.SEMANTIC_WIDTH, True, True), hidden=8).start(7)
+    out = serving.infer_commands(commands, "id", model, "all", command="c")
+    rows = {r.graph_id: (r.pred, r.logit_0) for r in out.collect()}
+    assert sorted(rows) == list(range(10)) and len({rows[i] for i in range(9)}) == 1 and rows[9] != rows[0] and judged == [2]
+    assert "__raw" not in names["commands"] and {"__id", "__key"} <= set(names["commands"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(cast(c#") == 1
