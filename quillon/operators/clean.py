@@ -134,7 +134,7 @@ def parsed_by_tree(df: DataFrame, command: str = "command_line", process: str |
     once = once.select("__kind", "__process", "__shape", _text_id(text, of).alias("__id"), _text_id(text).alias("__text"), parsing.shape_id(F.col("__shape")).alias("__value"))
     key = _text_id(F.col("__kind").cast("string"), F.col("__value"), of)
     once = stored(once.withColumn("__key", key), "commands")
-    found = parsing.shape_values(once.where("__shape is not null").groupBy(F.col("__value").alias("id")).agg(F.first("__shape").alias("shape")))
+    found = parsing.shape_values(once.where("__shape is not null").select(F.col("__value").alias("id"), F.col("__shape").alias("shape")).distinct())
     # commands that stand inside their own deep parts have values of their own; their text is that of the part
     deep = found.select(F.col("id").alias("__value"), F.explode("deep").alias("__raw")).withColumn("__text", _text_id(F.col("__raw")))
     looping = stored(once.join(deep, ["__value", "__text"]).select("__id", "__raw", "__process", "__kind"), "looping")
